@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 LEVELS = 7
 SHARD_DAYS = 1 << (LEVELS - 1)
 
@@ -97,10 +99,15 @@ def rolling_totals(df: DataFrame, entity: Sequence[str], day: Column, units: Col
     out; null units count for the entity's presence but not for totals, counts and averages. Null entity parts form their own entity.
     Repeated rows count each time. An empty table gives an empty table.
     """
-    days = daily(df, entity, day, units)
-    bounds = df.agg(F.min(F.unix_date(day)).alias("lo"), F.max(F.unix_date(day)).alias("hi")).first()
+    return answers(cut(tree_nodes(daily(df, entity, day, units), entity)), entity, windows, scale)
+
+
+def answers(nodes: DataFrame, entity: Sequence[str], windows: Sequence[int] = (7, 30), scale: int = 4) -> DataFrame:
+    """The totals of a stored tree for all of its entities and every day between its first and last."""
+    day = F.col("shard") * SHARD_DAYS + F.col("idx")
+    bounds = nodes.where(F.col("level") == 0).agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
     lo, hi = (bounds["lo"], bounds["hi"]) if bounds["lo"] is not None else (0, 0)
-    return present(window_totals(tree_nodes(days, entity), entity, lo, hi, windows), entity, windows, scale)
+    return present(window_totals(nodes, entity, lo, hi, windows), entity, windows, scale)
 
 
 def present(totals: DataFrame, entity: Sequence[str], windows: Sequence[int], scale: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, parse_date, parse_units, upper_text
 from ..operators import corrupt_rows, load_profile, packed_values, rolling
+from ..session import cut
 from ..sources.sales import SALES_COLUMNS
 from ..sources.tables import table
 
@@ -70,12 +71,11 @@ def p5_rolling_state(spark: SparkSession, d: str) -> DataFrame:
 def p5_late_corrections(spark: SparkSession, d: str) -> DataFrame:
     """The trees of all loads but the last, brought up to date by the last load's rows as corrections."""
     sales = dated_sales(spark, d)
-    bounds = sales.agg(F.min(F.unix_date("order_day")).alias("lo"), F.max(F.unix_date("order_day")).alias("hi"), F.max("load_id").alias("last")).first()
-    entity, last = ["ship_state"], F.col("load_id") == F.lit(bounds["last"])
+    entity, newest = ["ship_state"], sales.agg(F.max("load_id")).first()[0]
+    last = F.col("load_id") == F.lit(newest)
     days = lambda part: rolling.daily(part, entity, F.col("order_day"), F.col("units"))
-    stored = rolling.tree_nodes(days(sales.where(~last)), entity)
-    now = rolling.apply_corrections(stored, days(sales.where(last)), entity)
-    return rolling.present(rolling.window_totals(now, entity, bounds["lo"] or 0, bounds["hi"] or 0, WINDOWS), entity, WINDOWS, 4)
+    stored = cut(rolling.tree_nodes(days(sales.where(~last)), entity))
+    return rolling.answers(cut(rolling.apply_corrections(stored, days(sales.where(last)), entity)), entity, WINDOWS)
 
 
 def p7_changes(spark: SparkSession, d: str) -> DataFrame:
