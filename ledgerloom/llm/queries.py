@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, trimmed
+from ..functions.text import is_blank, parse_date, text, trimmed, upper_text
 from ..session import bounded_rows, cut
 from ..sources.tables import table
-from . import canonical, percentiles
+from . import canonical, distinct, language, mixing, packing, percentiles, tokens
 
 TARGETS = (0.5, 0.8, 0.9, 0.99)
 SETS = (("sku", "month"), ("month",), ("sku",))
@@ -94,5 +94,65 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(left.alias("_v")).select("_v.*").groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bounded, p4_found, p4_mapped, p4_unmatched)}
+DIMENSIONS = ("order_day", "ship_state", "category")
+COMBINATIONS = (("order_day",), ("ship_state",), ("category",), ("order_day", "ship_state"), ("order_day", "category"), ("ship_state", "category"), DIMENSIONS)
+
+
+def p6_load_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Partial sketches per load, as they would be stored."""
+    sales = table(spark, d, "amazon_sales").select("load_id", parse_date("order_date").alias("order_day"), upper_text("ship_state").alias("ship_state"), upper_text("category").alias("category"), "sku", "style", "order_id")
+    return distinct.partial_sketches(sales, ["load_id"], DIMENSIONS, {c: text(c) for c in ("sku", "style", "order_id")}, COMBINATIONS)
+
+
+def p6_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct sku, style and order_id per order day, state, category and their combinations, from the loads' sketches."""
+    return distinct.counts(distinct.merge_sketches(p6_load_sketches(spark, d), DIMENSIONS), DIMENSIONS)
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the tokens of their whole text, counted once."""
+    return cut(table(spark, d, "documents").select("doc_id", "source", tokens.token_counter()("text").alias("n_tokens")))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every text with its container, for each capacity of pack_sizes."""
+    kinds = [(r["pack_name"], r["capacity_tokens"]) for r in bounded_rows(table(spark, d, "pack_sizes"), 1000)]
+    return packing.pack(_sized(spark, d), "doc_id", "n_tokens", kinds)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens, unused share and the least possible number of containers of each kind."""
+    return packing.fill(p8_containers(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The records of each mix and how often each is used."""
+    return mixing.mix(_sized(spark, d), "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source in each mix."""
+    return mixing.shares(*mixing.mix(_sized(spark, d), "doc_id", "source", "n_tokens", table(spark, d, "mix_targets")))
+
+
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, label, stretches): what each whole text is written in and the language its label names."""
+    documents = table(spark, d, "documents")
+    found = language.analyser(spark, language.fit(documents, "text", "lang"))
+    return documents.select("doc_id", language.label_language(F.col("lang")).alias("label"), found("text").alias("stretches"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = _stretches(spark, d).select("doc_id", "label", F.array_distinct(F.transform("stretches", lambda s: s["lang"])).alias("langs"))
+    wrong = F.col("label").isNull() | (F.size("langs") > 1) | (F.col("label") != F.col("langs")[0])
+    return docs.where((F.size("langs") > 0) & wrong).select("doc_id", F.explode("langs").alias("lang"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Each stretch of one language with its place in the text and confidence."""
+    rows = _stretches(spark, d).select("doc_id", F.posexplode("stretches").alias("segment", "_s"))
+    return rows.select("doc_id", "segment", "_s.lang", F.round("_s.confidence", 4).alias("confidence"), "_s.start", "_s.length", "_s.ambiguous")
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bounded, p4_found, p4_mapped, p4_unmatched, p6_distinct, p6_load_sketches, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_segments)}
 SQL: dict[str, str] = {}
