@@ -20,7 +20,7 @@ SOUND_LINE = r'(?s)\A(?:"(?:[^"]++|"")*+"|[^",]*+)(?:,(?:"(?:[^"]++|"")*+"|[^",]
 def invalid_integer(c: Column | str) -> Column:
     """Non-blank and no 32-bit integer; never null."""
     t = text(c)
-    return F.coalesce(~t.rlike(INTEGER) | t.try_cast("int").isNull(), F.lit(False))
+    return t.isNotNull() & (~t.rlike(INTEGER) | t.try_cast("int").isNull())
 
 
 def invalid_decimal(c: Column | str) -> Column:
@@ -29,7 +29,7 @@ def invalid_decimal(c: Column | str) -> Column:
 
 def invalid_date(c: Column | str, pattern: str = "MM-dd-yy", shape: str = DATE) -> Column:
     t = text(c)
-    return F.coalesce(~t.rlike(shape) | F.try_to_date(t, pattern).isNull(), F.lit(False))
+    return t.isNotNull() & (~t.rlike(shape) | F.try_to_date(t, pattern).isNull())
 
 
 CHECKS = {"integer": invalid_integer, "decimal": invalid_decimal, "date": invalid_date}

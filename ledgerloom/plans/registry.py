@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import core_problems
+from . import core_problems, core_sql, sales_queries, sales_sql
 
 
 def queries() -> dict:
-    return dict(core_problems.QUERIES)
+    return sales_queries.QUERIES | core_problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sales_sql.SQL | core_sql.SQL
