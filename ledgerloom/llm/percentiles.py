@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .order_bits import from_key, with_key
 
 #: Bits of each selection pass; their sum is the width of a key.
@@ -22,6 +23,8 @@ DIGITS = (20, 16, 14, 14)
 #: Bits of a stored partial: sign, 11 of exponent and 12 of mantissa, hence a relative bin width of 2**-12.
 PARTIAL_BITS = 24
 LEVEL = "_level"
+#: Counted open digits up to which a pass broadcasts them.
+BROADCAST_ROWS = 50_000
 
 
 def partials(df: DataFrame, value: str, groups: Sequence[str], parts: Sequence[str] = (), bits: int = 64) -> DataFrame:
@@ -55,7 +58,7 @@ def _targets(percentiles: Sequence[float]) -> Column:
     return F.array(*[F.struct(F.lit(float(p)).alias("p"), rank(p).alias("rank")) for p in percentiles])
 
 
-def _follow(counts: DataFrame, groups: Sequence[str], within: Sequence[str], digit: str) -> DataFrame:
+def _follow(counts: DataFrame, groups: Sequence[str], within: Sequence[str], digit: str, keep: Sequence[str] = ()) -> DataFrame:
     """counts: (groups..., n_values, within..., targets, digit, n) -> one row per digit that holds targets, their ranks made relative to it.
     A window holds one digit's bins of one group, at most 2**bits of that digit, whatever the number of rows."""
     w = Window.partitionBy(*groups, *within).orderBy(digit).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -63,32 +66,44 @@ def _follow(counts: DataFrame, groups: Sequence[str], within: Sequence[str], dig
     before = F.col("_upto") - F.col("n")
     inside = F.filter("targets", lambda t: (t["rank"] <= F.col("_upto")) & (t["rank"] > before))
     kept = upto.withColumn("targets", F.transform(inside, lambda t: F.struct(t["p"].alias("p"), (t["rank"] - before).alias("rank"))))
-    return kept.where(F.size("targets") > 0).select(*groups, "n_values", F.col(digit).alias("prefix"), "targets")
+    return kept.where(F.size("targets") > 0).select(*groups, "n_values", F.col(digit).alias("prefix"), "targets", *keep)
 
 
 def select_ranks(histogram: DataFrame, groups: Sequence[str], percentiles: Sequence[float], digits: Sequence[int] = DIGITS) -> DataFrame:
     """(groups..., p, n_values, value): the value of rank ceil(p * n), at least 1, of each group; exact.
 
-    `histogram` is a merged 64-bit histogram, best a stored one, as each pass reads it. Groups without values have no row; null group parts form their
-    own group; ties and repeated rows count each time; an empty histogram gives no row.
+    `histogram` is a merged 64-bit histogram, best a stored one, as each pass reads it. A digit that turns out to hold one value only is settled at
+    once; a pass follows the others. Groups without values have no row; null group parts form their own group; ties and repeated rows count each
+    time; an empty histogram gives no row.
     """
     if sum(digits) != 64:
         raise ValueError("the digits must make up 64 bits")
     rest = 64 - digits[0]
-    first = histogram.groupBy(*groups, F.shiftright("bin", rest).alias("digit")).agg(F.sum("n").alias("n"))
+    ends = [F.min("bin").alias("lo"), F.max("bin").alias("hi")]
+    first = histogram.groupBy(*groups, F.shiftright("bin", rest).alias("digit")).agg(F.sum("n").alias("n"), *ends)
     first = first.withColumn("n_values", F.sum("n").over(Window.partitionBy(*groups))).withColumn("targets", _targets(percentiles))
-    kept = _follow(first, groups, [], "digit")
+    kept = cut(_follow(first, groups, [], "digit", ["lo", "hi"]))
+    settled = [kept.where(F.col("lo") == F.col("hi"))]
     for width in digits[1:]:
+        open_ = kept.where(F.col("lo") < F.col("hi"))
+        many = open_.count()
+        if not many:
+            break
         before, rest = rest, rest - width
-        data = histogram.select(*[F.col(g).alias(f"_{g}") for g in groups], F.shiftright("bin", before).alias("_prefix"), F.shiftright("bin", rest).alias("digit"), "n")
-        # The surviving digits, at most one per target and group: AQE broadcasts them where they turn out small and shuffles by (group, digit) otherwise.
-        same = [F.col(f"_{g}").eqNullSafe(F.col(g)) for g in groups]
+        data = histogram.select(*[F.col(g).alias(f"_{g}") for g in groups], F.shiftright("bin", before).alias("_prefix"), F.shiftright("bin", rest).alias("digit"), "bin", "n")
+        # The digits still open, at most one per target and group: broadcast where their counted number is small, else joined by (group, digit).
+        open_ = open_.drop("lo", "hi")
+        side = F.broadcast(open_) if many <= BROADCAST_ROWS else open_
         on = F.col("_prefix") == F.col("prefix")
-        for c in same:
-            on = on & c
-        met = data.join(kept, on).groupBy(*groups, "n_values", "prefix", "targets", "digit").agg(F.sum("n").alias("n"))
-        kept = _follow(met, groups, ["prefix"], "digit")
-    return kept.select(*groups, F.explode("targets").alias("_t"), "n_values", "prefix").select(*groups, "_t.p", "n_values", from_key(F.col("prefix")).alias("value"))
+        for g in groups:
+            on = on & F.col(f"_{g}").eqNullSafe(F.col(g))
+        met = data.join(side, on).groupBy(*groups, "n_values", "prefix", "targets", "digit").agg(F.sum("n").alias("n"), *ends)
+        kept = cut(_follow(met, groups, ["prefix"], "digit", ["lo", "hi"]))
+        settled.append(kept.where(F.col("lo") == F.col("hi")))
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out.select(*groups, F.explode("targets").alias("_t"), "n_values", "lo").select(*groups, "_t.p", "n_values", from_key(F.col("lo")).alias("value"))
 
 
 def bounded(histogram: DataFrame, groups: Sequence[str], percentiles: Sequence[float], bits: int = PARTIAL_BITS) -> DataFrame:
