@@ -304,4 +304,5 @@ def analyser(spark: SparkSession, coder: Coder):
             _held[key] = shipped.value
         return pd.Series(analyse(_held[key], list(text)))
 
-    return stretches
+    # Otherwise Catalyst would run the analysis once for a filter on its result and again for the result.
+    return stretches.asNondeterministic()
