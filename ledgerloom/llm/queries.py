@@ -155,4 +155,9 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bounded, p4_found, p4_mapped, p4_unmatched, p6_distinct, p6_load_sketches, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_segments)}
-SQL: dict[str, str] = {}
+
+_QUANTILES = ", ".join(f"quantile_disc(threshold, {p}) AS p{round(p * 100)}" for p in TARGETS)
+SQL: dict[str, str] = {
+    "p2_percentiles": f"""SELECT CASE WHEN GROUPING(month) = 1 THEN 'sku' WHEN GROUPING(sku) = 1 THEN 'month' ELSE 'sku,month' END AS grouping, sku, month, count(threshold) AS n_values,
+      {_QUANTILES}, CAST(0.0 AS DOUBLE) AS error_bound FROM task_2_2 WHERE threshold IS NOT NULL GROUP BY GROUPING SETS ((sku, month), (month), (sku))""",
+}
