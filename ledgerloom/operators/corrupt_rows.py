@@ -56,7 +56,8 @@ def field_count(line: Column) -> Column:
 
 
 def classify_columns(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """`df` with `reasons` (array<string>, empty for valid rows). Blank and null values are valid."""
+    """`df` with `reasons` (array<string>, empty for valid rows; a column of that name is replaced). Blank and null values are valid; all other
+    columns, whatever their names, pass through. An empty table gives an empty table."""
     return df.withColumn("reasons", cast_reasons({c: F.col(c) for c in kinds}, kinds))
 
 
@@ -70,7 +71,9 @@ def parse_lines(df: DataFrame, line: str, columns: Sequence[str], kinds: dict[st
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "maxCharsPerColumn": "-1"}
     raw = F.col(line)
     lines = df.where(~is_blank(line)).select(*keys, raw.alias("_line"))
-    read = lines.select(*keys, "_line", sound_quoting(F.col("_line")).alias("_sound"), F.from_csv(F.col("_line"), F.lit(schema), options).alias("_r"))
+    # A generator keeps Catalyst from inlining the parse into each of the fields' checks.
+    parsed = F.explode(F.array(F.struct(sound_quoting(F.col("_line")).alias("_sound"), F.from_csv(F.col("_line"), F.lit(schema), options).alias("_r")))).alias("_p")
+    read = lines.select(*keys, "_line", parsed).select(*keys, "_line", "_p.*")
     count = F.when(F.col("_sound"), field_count(F.col("_line")))
     whole = F.col("_sound") & (count == len(columns))
     shape = F.when(~F.col("_sound"), F.array(F.lit("quoting_unsound"))).when(~whole, F.array(F.concat(F.lit("field_count_"), count.cast("string"))))
