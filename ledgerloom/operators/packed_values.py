@@ -38,7 +38,7 @@ def grammar(known: list[str] = (), delimiters: str = DELIMITERS) -> str:
     """The pattern of one Item."""
     d = "".join(_java_literal(c) for c in delimiters)
     gap = "[" + "".join(_java_literal(c) for c in BLANKS if c not in delimiters) + "]*+"
-    end = rf"(?={gap}(?:[{d}\]]|/[\x00-\x20]|\z))"
+    end = rf"(?={gap}(?:[{d}\]]|/(?:[\x00-\x20]|\z)|\z))"
     double = rf'"(?:[^"\\]++|""|\\.)*+"{end}'
     single = rf"'(?:[^'\\]++|''|\\.)*+'{end}"
     plain = rf'"(?:[^"]++|"")*+"{end}'
@@ -54,7 +54,7 @@ def needs_alternative(value: str, delimiters: str = DELIMITERS) -> bool:
 def parse_packed(field: Column, known: list[str] = (), delimiters: str = DELIMITERS) -> Column:
     """array<struct<pos int, value string, error string>> of the non-blank values of a field; null and blank give an empty array.
 
-    error: null, or `unclosed_quote` (a quote that opens or closes nowhere sound; the raw text without it is the value).
+    error: null, or `unclosed_quote` (a leading or an odd quote that has no sound partner; the raw text without it is the value).
     """
     raw = trimmed(F.coalesce(field, F.lit("")))
     inner = F.when(raw.rlike(r"(?s)^\[.*\]$"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
@@ -65,7 +65,8 @@ def parse_packed(field: Column, known: list[str] = (), delimiters: str = DELIMIT
         body = F.substring(t, F.lit(2), F.length(t) - 2)
         double = F.length(t).__ge__(2) & t.startswith('"') & t.endswith('"')
         single = F.length(t).__ge__(2) & t.startswith("'") & t.endswith("'")
-        broken = ~double & ~single & t.rlike("^[\"']|(?<![0-9A-Za-z ])[\"']$")
+        odd = (F.length(t) - F.length(F.replace(t, F.lit('"'), F.lit("")))) % 2 == 1
+        broken = ~double & ~single & (t.rlike("^[\"']") | odd)
         decoded = (
             F.when(double, F.regexp_replace(F.replace(body, F.lit('""'), F.lit('"')), r"(?s)\\(.)", "$1"))
             .when(single, F.regexp_replace(F.replace(body, F.lit("''"), F.lit("'")), r"(?s)\\(.)", "$1"))

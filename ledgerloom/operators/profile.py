@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DECIMAL, INTEGER, is_blank, list_items, parse_date, text, trimmed, upper_text
+from ..session import bounded_rows
 
 
 def integrity(raw: DataFrame) -> DataFrame:
     """One row of integrity metrics of raw sales rows."""
     bad = lambda c, p: F.count_if(F.coalesce(~text(c).rlike(p), F.lit(False)))
     rows = raw.select("*", parse_date("order_date").alias("_d"), F.size(list_items("promotion_ids")).alias("_p"), upper_text("ship_state").alias("_s"))
-    once = rows.agg(
+    return rows.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count("_d").alias("parsed_dates"),
         F.count_if(F.col("_d").isNull()).alias("invalid_dates"),
@@ -28,8 +29,6 @@ def integrity(raw: DataFrame) -> DataFrame:
         F.avg("_p").alias("avg_promotions"),
     )
 
-    return once
-
 
 def distinct_values(raw: DataFrame) -> DataFrame:
     """(metric, value): distinct order ids and states, and surplus rows of repeated indexes."""
@@ -75,8 +74,6 @@ def markdown_table(header: Sequence[str], rows: Sequence[Sequence[object]]) -> s
 
 def report(raw: DataFrame, columns: Sequence[str], most: int = 10_000) -> str:
     """Markdown of the whole profile; frequency tables are those of low-cardinality columns and are checked for size."""
-    from ..session import bounded_rows
-
     metrics = [*integrity(raw).first().asDict().items(), *[(r["metric"], r["value"]) for r in distinct_values(raw).collect()]]
     parts = ["# Data profile", "## Input integrity", markdown_table(["Metric", "Value"], [(k, f"{v:.4f}" if isinstance(v, float) else v) for k, v in metrics])]
     parts += ["## Missing values", markdown_table(["Column", "Null or blank rows"], [tuple(r) for r in blanks(raw, columns).collect()])]

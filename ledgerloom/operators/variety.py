@@ -15,8 +15,9 @@ def ranked_families(df: DataFrame, family: str, rank: str, least: int) -> DataFr
 
 def family_variety(df: DataFrame, region: str, month: str, family: str, item: str, rank: str) -> DataFrame:
     """(region, month, family, variety, top_rank): exact distinct items, pre-aggregated per item before they are counted; no rank is 0."""
-    whole = df.where(F.col(region).isNotNull() & F.col(month).isNotNull() & F.col(family).isNotNull() & F.col(item).isNotNull())
-    items = whole.groupBy(region, month, family, item).agg(F.max(F.coalesce(F.col(rank), F.lit(0))).alias("_rank"))
+    rows = df.select(region, month, family, item, F.coalesce(F.col(rank), F.lit(0)).alias("_rank"))
+    whole = rows.where(F.col(region).isNotNull() & F.col(month).isNotNull() & F.col(family).isNotNull() & F.col(item).isNotNull())
+    items = whole.groupBy(region, month, family, item).agg(F.max("_rank").alias("_rank"))
     return items.groupBy(region, month, family).agg(F.count(F.lit(1)).alias("variety"), F.max("_rank").alias("top_rank"))
 
 

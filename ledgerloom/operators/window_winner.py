@@ -15,11 +15,12 @@ UNITS = 100
 
 def moments(df: DataFrame, entity: str, day: str, item: str, value: str, units: int = UNITS) -> DataFrame:
     """(entity, day, item, n, m, s1, s2): rows, rows with a value, exact sum and sum of squares of the value in 1/units."""
-    u = F.round(F.col(value) * units).cast("bigint")
-    sq = u.cast("decimal(19,0)") * u.cast("decimal(19,0)")
-    return df.withColumn("_u", u).groupBy(entity, day, item).agg(
-        F.count(F.lit(1)).alias("n"), F.count("_u").alias("m"), F.sum(F.col("_u").cast("decimal(19,0)")).cast("decimal(28,0)").alias("s1"), F.sum(sq).cast("decimal(38,0)").alias("s2")
+    rows = df.select(F.col(entity).alias("_e"), F.col(day).alias("_d"), F.col(item).alias("_i"), F.round(F.col(value) * units).cast("bigint").alias("_u"))
+    u = F.col("_u").cast("decimal(19,0)")
+    found = rows.groupBy("_e", "_d", "_i").agg(
+        F.count(F.lit(1)).alias("n"), F.count("_u").alias("m"), F.sum(u).cast("decimal(28,0)").alias("s1"), F.sum((u * u).cast("decimal(28,0)")).cast("decimal(38,0)").alias("s2")
     )
+    return found.withColumnsRenamed({"_e": entity, "_d": day, "_i": item})
 
 
 def population_variance(m: Column, s1: Column, s2: Column, units: int = UNITS) -> Column:
