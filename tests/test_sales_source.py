@@ -1,0 +1,121 @@
+import datetime
+
+import pytest
+
+from ledgerloom.sources import sales as S
+from ledgerloom.sources import sinks
+
+
+def line(**kw):
+    base = dict.fromkeys(S.SALES_COLUMNS, "")
+    base |= {"source_index": "1", "order_id": "o", "order_date": "04-03-22", "status": "Shipped", "quantity": "1", "amount": "5", "ship_state": "DELHI"}
+    base |= kw
+    return ",".join(base[c] for c in S.SALES_COLUMNS)
+
+
+@pytest.fixture
+def read(spark, tmp_path):
+    def f(*lines, header=None, strict=False):
+        path = tmp_path / "in.csv"
+        path.write_text("\n".join([header or ",".join(S.HEADER), *lines]) + "\n", encoding="utf-8")
+        return S.read_sales(spark, str(path), strict)
+
+    return f
+
+
+CASES = [
+    (dict(promotion_ids='"P1, P2,,P1 "'), dict(promotion_ids=["P1", "P2"], promotion_count=2, duplicate_promotion_count=1)),
+    (dict(promotion_ids=""), dict(promotion_ids=[], promotion_count=0, duplicate_promotion_count=0)),
+    (dict(status="Shipped - Delivered to Buyer"), dict(is_shipped=True, is_bought=True, is_cancelled=False)),
+    (dict(status="Shipping"), dict(is_shipped=False, is_bought=False)),
+    (dict(status=""), dict(is_shipped=False, is_cancelled=False, status=None)),
+    (dict(quantity="0"), dict(is_shipped=True, is_bought=False)),
+    (dict(quantity=""), dict(is_bought=False, quantity=None)),
+    (dict(quantity="1.0"), dict(quantity=None)),
+    (dict(quantity="99999999999"), dict(quantity=None)),
+    (dict(amount=""), dict(amount=None)),
+    (dict(amount=".5"), dict(amount=0.5)),
+    (dict(amount="5."), dict(amount=5.0)),
+    (dict(amount="1e3"), dict(amount=None)),
+    (dict(amount="NaN"), dict(amount=None)),
+    (dict(order_date="02-30-22"), dict(order_date=None, order_month=None)),
+    (dict(order_date="4-3-22"), dict(order_date=None)),
+    (dict(order_date="2022-04-03"), dict(order_date=None)),
+    (dict(order_date="04-03-22"), dict(order_date=datetime.date(2022, 4, 3), order_month="2022-04")),
+    (dict(ship_state=" delhi "), dict(ship_state="DELHI", is_valid_state=True)),
+    (dict(ship_state="NEW DELHI"), dict(ship_state="NEW DELHI", is_valid_state=True)),
+    (dict(ship_state="APO"), dict(is_valid_state=False)),
+    (dict(ship_state=""), dict(ship_state=None, is_valid_state=False)),
+    (dict(size="xxl"), dict(size="XXL", size_rank=6)),
+    (dict(size="Free"), dict(size="FREE", size_rank=None)),
+    (dict(size=""), dict(size=None, size_rank=None)),
+    (dict(ship_postal_code="411038.0"), dict(ship_postal_code="411038")),
+    (dict(ship_postal_code="411038"), dict(ship_postal_code="411038")),
+    (dict(is_b2b="TRUE"), dict(is_b2b=True)),
+    (dict(is_b2b="false"), dict(is_b2b=False)),
+    (dict(is_b2b="yes"), dict(is_b2b=None)),
+    (dict(order_id="\tabc\t"), dict(order_id="abc")),
+    (dict(ship_city='"x,y""z"'), dict(ship_city='X,Y"Z')),
+]
+
+
+def test_rows(read):
+    good, bad = read(*[line(**raw, source_index=str(i)) for i, (raw, _) in enumerate(CASES)])
+    got = {r["source_index"]: r for r in good.collect()}
+    assert bad.count() == 0
+    assert len(good.columns) == 31
+    for i, (raw, want) in enumerate(CASES):
+        assert {k: got[i][k] for k in want} == want, raw
+
+
+def test_wrong_field_counts_are_kept_apart(read):
+    good, bad = read(line(), line() + ",extra", line().rsplit(",", 1)[0], "", line())
+    assert good.count() == 2
+    assert [r[S.CORRUPT] for r in bad.collect()] == [line() + ",extra", line().rsplit(",", 1)[0]]
+
+
+def test_same_order_twice_is_two_rows(read):
+    assert read(line(), line())[0].count() == 2
+
+
+def test_header_and_strict(read):
+    with pytest.raises(Exception, match="CSV header does not conform|header"):
+        read(line(), header=",".join(S.HEADER).replace("Qty", "Quantity"))[0].collect()
+    assert read(line(), strict=True)[0].count() == 1
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|[Mm]alformed"):
+        read(line() + ",extra", strict=True)[0].collect()
+
+
+def test_extra_columns_pass_only_when_named(spark):
+    raw = spark.createDataFrame([("1",) * 24 + (7, "clash")], ", ".join(f"{c} string" for c in S.SALES_COLUMNS) + ", row_id int, size_rank string")
+    assert S.canonical(raw, keep=("row_id",)).first()["row_id"] == 7
+    assert S.canonical(raw.limit(0)).count() == 0
+
+
+def test_single_file(spark, tmp_path):
+    df = spark.range(100, numPartitions=4).selectExpr("99 - id AS id", "concat('a,', id) AS t")
+    for fmt in ("csv", "parquet"):
+        target = tmp_path / f"out.{fmt}"
+        target.write_text("old")
+        sinks.write_single_file(df, str(target), fmt, order=["id"])
+        assert target.is_file() and len(list(tmp_path.iterdir())) == 1
+        back = spark.read.option("header", True).csv(str(target)) if fmt == "csv" else spark.read.parquet(str(target))
+        assert [int(r["id"]) for r in back.collect()] == list(range(100))
+        target.unlink()
+    with pytest.raises(ValueError, match="format"):
+        sinks.write_single_file(df, str(tmp_path / "x"), "orc")
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.write_single_file(df.selectExpr("raise_error('no') AS x"), str(tmp_path / "y.csv"), "csv")
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_folders_round_trip_and_lines(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b"', ["x", "y"]), (2, None, [])], "id int, t string, l array<string>")
+    assert sinks.round_trip(spark, df, str(tmp_path)) == (2, 2, 2)
+    assert [r["l"] for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).orderBy("id").collect()][0] == "x,y"
+    text = tmp_path / "lines.txt"
+    sinks.write_text(str(text), "header\n\na\n")
+    assert sinks.line_count(spark, str(text)).first()["lines"] == 3
+    sinks.write_folder(df.drop("l"), str(tmp_path / "parts"), partition_by=["id"])
+    r = sinks.input_bytes(spark.read.parquet(str(tmp_path / "parts"))).first()
+    assert r["files"] == 2 and r["bytes"] > 0
