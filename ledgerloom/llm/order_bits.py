@@ -24,7 +24,7 @@ def with_key(df: DataFrame, value: Column, name: str) -> DataFrame:
 
     d = df.select(*columns, value.cast("double").alias(f"_{name}_x"))
     d = step(d, "x", "a", F.abs(x))
-    d = step(d, "xa", "g", F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(F.nullif(a, F.lit(0.0)))).cast("int"))))
+    d = step(d, "xa", "g", F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(F.when((a > 0) & (a < F.lit(float("inf"))), a))).cast("int"))))
     d = step(d, "xa", "e", F.when((g > -1022) & (a < F.pow(two, g)), g - 1).when((g < 1023) & (a >= F.pow(two, g + 1)), g + 1).otherwise(g))
     # Scaling by powers of two is exact; two steps keep every factor in range.
     d = step(d, "xae", "h", F.floor((F.lit(MANTISSA) - e) / 2).cast("int"))

@@ -108,10 +108,11 @@ def select_ranks(histogram: DataFrame, groups: Sequence[str], percentiles: Seque
 
 def bounded(histogram: DataFrame, groups: Sequence[str], percentiles: Sequence[float], bits: int = PARTIAL_BITS) -> DataFrame:
     """(groups..., p, n_values, low, high, estimate, error_bound) from merged `bits`-bit partials alone: the true value lies in [low, high], so
-    |estimate - value| <= error_bound = (high - low) / 2."""
+    |estimate - value| <= error_bound, about (high - low) / 2."""
     by_group = Window.partitionBy(*groups)
     counted = histogram.withColumnRenamed("bin", "digit").withColumn("n_values", F.sum("n").over(by_group)).withColumn("targets", _targets(percentiles))
     held = _follow(counted, groups, [], "digit").select(*groups, F.explode("targets").alias("_t"), "n_values", "prefix")
     low = from_key(F.shiftleft("prefix", 64 - bits))
     high = from_key(F.shiftleft("prefix", 64 - bits) + F.lit((1 << (64 - bits)) - 1))
-    return held.select(*groups, "_t.p", "n_values", low.alias("low"), high.alias("high"), ((low + high) / 2).alias("estimate"), ((high - low) / 2).alias("error_bound"))
+    edges = held.select(*groups, "_t.p", "n_values", low.alias("low"), high.alias("high")).withColumn("estimate", F.col("low") / 2 + F.col("high") / 2)
+    return edges.withColumn("error_bound", F.greatest(F.col("estimate") - F.col("low"), F.col("high") - F.col("estimate")))
