@@ -25,15 +25,24 @@ def unfold(placed, containers, capacity, counts):
     return inside
 
 
+def best_fit_decreasing(counts, capacity):
+    gaps = []
+    for s in sorted((s for s, n in counts.items() for _ in range(n)), reverse=True):
+        fit = [g for g in range(len(gaps)) if gaps[g] >= s]
+        if fit:
+            gaps[min(fit, key=gaps.__getitem__)] -= s
+        else:
+            gaps.append(capacity - s)
+    return len(gaps)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(1, 60).flatmap(lambda c: st.tuples(st.just(c), st.dictionaries(st.integers(1, c), st.integers(1, 40), max_size=12))))
 def test_placed_runs_are_a_packing(case):
     capacity, counts = case
     placed, containers = packing.place_runs(counts, capacity)
     unfold(placed, containers, capacity, counts)
-    total = sum(s * n for s, n in counts.items())
-    # No worse than first-fit decreasing's bound.
-    assert containers <= 11 / 9 * max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity)) + 4
+    assert containers <= best_fit_decreasing(counts, capacity) * 1.05 + 1
 
 
 def test_close_to_best_fit_decreasing():
@@ -43,15 +52,8 @@ def test_close_to_best_fit_decreasing():
         for _ in range(4000):
             s = min(capacity, max(1, int(rng.lognormvariate(3.6, 0.9))))
             counts[s] = counts.get(s, 0) + 1
-        gaps = []
-        for s in sorted((s for s, n in counts.items() for _ in range(n)), reverse=True):
-            fit = [g for g in range(len(gaps)) if gaps[g] >= s]
-            if fit:
-                gaps[min(fit, key=gaps.__getitem__)] -= s
-            else:
-                gaps.append(capacity - s)
         _, containers = packing.place_runs(counts, capacity)
-        assert containers <= len(gaps) * 1.01 + 1
+        assert containers <= best_fit_decreasing(counts, capacity) * 1.01 + 1
 
 
 def test_lengths_outside_raise():
@@ -83,10 +85,11 @@ def test_pack(spark):
             assert [p[0] for p in parts] == [sum(q[1] for q in parts[:k]) for k in range(len(parts))]
             assert sum(p[1] for p in parts) == s
             assert len(parts) == max(1, -(-s // capacity))
-        total = sum(s for s in sizes if s)
-        # Pieces beyond half a capacity cannot share.
-        alone = sum(2 * r["length"] > capacity for r in own)
-        assert len(room) <= max(-(-total // capacity), alone) * 1.03 + 1
+        counts = {}
+        for r in own:
+            if r["length"]:
+                counts[r["length"]] = counts.get(r["length"], 0) + 1
+        assert len(room) <= best_fit_decreasing(counts, capacity) * 1.02 + 1
     fill = {r["pack_name"]: r for r in packing.fill(packing.pack(df, "doc_id", "n", [("small", 100)])).collect()}
     assert fill["small"]["tokens"] == sum(s for s in sizes if s) and 0 <= fill["small"]["unused_share"] < 0.3
     assert packing.pack(df.limit(0), "doc_id", "n", [("small", 100)]).count() == 0
