@@ -16,6 +16,7 @@ shuffled once a partition holds more than LIMIT of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -147,8 +148,16 @@ def merge_sketches(sketches: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """One sketch per (dimensions..., grouping, identifier), whatever parts the given ones came from.
 
     Sorted partitions are read as a stream and each group's sketches are folded into one as they pass, so a group's partials are never held together.
+    A group found in all of P partitions is first merged in about sqrt(P) parts, then across them, so no task reads more than sqrt(P) sketches of it.
     """
     keys = [*dimensions, "grouping", "identifier"]
+    partitions = sketches.rdd.getNumPartitions()
+    parts = math.isqrt(max(1, partitions - 1)) + 1
+    salted = sketches.select(*keys, F.pmod(F.spark_partition_id(), F.lit(parts)).alias("_part"), "hashes", "registers")
+    return _merged(_merged(salted, [*keys, "_part"]).drop("_part"), keys)
+
+
+def _merged(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     fields = ", ".join(f"`{k}` {sketches.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{fields}, hashes array<bigint>, registers array<double>"
 
