@@ -1,7 +1,7 @@
 """Column-level quality profile per load, and the loads in which a column changed.
 
-All statistics come from mergeable partial aggregates. Numeric columns keep exact power sums (count, sum, sum of squares, cubes and
-fourth powers of scaled integers, as decimals), so profiles of loads or days add up to the profile of their union without rereading rows.
+All statistics come from mergeable partial aggregates. Numeric columns keep exact power sums (counts and sums of the first four powers of scaled
+integers, as decimals), so profiles of loads or days add up to the profile of their union without rereading rows.
 """
 
 from __future__ import annotations
@@ -54,41 +54,52 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], numeric: Sequence[
     return texts.join(power_sums(df, load, numeric), ["load_id", "column_name"], "left")
 
 
-def power_sums(df: DataFrame, load: str, numeric: Sequence[str], scale: int = 2) -> DataFrame:
-    """(load_id, column_name, n, s1..s4, lo, hi) of the valid numbers, exact in units of 10**-scale; sums of two profiles add."""
+#: Largest number, in units, that enters the power sums: fourth powers of up to 10**10 rows then fit a decimal. Larger ones are counted apart.
+SUM_LIMIT = 10**7
+
+
+def power_sums(df: DataFrame, load: str, numeric: Sequence[str], scale: int = 2, limit: int = SUM_LIMIT) -> DataFrame:
+    """(load_id, column_name, valid, n, s1..s4, lo_units, hi_units): exact sums of the first four powers of the valid numbers, in units of 10**-scale.
+
+    The sums of two profiles add up to those of their union. Numbers beyond `limit` units are valid and in the range but in no sum, so that single
+    values of another order of magnitude do not hide a shift; valid - n counts them.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), parse_units(c, scale).alias("u")) for c in numeric])).alias("_p")
-    u = F.col("u").cast("decimal(19,0)")
-    # Integers beyond 10**9 units are counted in range but left out of the third and fourth powers' exact width.
-    small = F.when(F.abs(F.col("u")) <= 10**9, F.col("u"))
-    sq = small.cast("decimal(10,0)") * small.cast("decimal(10,0)")
-    return (
-        df.select(F.col(load).alias("load_id"), pairs)
-        .select("load_id", "_p.*")
-        .groupBy("load_id", "column_name")
-        .agg(
-            F.count("u").alias("n"), F.sum(u).cast("decimal(38,0)").alias("s1"), F.count(small).alias("n_small"),
-            F.sum(sq).cast("decimal(38,0)").alias("s2"),
-            F.sum((sq * small.cast("decimal(10,0)")).cast("decimal(28,0)")).cast("decimal(38,0)").alias("s3"),
-            F.min("u").alias("lo_units"), F.max("u").alias("hi_units"),
-        )
-    )
+    width = len(str(limit))
+    u = F.when(F.abs(F.col("u")) <= limit, F.col("u")).cast(f"decimal({width},0)")
+    powers = [u]
+    for k in range(2, 5):
+        powers.append((powers[-1] * u).cast(f"decimal({k * width},0)"))
+    sums = [F.coalesce(F.sum(p), F.lit(0)).cast("decimal(38,0)").alias(f"s{k + 1}") for k, p in enumerate(powers)]
+    rows = df.select(F.col(load).alias("load_id"), pairs).select("load_id", "_p.*")
+    return rows.groupBy("load_id", "column_name").agg(F.count("u").alias("valid"), F.count(u).alias("n"), *sums, F.min("u").alias("lo_units"), F.max("u").alias("hi_units"))
+
+
+def merge_power_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Power sums added up over everything but `keys`."""
+    total = lambda c: F.sum(c).cast("decimal(38,0)").alias(c)
+    return sums.groupBy(*keys).agg(F.sum("valid").alias("valid"), F.sum("n").alias("n"), *[total(f"s{k}") for k in range(1, 5)], F.min("lo_units").alias("lo_units"), F.max("hi_units").alias("hi_units"))
 
 
 def standardised_shift(sums: DataFrame, scale: int = 2) -> DataFrame:
-    """(load_id, column_name, mean, stddev, shift): difference of a load's mean from the mean of all other loads together, divided by the
-    pooled standard deviation; both follow from the sums alone. Null where either side holds fewer than two values or no spread."""
+    """(load_id, column_name, mean, stddev, skewness, shift): shift is the difference of a load's mean from the mean of all other loads together,
+    divided by the pooled standard deviation; all of it follows from the sums. Null where there are fewer than two values or no spread."""
     whole = Window.partitionBy("column_name")
     unit = float(10**scale)
     d = lambda c: F.col(c).cast("double")
-    x = sums.withColumns({"all_n": F.sum("n").over(whole), "all_s1": F.sum("s1").over(whole), "all_small": F.sum("n_small").over(whole), "all_s2": F.sum("s2").over(whole)})
-    mean = F.try_divide(d("s1"), d("n"))
-    rest_n = d("all_n") - d("n")
-    rest = F.try_divide(d("all_s1") - d("s1"), rest_n)
-    var = F.greatest(F.lit(0.0), F.try_divide(d("s2"), d("n_small")) - F.pow(F.try_divide(d("s1"), d("n")), 2))
-    rest_var = F.greatest(F.lit(0.0), F.try_divide(d("all_s2") - d("s2"), d("all_small") - d("n_small")) - F.pow(rest, 2))
-    pooled = F.sqrt((var + rest_var) / 2)
-    shift = F.when((d("n") >= 2) & (rest_n >= 2) & (pooled > 0), (mean - rest) / pooled)
-    return x.select("load_id", "column_name", (mean / unit).alias("mean"), (F.sqrt(var) / unit).alias("stddev"), shift.alias("shift"))
+    x = sums.withColumns({f"all_{c}": F.sum(c).over(whole) for c in ("n", "s1", "s2")})
+    rest = lambda c: d(f"all_{c}") - d(c)
+
+    def spread(n: Column, s1: Column, s2: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.try_divide(s2, n) - F.pow(F.try_divide(s1, n), 2))
+
+    mean, other = F.try_divide(d("s1"), d("n")), F.try_divide(rest("s1"), rest("n"))
+    var = spread(d("n"), d("s1"), d("s2"))
+    pooled = F.sqrt((var + spread(rest("n"), rest("s1"), rest("s2"))) / 2)
+    third = F.try_divide(d("s3"), d("n")) - 3 * mean * F.try_divide(d("s2"), d("n")) + 2 * F.pow(mean, 3)
+    shift = F.when((d("n") >= 2) & (rest("n") >= 2) & (pooled > 0), (mean - other) / pooled)
+    skew = F.when((d("n") >= 2) & (var > 0), third / F.pow(var, 1.5))
+    return x.select("load_id", "column_name", (mean / unit).alias("mean"), (F.sqrt(var) / unit).alias("stddev"), skew.alias("skewness"), shift.alias("shift"))
 
 
 def _against_median(shares: DataFrame, limit: float) -> DataFrame:

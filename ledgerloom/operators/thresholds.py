@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .window_winner import population_variance
@@ -55,14 +55,14 @@ def exact_by_array(obs: DataFrame, group: Sequence[str], percentiles: Sequence[f
     return each.select(*group, F.lit(EXACT).alias("method"), "percentile", (lo + (h - F.floor(h)) * (hi - lo)).alias("threshold"), "total_order_count")
 
 
-def statistics(obs: DataFrame, thresholds: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(group..., RESULT): rows of the group whose value reaches the threshold, their amounts and the population deviation of these (0.0 below two).
-
-    Rows are reduced to moments per (group, value) before the join, so the fan-out per percentile multiplies those only.
-    """
+def value_moments(obs: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group..., value, n, m, s1, s2): rows, amounts, exact sum and sum of squares of the amounts in 1/100."""
     u = F.round(F.col("amount") * 100).cast("bigint").cast("decimal(19,0)")
-    m = obs.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"), F.count("amount").alias("m"), F.sum(u).cast("decimal(28,0)").alias("s1"), F.sum(u * u).cast("decimal(38,0)").alias("s2"))
-    met = m.join(thresholds, list(group)).where(F.col("value").cast("double") >= F.col("threshold"))
+    sums = [F.sum(u).cast("decimal(28,0)").alias("s1"), F.sum((u * u).cast("decimal(28,0)")).cast("decimal(38,0)").alias("s2")]
+    return obs.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"), F.count("amount").alias("m"), *sums)
+
+
+def _qualifying(met: DataFrame, group: Sequence[str]) -> DataFrame:
     out = met.groupBy(*group, "method", "percentile", "threshold", "total_order_count").agg(
         F.sum("n").alias("qualifying_order_count"), F.sum("m").alias("qualifying_amount_count"), F.sum("s1").cast("decimal(28,0)").alias("s1"), F.sum("s2").cast("decimal(38,0)").alias("s2")
     )
@@ -70,12 +70,29 @@ def statistics(obs: DataFrame, thresholds: DataFrame, group: Sequence[str]) -> D
     return out.withColumn("amount_stddev_pop", F.when(F.col("qualifying_amount_count") < 2, 0.0).otherwise(F.coalesce(sd, F.lit(0.0)))).select(*group, *RESULT)
 
 
+def statistics(obs: DataFrame, thresholds: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group..., RESULT): rows of the group whose value reaches the threshold, their amounts and the population deviation of these (0.0 below two).
+
+    Rows are reduced to moments per (group, value) before the join, so the fan-out per percentile multiplies those only.
+    """
+    met = value_moments(obs, group).join(thresholds, list(group)).where(F.col("value").cast("double") >= F.col("threshold"))
+    return _qualifying(met, group)
+
+
 def approximate_result(obs: DataFrame, group: Sequence[str]) -> DataFrame:
     return statistics(obs, approximate(obs, group), group)
 
 
-def exact_result(obs: DataFrame, group: Sequence[str]) -> DataFrame:
-    return statistics(obs, exact(obs, group), group)
+def exact_result(obs: DataFrame, group: Sequence[str], percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
+    """Exact thresholds and their statistics from one scan: both follow from the moments per (group, value), so there is no join. A window holds the
+    distinct values of a group."""
+    whole = Window.partitionBy(*group)
+    m = value_moments(obs, group)
+    t = F.percentile("value", F.array(*map(F.lit, percentiles)), F.col("n")).over(whole)
+    each = m.withColumns({"t": t, "total_order_count": F.sum("n").over(whole), "method": F.lit(EXACT)})
+    pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, percentiles)).alias("percentile"), F.col("t").alias("threshold"))).alias("_p")
+    met = each.select(*group, "value", "n", "m", "s1", "s2", "method", "total_order_count", pairs).select("*", "_p.percentile", "_p.threshold")
+    return _qualifying(met.where(F.col("value").cast("double") >= F.col("threshold")), group)
 
 
 def comparison(obs: DataFrame, approx: DataFrame, exact: DataFrame, group: Sequence[str]) -> DataFrame:

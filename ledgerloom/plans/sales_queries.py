@@ -145,11 +145,18 @@ def thresholds_array(spark: SparkSession, d: str) -> DataFrame:
     return thresholds.exact_by_array(observations(spark, d), GROUP).withColumn("threshold", F.round("threshold", 9))
 
 
+def threshold_exact_result(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(thresholds.exact_result(observations(spark, d), GROUP))
+
+
+def threshold_approximate_result(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(thresholds.approximate_result(observations(spark, d), GROUP))
+
+
 def threshold_results(spark: SparkSession, d: str) -> DataFrame:
     """Both methods' results in one frame."""
     obs = observations(spark, d)
-    both = thresholds.approximate(obs, GROUP).unionByName(thresholds.exact(obs, GROUP))
-    return _rounded(thresholds.statistics(obs, both, GROUP))
+    return _rounded(thresholds.approximate_result(obs, GROUP).unionByName(thresholds.exact_result(obs, GROUP)))
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
@@ -277,7 +284,7 @@ QUERIES = {"window_winner": winner, "window_winner_text": winner_text} | {
     for f in (
         canonical_sales, state_counts, daily_moments, window_days, median_variety_global, median_variety_local, ranked_styles, style_variety, city_share,
         promotion_periods, state_averages, candidate_rows, promotion_counts, flagged_candidates, plan_equivalence, thresholds_approximate, thresholds_exact,
-        thresholds_array, threshold_results, threshold_comparison, threshold_summary, threshold_strongest, threshold_invalid, threshold_duplicates,
+        thresholds_array, threshold_exact_result, threshold_approximate_result, threshold_results, threshold_comparison, threshold_summary, threshold_strongest, threshold_invalid, threshold_duplicates,
         group_sizes, largest_group, profile_integrity, profile_distinct, profile_blanks, status_frequencies, size_frequencies, state_frequencies,
         promotion_rows, state_aliases, states_without_city, scope_comparison, scope_differences, text_functions, order_totals, nation_months,
     )

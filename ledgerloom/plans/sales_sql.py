@@ -91,6 +91,7 @@ limits AS (SELECT * FROM approx UNION ALL BY NAME SELECT * FROM exact),
 met AS (SELECT l.sku, l.month, l.method, l.percentile, l.threshold, l.total_order_count, {MOMENTS} FROM obs o JOIN limits l ON o.sku = l.sku AND o.month = l.month AND o.value >= l.threshold GROUP BY ALL),
 results AS (SELECT sku, month, method, percentile, threshold, total_order_count, n AS qualifying_order_count, m AS qualifying_amount_count,
   CASE WHEN m < 2 THEN 0.0 ELSE coalesce(sqrt({VARIANCE}), 0.0) END AS amount_stddev_pop FROM met)"""
+ROUNDED = "SELECT * REPLACE (round(threshold, 9) AS threshold, round(amount_stddev_pop, 6) AS amount_stddev_pop) FROM results"
 COMPARED = f"""{STATS},
 paired AS (SELECT a.sku, a.month, a.percentile, a.threshold AS approx_threshold, a.qualifying_order_count AS approx_qualifying_order_count, a.amount_stddev_pop AS approx_amount_stddev_pop,
     e.threshold AS exact_threshold, e.qualifying_order_count AS exact_qualifying_order_count, e.amount_stddev_pop AS exact_amount_stddev_pop
@@ -137,7 +138,9 @@ SQL = {
     "thresholds_approximate": f"{OBS} SELECT * FROM approx",
     "thresholds_exact": f"{OBS} SELECT * REPLACE (round(threshold, 9) AS threshold) FROM exact",
     "thresholds_array": f"{OBS} SELECT * REPLACE (round(threshold, 9) AS threshold) FROM exact",
-    "threshold_results": f"{STATS} SELECT * REPLACE (round(threshold, 9) AS threshold, round(amount_stddev_pop, 6) AS amount_stddev_pop) FROM results",
+    "threshold_exact_result": f"{STATS} {ROUNDED} WHERE method = 'exact_type7'",
+    "threshold_approximate_result": f"{STATS} {ROUNDED} WHERE method = 'approx'",
+    "threshold_results": f"{STATS} {ROUNDED}",
     "threshold_comparison": f"""{COMPARED} SELECT * REPLACE (round(exact_threshold, 9) AS exact_threshold, round(approx_amount_stddev_pop, 6) AS approx_amount_stddev_pop,
       round(exact_amount_stddev_pop, 6) AS exact_amount_stddev_pop) FROM compared""",
     "threshold_summary": f"""{COMPARED} SELECT percentile, count(*) AS group_count, count(*) FILTER (threshold_differs) AS threshold_differs_count,

@@ -1,5 +1,7 @@
 import statistics
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import load_profile as P
 
 SCHEMA = "load_id bigint, status string, oid string, idx string, amount string, n int, value string, measure string"
@@ -63,20 +65,28 @@ def test_profile(spark):
 
 
 def test_power_sums_merge_and_shift(spark):
-    amounts = {1: [1.0, 2.5, -3.25], 2: [100.0, 101.0, 99.5, None], 3: [2.0]}
-    df = spark.createDataFrame([rows(k, "x", "x", "x", None if v is None else str(v)) for k, vs in amounts.items() for v in vs], SCHEMA)
+    amounts = {1: [1.0, 2.5, -3.25], 2: [100.0, 101.0, 99.5, None, 1e12], 3: [2.0]}
+    df = spark.createDataFrame([rows(k, "x", "x", "x", None if v is None else f"{v:.2f}") for k, vs in amounts.items() for v in vs], SCHEMA)
     sums = P.power_sums(df, "load_id", ["amount"])
     got = {r["load_id"]: r for r in sums.collect()}
     for k, vs in amounts.items():
-        units = [round(v * 100) for v in vs if v is not None]
-        assert (got[k]["n"], int(got[k]["s1"]), int(got[k]["s2"]), int(got[k]["s3"])) == (len(units), sum(units), sum(u * u for u in units), sum(u**3 for u in units))
+        units = [round(v * 100) for v in vs if v is not None and v < 1e6]
+        assert got[k]["n"] == len(units) and got[k]["valid"] == sum(v is not None for v in vs)
+        assert [int(got[k][f"s{p}"]) for p in range(1, 5)] == [sum(u**p for u in units) for p in range(1, 5)]
+    assert got[2]["hi_units"] == 10**14
+    merged = P.merge_power_sums(sums, ["column_name"]).first()
+    whole = P.merge_power_sums(P.power_sums(df.withColumn("load_id", F.lit(1)), "load_id", ["amount"]), ["column_name"]).first()
+    assert tuple(merged) == tuple(whole)
     shift = {r["load_id"]: r for r in P.standardised_shift(sums).collect()}
     rest = [1.0, 2.5, -3.25, 2.0]
     own = [100.0, 101.0, 99.5]
     pooled = ((statistics.pvariance(own) + statistics.pvariance(rest)) / 2) ** 0.5
     assert abs(shift[2]["shift"] - (statistics.mean(own) - statistics.mean(rest)) / pooled) < 1e-9
-    assert shift[3]["shift"] is None
-    assert abs(shift[1]["stddev"] - statistics.pstdev([1.0, 2.5, -3.25])) < 1e-9
+    assert shift[3]["shift"] is None and shift[3]["skewness"] is None
+    sd = statistics.pstdev([1.0, 2.5, -3.25])
+    assert abs(shift[1]["stddev"] - sd) < 1e-9
+    assert abs(shift[1]["skewness"] - sum((v - 0.25 / 3) ** 3 for v in [1.0, 2.5, -3.25]) / 3 / sd**3) < 1e-6
+    assert P.standardised_shift(P.power_sums(df.limit(0), "load_id", ["amount"])).count() == 0
 
 
 def test_pattern_violations(spark):

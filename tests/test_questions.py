@@ -152,6 +152,9 @@ def test_statistics_and_guards(spark):
     assert (got["one", 0.8]["threshold"], got["one", 0.8]["amount_stddev_pop"]) == (3.0, 0.0)
     assert (got["two", 0.9]["qualifying_order_count"], got["two", 0.9]["qualifying_amount_count"], got["two", 0.9]["amount_stddev_pop"]) == (2, 1, 0.0)
     assert (got["sd", 0.8]["qualifying_order_count"], got["sd", 0.8]["amount_stddev_pop"]) == (2, 1.0)
+    joined = thresholds.statistics(obs, thresholds.exact(obs, KEY), KEY)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, thresholds.exact_result(obs, KEY).collect()))
+    assert "Join" not in thresholds.exact_result(obs, KEY)._jdf.queryExecution().executedPlan().toString()
     result = thresholds.exact_result(obs, KEY).unionByName(thresholds.approximate_result(obs, KEY))
     assert thresholds.invalid_rows(result).count() == 0
     assert thresholds.duplicate_keys(result, [*KEY, "method", "percentile"]).count() == 0
