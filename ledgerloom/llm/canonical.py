@@ -73,9 +73,15 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 class Matcher:
-    """entries: (entry_id, name, aliases, context). Several entries may share a name; their context (a state) tells them apart."""
+    """entries: (entry_id, name, aliases, context). Several entries may share a name; their context (a state) tells them apart.
+
+    Entries without an id and names or aliases without a letter are left out; without entries nothing matches. Null and blank values are `blank`, values
+    without a letter are `none`. Equally near entries are decided by the row's context, then by shared pairs, then by the lowest id. Values may be of any
+    length; each distinct one is resolved on its own, so repeated rows give the same entry.
+    """
 
     def __init__(self, entries: Sequence[tuple[int, str, Sequence[str], str | None]]):
+        entries = [e for e in entries if e[0] is not None]
         self.by_key: dict[str, list[int]] = {}
         self.context = {e[0]: e[3] for e in entries}
         self.whole: dict[str, list[int]] = {}

@@ -115,7 +115,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def partial_sketches(df: DataFrame, parts: Sequence[str], dimensions: Sequence[str], identifiers: dict[str, Column], sets: Sequence[Sequence[str]]) -> DataFrame:
     """(parts..., dimensions..., grouping, identifier, hashes, registers): sketches of every grouping set per part and partition.
 
-    Dimensions outside a set are null. Null identifiers are not counted. Sketches of loads, days or partitions may be stored and merged later.
+    Dimensions outside a set are null, as are null dimensions; `grouping` tells them apart. Null identifiers are not counted, the empty text is one. Repeated
+    rows change nothing. Groups without identifiers have no sketch and an empty table gives none. Sketches may be stored and merged later.
     """
     names = list(identifiers)
     rows = df.select(*parts, *dimensions, *[F.when(c.isNotNull(), F.xxhash64(c)).alias(f"_h{i}") for i, c in enumerate(identifiers.values())])

@@ -232,11 +232,12 @@ def train(rows: Sequence[tuple[str, str]]) -> Coder:
 
 
 def fit(df: DataFrame, text: str, label: str, sample: int = SAMPLE) -> Coder:
-    """A model from about `sample` labelled documents a language, taken by hash of the text. Without labels nothing can be learnt: raises."""
+    """A model from about `sample` labelled documents a language, taken by hash of the text. Languages without a labelled row are never predicted;
+    without any labelled row no text gets a language."""
     rows = df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("c")).where(F.col("c").isNotNull() & F.col("t").isNotNull())
     sizes = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        raise ValueError("no row has a language label")
+        return train([])
     share = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, sample / n))])
     place = F.pmod(F.xxhash64("t"), F.lit(1_000_000)) / 1_000_000
     taken = rows.where(place < share[F.col("c")]).limit(2 * sample * len(CODES))
@@ -246,7 +247,10 @@ def fit(df: DataFrame, text: str, label: str, sample: int = SAMPLE) -> Coder:
 
 
 def analyse(coder: Coder, texts: Sequence[str | None]) -> list[list[dict]]:
-    """Stretches of one language of each whole text: lang, confidence, start, length, ambiguous. Texts without words have none."""
+    """Stretches of one language of each whole text: lang, confidence, start, length, ambiguous. Null, empty and wordless texts have none. Confidence is
+    the mean over a stretch's sentences by words; a stretch is ambiguous if all its sentences are near a second language."""
+    if not coder.known.any():
+        return [[] for _ in texts]
     spans, owner, parsed = [], [], []
     for k, t in enumerate(texts):
         for a, b in sentences(t or ""):

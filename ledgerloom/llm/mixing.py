@@ -130,10 +130,11 @@ def mix(documents: DataFrame, key: str, source: str, size: str, targets: DataFra
     """(records, plan). records: (mix_name, source, key, size, uses) for each record used; plan: (mix_name, source, target_share, max_repeats, budget).
 
     targets: mix_name, source, target_share, max_repeats. Records without a source or of another source, and records of null or zero size, are in no
-    mix. Ties of equal length are drawn by seeded hash of the key.
+    mix; targets without a mix or source are left out, a null share is 0 and null max_repeats 1. Ties of equal length are drawn by seeded hash of the key.
     """
     spark = documents.sparkSession
-    goals = bounded_rows(targets.select("mix_name", "source", "target_share", "max_repeats").where(F.col("source").isNotNull()), 100_000)
+    wanted = targets.where(F.col("mix_name").isNotNull() & F.col("source").isNotNull())
+    goals = bounded_rows(wanted.select("mix_name", "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")), 100_000)
     names = sorted({g["source"] for g in goals})
     used = documents.where(F.col(source).isin(names) & (F.col(size) > 0)).select(F.col(key), F.col(source).alias("source"), F.col(size).cast("bigint").alias("n_tokens"))
     counts: dict[str, dict[int, int]] = {}

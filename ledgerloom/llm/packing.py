@@ -95,6 +95,8 @@ def pieces(df: DataFrame, size: str, capacities: Sequence[tuple[str, int]]) -> D
     """`df` once per container kind and piece: pack_name, piece, start, length. An item is split only where it alone exceeds the capacity: into full
     pieces and one rest. An item of length 0 has one piece of length 0; a null length gives no row."""
     kinds = F.array(*[F.struct(F.lit(name).alias("pack_name"), F.lit(int(c)).cast("bigint").alias("capacity")) for name, c in capacities])
+    if not capacities:
+        kinds = F.array().cast("array<struct<pack_name:string,capacity:bigint>>")
     each = df.where(F.col(size).isNotNull()).withColumn("_k", F.explode(kinds)).select(*df.columns, "_k.*")
     last = F.greatest(F.lit(0), F.ceil(F.col(size) / F.col("capacity")) - 1).cast("int")
     each = each.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))

@@ -116,7 +116,7 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every text with its container, for each capacity of pack_sizes."""
-    kinds = [(r["pack_name"], r["capacity_tokens"]) for r in bounded_rows(table(spark, d, "pack_sizes"), 1000)]
+    kinds = [(r["pack_name"], r["capacity_tokens"]) for r in bounded_rows(table(spark, d, "pack_sizes").dropna(), 1000)]
     return packing.pack(_sized(spark, d), "doc_id", "n_tokens", kinds)
 
 

@@ -119,5 +119,4 @@ def test_spark_and_fit(spark, coder):
     got = df.select("doc_id", L.analyser(spark, fitted)("text").alias("s")).collect()
     assert [r["s"][0]["lang"] for r in got[:-1]] == list(PURE)
     assert got[-1]["s"] == []
-    with pytest.raises(ValueError, match="label"):
-        L.fit(df.limit(0), "text", "lang")
+    assert L.analyse(L.fit(df.limit(0), "text", "lang"), [PURE["en"]]) == [[]]
