@@ -42,15 +42,21 @@ def merge(histograms: DataFrame, groups: Sequence[str]) -> DataFrame:
     return histograms.groupBy(*groups, "bin").agg(F.sum("n").alias("n"))
 
 
-def grouping_sets(histograms: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
-    """One histogram per grouping set, told apart by `_level` (the set's names); columns outside the set are null."""
+def grouping_sets(merged: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """One histogram per grouping set, told apart by `_level` (the set's names); columns outside the set are null.
+
+    `merged` is a merged histogram by all columns of the sets: the set of all columns is taken as it is, the others are added up from it.
+    """
     columns = list(dict.fromkeys(c for s in sets for c in s))
-    fields = histograms.schema
+    fields = merged.schema
+    out = [merged.select(F.lit(",".join(s)).alias(LEVEL), *columns, "bin", "n") for s in sets if set(s) == set(columns)]
     level = [
-        F.struct(F.lit(",".join(s)).alias(LEVEL), *[(F.col(c) if c in s else F.lit(None).cast(fields[c].dataType)).alias(c) for c in columns]) for s in sets
+        F.struct(F.lit(",".join(s)).alias(LEVEL), *[(F.col(c) if c in s else F.lit(None).cast(fields[c].dataType)).alias(c) for c in columns]) for s in sets if set(s) != set(columns)
     ]
-    spread = histograms.select(F.explode(F.array(*level)).alias("_g"), "bin", "n")
-    return spread.select("_g.*", "bin", "n").groupBy(LEVEL, *columns, "bin").agg(F.sum("n").alias("n"))
+    if level:
+        spread = merged.select(F.explode(F.array(*level)).alias("_g"), "bin", "n")
+        out.append(spread.select("_g.*", "bin", "n").groupBy(LEVEL, *columns, "bin").agg(F.sum("n").alias("n")))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def _targets(percentiles: Sequence[float]) -> Column:
