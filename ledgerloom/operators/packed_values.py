@@ -28,6 +28,8 @@ from ..session import bounded_rows
 DELIMITERS = ",;|\t\r\n"
 #: Listed values that hold delimiters or quotes become alternatives of the pattern; more of them raise.
 MAX_KNOWN = 5000
+#: A quoted item that holds nothing.
+NOTHING = "(?:\"[\\x00-\\x20]*\"|'[\\x00-\\x20]*')"
 
 
 def _java_literal(s: str) -> str:
@@ -51,32 +53,43 @@ def needs_alternative(value: str, delimiters: str = DELIMITERS) -> bool:
     return any(c in value for c in delimiters + "\"'[]") or " / " in value
 
 
+def item_tokens(field: Column, known: list[str] = (), delimiters: str = DELIMITERS) -> Column:
+    """array<string> of a field's items as written, without those that hold nothing; null and blank fields give an empty array."""
+    raw = trimmed(F.coalesce(field, F.lit("")))
+    inner = F.when(raw.rlike(r"(?s)^\[.*\]$"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    tokens = F.regexp_extract_all(inner, F.lit(grammar(known, delimiters)), F.lit(0))
+    # Only quotes can hold nothing; most fields have no such pair and skip the filter.
+    return F.when(field.rlike(NOTHING), F.filter(tokens, lambda t: ~t.rlike(rf"^{NOTHING}[\x00-\x20]*$"))).otherwise(tokens)
+
+
+def item_value(token: Column) -> tuple[Column, Column]:
+    """(value, error) of a token: quotes taken off and decoded; error is null or `unclosed_quote`."""
+    t = F.btrim(token, F.lit(BLANKS))
+    body = F.substring(t, F.lit(2), F.length(t) - 2)
+    quoted = F.length(t) >= 2
+    double, single = quoted & t.startswith('"') & t.endswith('"'), quoted & t.startswith("'") & t.endswith("'")
+    odd = (F.length(t) - F.length(F.replace(t, F.lit('"'), F.lit("")))) % 2 == 1
+    broken = ~double & ~single & (t.startswith('"') | t.startswith("'") | odd)
+    decoded = (
+        F.when(double, F.regexp_replace(F.replace(body, F.lit('""'), F.lit('"')), r"(?s)\\(.)", "$1"))
+        .when(single, F.regexp_replace(F.replace(body, F.lit("''"), F.lit("'")), r"(?s)\\(.)", "$1"))
+        .when(broken, F.regexp_replace(t, "^[\"']|[\"']$", ""))
+        .otherwise(t)
+    )
+    return F.btrim(decoded, F.lit(BLANKS)), F.when(broken, F.lit("unclosed_quote"))
+
+
 def parse_packed(field: Column, known: list[str] = (), delimiters: str = DELIMITERS) -> Column:
     """array<struct<pos int, value string, error string>> of the non-blank values of a field; null and blank give an empty array.
 
     error: null, or `unclosed_quote` (a leading or an odd quote that has no sound partner; the raw text without it is the value).
     """
-    raw = trimmed(F.coalesce(field, F.lit("")))
-    inner = F.when(raw.rlike(r"(?s)^\[.*\]$"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    tokens = F.regexp_extract_all(inner, F.lit(grammar(known, delimiters)), F.lit(0))
 
-    def value(t: Column) -> Column:
-        t = F.btrim(t, F.lit(BLANKS))
-        body = F.substring(t, F.lit(2), F.length(t) - 2)
-        double = F.length(t).__ge__(2) & t.startswith('"') & t.endswith('"')
-        single = F.length(t).__ge__(2) & t.startswith("'") & t.endswith("'")
-        odd = (F.length(t) - F.length(F.replace(t, F.lit('"'), F.lit("")))) % 2 == 1
-        broken = ~double & ~single & (t.rlike("^[\"']") | odd)
-        decoded = (
-            F.when(double, F.regexp_replace(F.replace(body, F.lit('""'), F.lit('"')), r"(?s)\\(.)", "$1"))
-            .when(single, F.regexp_replace(F.replace(body, F.lit("''"), F.lit("'")), r"(?s)\\(.)", "$1"))
-            .when(broken, F.regexp_replace(t, "^[\"']|[\"']$", ""))
-            .otherwise(t)
-        )
-        return F.struct(F.btrim(decoded, F.lit(BLANKS)).alias("value"), F.when(broken, F.lit("unclosed_quote")).alias("error"))
-
-    values = F.filter(F.transform(tokens, value), lambda v: v["value"] != "")
-    return F.transform(values, lambda v, i: F.struct((i + 1).alias("pos"), v["value"].alias("value"), v["error"].alias("error")))
+    def item(t: Column, i: Column) -> Column:
+        value, error = item_value(t)
+        return F.struct((i + 1).alias("pos"), value.alias("value"), error.alias("error"))
+
+    return F.transform(item_tokens(field, known, delimiters), item)
 
 
 def folded(c: Column) -> Column:
@@ -98,7 +111,10 @@ def unpack(df: DataFrame, field: str, keys: list[str], listed: DataFrame | None
         awkward = listed.where(c.rlike(f"[{''.join(re.escape(d) for d in delimiters)}\"'\\[\\]]| / ")).select(c.alias("v")).distinct()
         known = [r["v"] for r in bounded_rows(awkward, MAX_KNOWN)]
     base = df.where(~F.coalesce(trimmed(field) == "", F.lit(True)))
-    rows = base.select(*keys, F.explode(parse_packed(F.col(field), known, delimiters)).alias("_item")).select(*keys, "_item.*")
+    # Items are decoded after they are exploded, in generated code, rather than inside an interpreted array function.
+    items = base.select(*keys, F.posexplode(item_tokens(F.col(field), known, delimiters)).alias("_i", "_token"))
+    value, error = item_value(F.col("_token"))
+    rows = items.select(*keys, (F.col("_i") + 1).alias("pos"), value.alias("value"), error.alias("error"))
     if listed is None:
         return rows.withColumn("is_listed", F.lit(None).cast("boolean"))
     entry = listed.select(folded(F.col(listed_column)).alias("_key"), F.col(listed_column).alias("_listed")).groupBy("_key").agg(F.min("_listed").alias("_listed"))

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.operators.packed_values import needs_alternative, unpack
+from ledgerloom.operators.packed_values import needs_alternative, parse_packed, unpack
 
 LIST = ["A1", "Fee B2", "Quiet Kite: zone 55, wave 3", "Coupon;F2", "Kite|XZ96", 'Pack "Loom" x48', "XA Market 2024/04/01 18-25", "off_93%"]
 
@@ -21,6 +22,8 @@ CASES = [
     ('A1, "Pack ""Loom"" x48" ,A1', ["A1", 'Pack "Loom" x48', "A1"]),
     ('["A1", "Pack \\"Loom\\" x48", "Coupon;F2"]', ["A1", 'Pack "Loom" x48', "Coupon;F2"]),
     ("[A1]", ["A1"]),
+    ('"",A1," ",\'\'', ["A1"]),
+    ('A1,"""",Fee B2', ["A1", '"', "Fee B2"]),
     ("['A1','Kite|XZ96']", ["A1", "Kite|XZ96"]),
     # Unquoted values that hold delimiters are taken whole where they are listed.
     ("A1,Quiet Kite: zone 55, wave 3,Coupon;F2", ["A1", "Quiet Kite: zone 55, wave 3", "Coupon;F2"]),
@@ -59,6 +62,13 @@ def test_without_list_and_empty(spark):
     assert unpack(df.limit(0), "f", ["row_id"]).count() == 0
 
 
+def test_column_form_is_the_same(spark, listed):
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "row_id int, f string")
+    rows = unpack(df, "f", ["row_id"]).select("row_id", "pos", "value", "error").collect()
+    packed = df.select("row_id", F.explode(parse_packed(F.col("f"))).alias("x")).select("row_id", "x.*").collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, packed), key=repr)
+
+
 def test_very_long_field(spark):
     n = 30_000
     field = ",".join(f'"v{i};"""' for i in range(n)) + "," + "x" * 300_000
