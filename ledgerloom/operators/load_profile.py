@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, parse_units, trimmed, written_form
-from ..session import bounded_rows
+from ..session import bounded_rows, cut
 
+#: Loads that one comparison may cover.
+MAX_LOADS = 100_000
 #: Slack for comparing shares of counts held as doubles.
 EPS = 1e-9
 
@@ -117,54 +119,52 @@ def changed_loads(df: DataFrame, load: str, categories: Sequence[str], identifie
     A row with a null load belongs to no load and is left out. Blank values are no values. Ties between forms go to the lesser text.
     """
     rows = df.where(F.col(load).isNotNull())
-    sizes = rows.groupBy(F.col(load).alias("load_id")).agg(F.count(F.lit(1)).alias("load_rows"))
-    loads = sizes.select("load_id", "load_rows")
-    parts = []
-
-    def shares(counts: DataFrame, grid: DataFrame) -> DataFrame:
-        """counts: (column_name, measure, load_id, n); grid: every (column_name, measure). Absent loads get share 0."""
-        full = grid.select("*", F.explode(load_list).alias("_l")).select("column_name", "measure", F.col("_l.load_id").alias("load_id"), F.col("_l.load_rows").alias("load_rows"))
-        return full.join(counts, ["column_name", "measure", "load_id"], "left").select(
-            "column_name", "measure", "load_id", (F.coalesce("n", F.lit(0)) / F.col("load_rows")).alias("share")
-        )
-
-    # The loads are few by nature (one row each) and their list is checked before it becomes a literal.
-    listed = sorted((r["load_id"], r["load_rows"]) for r in bounded_rows(loads, 100_000))
+    # Counts per load and value or form are small and used several times: they are made once, in one scan of their columns each.
+    values = cut(value_counts(rows, load, categories)) if categories else None
+    forms = cut(form_counts(rows, load, identifiers)) if identifiers else None
+    counted = values if values is not None else forms
+    if counted is not None:
+        sizes = counted.where(F.col("column_name") == [*categories, *identifiers][0]).groupBy("load_id").agg(F.sum("n").alias("load_rows"))
+    else:
+        sizes = rows.groupBy(F.col(load).alias("load_id")).agg(F.count(F.lit(1)).alias("load_rows"))
+    # One row per load; the list is checked for size before it becomes a literal.
+    listed = sorted((r["load_id"], r["load_rows"]) for r in bounded_rows(sizes, MAX_LOADS))
     if not listed:
-        return rows.select(F.col(load).alias("load_id"), F.lit("").alias("column_name"), F.lit("").alias("measure"), F.lit(0.0).alias("share"), F.lit(0.0).alias("median_share")).where("false")
-    load_list = F.from_json(F.lit("[" + ",".join(f'{{"load_id":{a},"load_rows":{b}}}' for a, b in listed) + "]"), "array<struct<load_id:bigint,load_rows:bigint>>")
-    most = len(listed) / 2.0
-
+        nothing = F.lit(None)
+        return rows.select(F.col(load).alias("load_id"), *[nothing.cast(t).alias(c) for c, t in (("column_name", "string"), ("measure", "string"), ("share", "double"), ("median_share", "double"))]).where("false")
+    loads = F.from_json(F.lit("[" + ",".join(f'{{"load_id":{a},"load_rows":{b}}}' for a, b in listed) + "]"), "array<struct<load_id:bigint,load_rows:bigint>>")
+    parts = []
     if categories:
-        counts = value_counts(rows, load, categories)
-        named = counts.select("column_name", F.when(F.col("value").isNull(), F.lit("blank")).otherwise(F.concat(F.lit("value="), F.col("value"))).alias("measure"), "load_id", "n")
-        spread = Window.partitionBy("column_name", "value")
-        rare = (
-            counts.where(F.col("value").isNotNull())
-            .withColumn("in_loads", F.count(F.lit(1)).over(spread))
-            .where(F.lit(len(listed)) - F.col("in_loads") > most)
-            .groupBy("column_name", "load_id")
-            .agg(F.sum("n").alias("n"))
-            .select("column_name", F.lit("rare").alias("measure"), "load_id", "n")
-        )
-        parts.append(named.unionByName(rare))
+        named = values.select("column_name", F.when(F.col("value").isNull(), F.lit("blank")).otherwise(F.concat(F.lit("value="), F.col("value"))).alias("measure"), "load_id", "n")
+        found = values.where(F.col("value").isNotNull())
+        absent = F.lit(len(listed)) - F.count(F.lit(1)).over(Window.partitionBy("column_name", "value"))
+        rare = found.withColumn("absent", absent).where(F.col("absent") > len(listed) / 2.0).groupBy("column_name", "load_id").agg(F.sum("n").alias("n"))
+        parts += [named, rare.select("column_name", F.lit("rare").alias("measure"), "load_id", "n")]
     if identifiers:
-        form = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(~is_blank(c), written_form(c)).alias("form")) for c in identifiers])).alias("_p")
-        forms = rows.select(F.col(load).alias("load_id"), form).select("load_id", "_p.*").groupBy("load_id", "column_name", "form").agg(F.count(F.lit(1)).alias("n"))
         blank = forms.where(F.col("form").isNull()).select("column_name", F.lit("blank").alias("measure"), "load_id", "n")
-        total = forms.where(F.col("form").isNotNull()).groupBy("column_name", "form").agg(F.sum("n").alias("all_n"))
+        found = forms.where(F.col("form").isNotNull())
+        total = found.groupBy("column_name", "form").agg(F.sum("n").alias("all_n"))
         common = total.groupBy("column_name").agg(F.min_by("form", F.struct(-F.col("all_n"), F.col("form"))).alias("common"))
-        off = forms.where(F.col("form").isNotNull()).join(common, "column_name").where(F.col("form") != F.col("common"))
-        off = off.groupBy("column_name", "load_id").agg(F.sum("n").alias("n")).select("column_name", F.lit("off_form").alias("measure"), "load_id", "n")
-        parts.append(blank.unionByName(off))
-    for c in sequences:
-        parts.append(seen_before(rows, load, c))
+        off = found.join(common, "column_name").where(F.col("form") != F.col("common")).groupBy("column_name", "load_id").agg(F.sum("n").alias("n"))
+        parts += [blank, off.select("column_name", F.lit("off_form").alias("measure"), "load_id", "n")]
+    parts += [seen_before(rows, load, c) for c in sequences]
     counts = parts[0]
     for p in parts[1:]:
         counts = counts.unionByName(p)
-    counts = counts.groupBy("column_name", "measure", "load_id").agg(F.sum("n").alias("n"))
-    grid = counts.select("column_name", "measure").distinct()
-    return _against_median(shares(counts, grid), limit).select("load_id", "column_name", "measure", "share", "median_share")
+    # A column that is both category and identifier has its blanks counted by either.
+    counts = counts.groupBy("column_name", "measure", "load_id").agg(F.max("n").alias("n"))
+    # Every measure gets a share in every load, 0 where it has no rows.
+    each = counts.groupBy("column_name", "measure").agg(F.map_from_entries(F.collect_list(F.struct("load_id", "n"))).alias("_by_load"))
+    full = each.select("column_name", "measure", "_by_load", F.explode(loads).alias("_l"))
+    share = F.coalesce(F.try_element_at("_by_load", F.col("_l.load_id")), F.lit(0)) / F.col("_l.load_rows")
+    shares = full.select("column_name", "measure", F.col("_l.load_id").alias("load_id"), share.alias("share"))
+    return _against_median(shares, limit).select("load_id", "column_name", "measure", "share", "median_share")
+
+
+def form_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
+    """(load_id, column_name, form, n): grouped counts of written forms, blank as null."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(~is_blank(c), written_form(c)).alias("form")) for c in columns])).alias("_p")
+    return df.select(F.col(load).alias("load_id"), pairs).select("load_id", "_p.*").groupBy("load_id", "column_name", "form").agg(F.count(F.lit(1)).alias("n"))
 
 
 def seen_before(rows: DataFrame, load: str, column: str) -> DataFrame:

@@ -44,6 +44,14 @@ def test_changes(spark):
     }
 
 
+def test_column_of_both_kinds(spark):
+    df = spark.createDataFrame(table(), SCHEMA)
+    both = {tuple(r)[:3] for r in P.changed_loads(df, "load_id", ["status"], ["status", "idx"], ["idx"]).collect()}
+    assert (3, "status", "blank") in both and (7, "idx", "seen_before") in both
+    alone = {tuple(r)[:3] for r in P.changed_loads(df, "load_id", [], [], ["idx"]).collect()}
+    assert alone == {(7, "idx", "seen_before")}
+
+
 def test_null_load_ties_and_empty(spark):
     df = spark.createDataFrame([rows(None, "x", "1", "1")] + [rows(1, "ok", "A1", "1"), rows(1, "ok", "a1", "2")], SCHEMA)
     # Both forms of oid are equally common: the lesser text, a9 after A9, is off.
