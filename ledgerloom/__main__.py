@@ -94,7 +94,7 @@ def run_thresholds(spark: SparkSession, source: str, target: str, runs: str = "5
     took = inspect.interleaved({k: (lambda d=d: thresholds.checksum(d).collect()) for k, d in results.items()}, int(runs))
     for name, t in took.items():
         say(**{f"{name}_mean_seconds": round(t["mean"], 6), f"{name}_stddev_seconds": round(t["stddev"], 6)})
-    compared = thresholds.comparison(obs, results["approx"], results["exact"], GROUP).persist()
+    compared = thresholds.compare(obs, GROUP).persist()
     for r in thresholds.summary(compared).orderBy("percentile").collect():
         say(**{f"p{round(r['percentile'] * 100)}_{k}": v for k, v in r.asDict().items() if k != "percentile"})
     for r in thresholds.strongest(compared, GROUP).collect():

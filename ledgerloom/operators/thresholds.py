@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .window_winner import population_variance
@@ -95,22 +95,50 @@ def exact_result(obs: DataFrame, group: Sequence[str], percentiles: Sequence[flo
     return _qualifying(met.where(F.col("value").cast("double") >= F.col("threshold")), group)
 
 
+COMPARED = ("threshold", "qualifying_order_count", "amount_stddev_pop")
+
+
+def _differences(paired: DataFrame) -> DataFrame:
+    """Flags of different threshold (1e-12), membership and deviation (1e-9)."""
+    apart = lambda c, e: F.abs(F.col(f"approx_{c}") - F.col(f"exact_{c}")) > e
+    flags = {"threshold_differs": apart("threshold", 1e-12), "qualifying_set_differs": F.col("membership_difference_count") > 0, "stddev_differs": apart("amount_stddev_pop", 1e-9)}
+    return paired.withColumns(flags)
+
+
 def comparison(obs: DataFrame, approx: DataFrame, exact: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Both methods side by side per (group..., percentile) with differences of threshold (1e-12), membership and deviation (1e-9)."""
+    """Two given results side by side per (group..., percentile) with their differences; `compare` makes the same from the observations alone."""
     key = [*group, "percentile"]
-    named = lambda d, p: d.select(*key, *[F.col(c).alias(f"{p}_{c}") for c in ("threshold", "qualifying_order_count", "amount_stddev_pop")])
+    named = lambda d, p: d.select(*key, *[F.col(c).alias(f"{p}_{c}") for c in COMPARED])
     paired = named(approx, "approx").join(named(exact, "exact"), key)
     counts = obs.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
     v = F.col("value").cast("double")
     apart = (v >= F.col("approx_threshold")) != (v >= F.col("exact_threshold"))
     member = counts.join(paired.select(*key, "approx_threshold", "exact_threshold"), list(group)).groupBy(*key).agg(F.sum(F.when(apart, F.col("n")).otherwise(0)).alias("membership_difference_count"))
-    return paired.join(member, key).withColumns(
-        {
-            "threshold_differs": F.abs(F.col("approx_threshold") - F.col("exact_threshold")) > 1e-12,
-            "qualifying_set_differs": F.col("membership_difference_count") > 0,
-            "stddev_differs": F.abs(F.col("approx_amount_stddev_pop") - F.col("exact_amount_stddev_pop")) > 1e-9,
-        }
-    )
+    return _differences(paired.join(member, key))
+
+
+def compare(obs: DataFrame, group: Sequence[str], percentiles: Sequence[float] = PERCENTILES, accuracy: int = ACCURACY) -> DataFrame:
+    """The comparison of both methods from two scans and one join: the moments per (group, value) give the exact thresholds, and both sides' counts and
+    deviations in one aggregation."""
+    whole = Window.partitionBy(*group)
+    levels = F.array(*map(F.lit, percentiles))
+    m = value_moments(obs, group).withColumn("te", F.percentile("value", levels, F.col("n")).over(whole))
+    rough = obs.groupBy(*group).agg(F.percentile_approx("value", list(percentiles), accuracy).cast("array<double>").alias("ta"))
+    pairs = F.explode(F.arrays_zip(levels.alias("percentile"), F.col("ta"), F.col("te"))).alias("_p")
+    each = m.join(rough, list(group)).select(*group, "value", "n", "m", "s1", "s2", pairs)
+    each = each.select("*", F.col("_p.percentile"), F.col("_p.ta").alias("approx_threshold"), F.col("_p.te").alias("exact_threshold")).drop("_p")
+    v = F.col("value").cast("double")
+    within = {p: v >= F.col(f"{p}_threshold") for p in ("approx", "exact")}
+    sums = [F.sum(F.when(q, F.col(c)).otherwise(F.lit(0))).cast(t).alias(f"{p}_{c}") for p, q in within.items() for c, t in (("n", "bigint"), ("m", "bigint"), ("s1", "decimal(28,0)"), ("s2", "decimal(38,0)"))]
+    apart = F.sum(F.when(within["approx"] != within["exact"], F.col("n")).otherwise(0)).alias("membership_difference_count")
+    met = each.groupBy(*group, "percentile", "approx_threshold", "exact_threshold").agg(*sums, apart)
+
+    def deviation(p: str) -> Column:
+        sd = F.sqrt(population_variance(F.col(f"{p}_m"), F.coalesce(f"{p}_s1", F.lit(0)).cast("decimal(28,0)"), F.coalesce(f"{p}_s2", F.lit(0)).cast("decimal(38,0)")))
+        return F.when(F.col(f"{p}_m") < 2, 0.0).otherwise(F.coalesce(sd, F.lit(0.0)))
+
+    columns = [x for p in within for x in (F.col(f"{p}_threshold"), F.col(f"{p}_n").alias(f"{p}_qualifying_order_count"), deviation(p).alias(f"{p}_amount_stddev_pop"))]
+    return _differences(met.select(*group, "percentile", *columns, "membership_difference_count"))
 
 
 def summary(compared: DataFrame) -> DataFrame:

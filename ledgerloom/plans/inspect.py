@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 TOKENS = {
     "broadcast_hash_joins": r"BroadcastHashJoin",
     "sort_merge_joins": r"SortMergeJoin",
@@ -20,8 +22,8 @@ TOKENS = {
 
 
 def plan_counts(df: DataFrame) -> dict[str, int]:
-    """Nodes of the physical plan as text, before adaptive changes."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    """Nodes of the physical plan as text, before adaptive changes, whether or not the frame has run."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     return {name: len(re.findall(token, plan)) for name, token in TOKENS.items()}
 
 
@@ -30,7 +32,8 @@ def plan_text(df: DataFrame) -> str:
 
 
 def equivalent(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(only_left, only_right): rows in which two results differ, counted with multiplicity in both directions."""
+    """(only_left, only_right): rows in which two results differ, counted with multiplicity in both directions. Each result is computed once."""
+    a, b = cut(a), cut(b)
     left = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_left"))
     right = b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_right"))
     return left.select("only_left", F.lit(0).cast("bigint").alias("only_right")).unionByName(right.select(F.lit(0).cast("bigint").alias("only_left"), "only_right")).agg(F.sum("only_left").alias("only_left"), F.sum("only_right").alias("only_right"))

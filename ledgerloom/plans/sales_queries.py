@@ -160,8 +160,7 @@ def threshold_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
-    obs = observations(spark, d)
-    return thresholds.comparison(obs, thresholds.approximate_result(obs, GROUP), thresholds.exact_result(obs, GROUP), GROUP)
+    return thresholds.compare(observations(spark, d), GROUP)
 
 
 def threshold_comparison(spark: SparkSession, d: str) -> DataFrame:

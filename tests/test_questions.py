@@ -166,7 +166,9 @@ def test_statistics_and_guards(spark):
 def test_comparison(spark):
     obs = observed(spark, [(i, "x", "04", v, float(v)) for i, v in enumerate([1, 2, 3, 4, 10])] + [(9, "y", "04", 1, 1.0)])
     c = thresholds.comparison(obs, thresholds.approximate_result(obs, KEY), thresholds.exact_result(obs, KEY), KEY)
-    got = {(r["sku"], r["percentile"]): r for r in c.collect()}
+    once = thresholds.compare(obs, KEY)
+    assert sorted(map(tuple, once.select(*c.columns).collect())) == sorted(map(tuple, c.collect()))
+    got = {(r["sku"], r["percentile"]): r for r in once.collect()}
     assert got["x", 0.8]["threshold_differs"] and got["x", 0.8]["membership_difference_count"] == 1 and got["x", 0.8]["stddev_differs"]
     assert not got["y", 0.8]["threshold_differs"] and not got["y", 0.8]["qualifying_set_differs"]
     s = {r["percentile"]: r for r in thresholds.summary(c).collect()}
