@@ -7,8 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How the small sides are joined: by Catalyst and AQE from measured sizes, by broadcast (the caller vouches for their size) or by sort-merge.
-STRATEGIES = {"auto": None, "broadcast": "broadcast", "merge": "merge"}
+from ..session import broadcast_if_small
+
+#: How the small sides are joined: by Catalyst and AQE from measured sizes; by broadcast where Catalyst's estimate is under the session's bound, else as
+#: auto; or by sort-merge.
+STRATEGIES = {"auto": lambda d: d, "broadcast": broadcast_if_small, "merge": lambda d: d.hint("merge")}
 
 
 @dataclass(frozen=True)
@@ -41,8 +44,7 @@ def conditional_share(
     and an amount strictly below the average of its region, taken over rows where `averaged` holds. Missing tags, averages and amounts never
     qualify but stay in the denominator. `key` tells rows apart; tags of rows with an equal key count together.
     """
-    hint = STRATEGIES[strategy]
-    side = lambda d: d.hint(hint) if hint else d
+    side = STRATEGIES[strategy]
     periods = tag_periods(df, tags, day)
     valid = periods.where(F.col("active_days") >= least_days).select("tag")
     averages = df.where(averaged & F.col(amount).isNotNull()).groupBy(region).agg(F.avg(amount).alias("average"))

@@ -8,6 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import session
 from ledgerloom.operators import conditional_share, profile, thresholds, variety, window_winner
 from ledgerloom.plans import inspect
 
@@ -90,8 +91,19 @@ def test_median_of_even_group(spark):
 SHARE = "k bigint, city string, state string, d date, tags array<string>, amount double, kind string, average double"
 
 
-def share(spark, rows, strategy="auto"):
-    df = spark.createDataFrame([(*r, -1.0) for r in rows], SHARE)
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """Rows as a file, whose size Catalyst knows."""
+
+    def f(rows):
+        path = str(tmp_path_factory.mktemp("rows") / "rows.parquet")
+        spark.createDataFrame([(*r, -1.0) for r in rows], SHARE).write.parquet(path)
+        return spark.read.parquet(path)
+
+    return f
+
+
+def share(df, strategy="auto"):
     return conditional_share.conditional_share(df, "k", "city", "state", "d", "tags", "amount", F.col("kind") == "ref", F.col("kind") == "cand", strategy=strategy)
 
 
@@ -104,22 +116,26 @@ def share_rows():
 
 
 @pytest.mark.parametrize("strategy", ["auto", "broadcast", "merge"])
-def test_city_share(spark, strategy):
-    f = share(spark, share_rows(), strategy)
+def test_city_share(stored, strategy):
+    f = share(stored(share_rows()), strategy)
     assert {r["tag"]: r["active_days"] for r in f.periods.collect()} == {"p1": 2, "p2": 2, "p3": 2, "short": 1}
     got = {r["city"]: (r["candidate_count"], r["qualifying_count"], r["qualifying_percentage"]) for r in f.result.collect()}
     assert got == {"C": (4, 1, 25.0), "D": (1, 0, 0.0), "E": (1, 0, 0.0)}
 
 
-def test_strategies_give_one_result_by_different_plans(spark):
-    a, b = share(spark, share_rows(), "broadcast").result, share(spark, share_rows(), "merge").result
+def test_strategies_give_one_result_by_different_plans(stored, monkeypatch):
+    df = stored(share_rows())
+    a, b = share(df, "broadcast").result, share(df, "merge").result
     assert tuple(inspect.equivalent(a, b).first()) == (0, 0)
     plans = [inspect.plan_counts(x) for x in (a, b)]
     assert (plans[0]["broadcast_hash_joins"], plans[0]["sort_merge_joins"]) == (3, 0)
     assert (plans[1]["broadcast_hash_joins"], plans[1]["sort_merge_joins"]) == (0, 3)
     assert plans[0]["shuffle_exchanges"] < plans[1]["shuffle_exchanges"]
     assert "Physical Plan" in inspect.plan_text(a)
-    assert share(spark, []).result.count() == 0
+    assert share(stored([])).result.count() == 0
+    # Beyond the bound nothing is broadcast by hint.
+    monkeypatch.setitem(conditional_share.STRATEGIES, "broadcast", lambda d: session.broadcast_if_small(d, limit=1))
+    assert "hint" not in share(df, "broadcast").result._jdf.queryExecution().logical().toString().lower()
 
 
 OBS = "i bigint, sku string, month string, v int, a double, n int"
