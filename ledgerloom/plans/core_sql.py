@@ -88,6 +88,22 @@ b AS (SELECT * FROM (SELECT load_id, column_name, form AS common_form, n AS comm
 t AS (SELECT load_id, column_name, CAST(sum(n) AS BIGINT) AS row_count, CAST(coalesce(sum(n) FILTER (form IS NULL), 0) AS BIGINT) AS blank_count, CAST(sum(d) AS BIGINT) AS distinct_count, min(lo) AS min_text, max(hi) AS max_text, count(form) AS form_count FROM f GROUP BY 1, 2)
 SELECT t.*, common_form, row_count - blank_count - coalesce(common_n, 0) AS off_form_count FROM t LEFT JOIN b USING (load_id, column_name)"""
 
+def _units(c: str) -> str:
+    return f"SELECT load_id, '{c}' AS column_name, CAST(CASE WHEN regexp_full_match({text(c)}, '{DECIMAL}') THEN try_cast({text(c)} AS DECIMAL(20,2)) END * 100 AS HUGEINT) AS v FROM amazon_sales"
+
+
+def _spread(n: str, s1: str, s2: str) -> str:
+    return f"greatest(0.0, CASE WHEN {n} > 0 THEN {s2} / {n} END - pow(CASE WHEN {n} > 0 THEN {s1} / {n} END, 2))"
+
+
+SHIFT = f"""WITH v AS ({_units('amount')} UNION ALL {_units('quantity')}), u AS (SELECT load_id, column_name, CASE WHEN abs(v) <= 10000000 THEN v END AS u FROM v),
+s AS (SELECT load_id, column_name, CAST(count(u) AS DOUBLE) AS n, coalesce(sum(u), 0) AS i1, coalesce(sum(u * u), 0) AS i2, CAST(coalesce(sum(u * u * u), 0) AS DOUBLE) AS s3 FROM u GROUP BY 1, 2),
+w AS (SELECT *, CAST(i1 AS DOUBLE) AS s1, CAST(i2 AS DOUBLE) AS s2, sum(n) OVER c - n AS rn, CAST(sum(i1) OVER c AS DOUBLE) - CAST(i1 AS DOUBLE) AS r1, CAST(sum(i2) OVER c AS DOUBLE) - CAST(i2 AS DOUBLE) AS r2
+  FROM s WINDOW c AS (PARTITION BY column_name)),
+x AS (SELECT *, CASE WHEN n > 0 THEN s1 / n END AS mean, CASE WHEN rn > 0 THEN r1 / rn END AS other, {_spread('n', 's1', 's2')} AS var, sqrt(({_spread('n', 's1', 's2')} + {_spread('rn', 'r1', 'r2')}) / 2) AS pooled FROM w)
+SELECT load_id, column_name, round(mean / 100.0, 6) AS mean, round(CASE WHEN n > 0 THEN sqrt(var) END / 100.0, 6) AS stddev,
+  round(CASE WHEN n >= 2 AND var > 0 THEN (s3 / n - 3 * mean * (s2 / n) + 2 * pow(mean, 3)) / pow(var, 1.5) END, 6) AS skewness, round(CASE WHEN n >= 2 AND rn >= 2 AND pooled > 0 THEN (mean - other) / pooled END, 6) AS shift FROM x"""
+
 PATTERNS = {"order_id": "[A-Z][0-9]+-[0-9]+-[0-9]+", "source_index": "[0-9]+", "ship_postal_code": r"[0-9]{6}(\.0)?", "order_date": DATE}
 
 SQL = {
@@ -103,6 +119,7 @@ SQL = {
     "p7_found": f"{CHANGES} SELECT DISTINCT load_id, column_name FROM cases WHERE abs(share - median_share) >= 0.1 - 1e-9",
     "p7_changes": f"{CHANGES} SELECT load_id, column_name, measure, share, median_share FROM cases WHERE abs(share - median_share) >= 0.1 - 1e-9",
     "p7_profile": PROFILE,
+    "p7_numeric_shift": SHIFT,
     "p7_pattern_violations": " UNION ALL ".join(
         f"SELECT load_id, '{c}' AS column_name, count(*) FILTER ({text(c)} IS NOT NULL) AS checked, count(*) FILTER (NOT regexp_full_match({text(c)}, '{p}')) AS violations FROM amazon_sales GROUP BY 1" for c, p in PATTERNS.items()
     ),
