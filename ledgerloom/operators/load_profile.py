@@ -1,7 +1,7 @@
 """Column-level quality profile per load, and the loads in which a column changed.
 
-All statistics come from mergeable partial aggregates. Numeric columns keep exact power sums (counts and sums of the first four powers of scaled
-integers, as decimals), so profiles of loads or days add up to the profile of their union without rereading rows.
+All statistics come from mergeable partial aggregates. Numeric columns keep power sums (counts and sums of the first four powers of scaled
+integers, as exact decimals up to a limit and as doubles beyond it), so profiles of loads or days add up to the profile of their union without rereading rows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, parse_units, trimmed, written_form
+from ..functions.text import is_blank, parse_double, parse_units, trimmed, written_form
 from ..session import bounded_rows, cut
 
 #: Loads that one comparison may cover.
@@ -28,7 +28,7 @@ def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
 
 def profile(df: DataFrame, load: str, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
     """One row per (load_id, column_name): rows, blanks, distinct values, range as text, most common written form and its violations,
-    and for `numeric` columns the valid count, range and exact power sums (units of 1/100).
+    and for `numeric` columns the valid count, range and power sums (units of 1/100).
 
     Null, empty and all-blank values are blanks; a load of blanks only has null ranges. Values are compared trimmed.
     """
@@ -56,51 +56,65 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], numeric: Sequence[
     return texts.join(power_sums(df, load, numeric), ["load_id", "column_name"], "left")
 
 
-#: Largest number, in units, that enters the power sums: fourth powers of up to 10**10 rows then fit a decimal. Larger ones are counted apart.
+#: Largest number, in units, that enters the exact sums s1..s4: fourth powers of up to 10**10 rows then fit a decimal. Larger ones have sums of their own.
 SUM_LIMIT = 10**7
 
 
 def power_sums(df: DataFrame, load: str, numeric: Sequence[str], scale: int = 2, limit: int = SUM_LIMIT) -> DataFrame:
-    """(load_id, column_name, valid, n, s1..s4, lo_units, hi_units): exact sums of the first four powers of the valid numbers, in units of 10**-scale.
+    """(load_id, column_name, valid, n, s1..s4, b1..b4, lo_units, hi_units): sums of the first four powers of the valid numbers, in units of 10**-scale.
 
-    The sums of two profiles add up to those of their union. Numbers beyond `limit` units are valid and in the range but in no sum, so that single
-    values of another order of magnitude do not hide a shift; valid - n counts them.
+    The sums of two profiles add up to those of their union. s1..s4 are exact and hold the n numbers up to `limit` units; b1..b4 hold the valid - n
+    numbers beyond it as doubles, however many digits they have. lo_units and hi_units are the range of all valid numbers that fit a bigint of units.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), parse_units(c, scale).alias("u")) for c in numeric])).alias("_p")
+    def pair(c: str) -> Column:
+        units = parse_units(c, scale)
+        return F.struct(F.lit(c).alias("column_name"), units.alias("u"), F.coalesce(units.cast("double"), parse_double(c) * float(10**scale)).alias("x"))
+
+    pairs = F.explode(F.array(*[pair(c) for c in numeric])).alias("_p")
     width = len(str(limit))
     u = F.when(F.abs(F.col("u")) <= limit, F.col("u")).cast(f"decimal({width},0)")
     powers = [u]
     for k in range(2, 5):
         powers.append((powers[-1] * u).cast(f"decimal({k * width},0)"))
     sums = [F.coalesce(F.sum(p), F.lit(0)).cast("decimal(38,0)").alias(f"s{k + 1}") for k, p in enumerate(powers)]
+    beyond = F.when(F.abs(F.col("x")) > limit, F.col("x"))
+    sums += [F.coalesce(F.sum(F.pow(beyond, F.lit(k))), F.lit(0.0)).alias(f"b{k}") for k in range(1, 5)]
     rows = df.select(F.col(load).alias("load_id"), pairs).select("load_id", "_p.*")
-    return rows.groupBy("load_id", "column_name").agg(F.count("u").alias("valid"), F.count(u).alias("n"), *sums, F.min("u").alias("lo_units"), F.max("u").alias("hi_units"))
+    return rows.groupBy("load_id", "column_name").agg(F.count("x").alias("valid"), F.count(u).alias("n"), *sums, F.min("u").alias("lo_units"), F.max("u").alias("hi_units"))
 
 
 def merge_power_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Power sums added up over everything but `keys`."""
     total = lambda c: F.sum(c).cast("decimal(38,0)").alias(c)
-    return sums.groupBy(*keys).agg(F.sum("valid").alias("valid"), F.sum("n").alias("n"), *[total(f"s{k}") for k in range(1, 5)], F.min("lo_units").alias("lo_units"), F.max("hi_units").alias("hi_units"))
+    added = [total(f"s{k}") for k in range(1, 5)] + [F.sum(f"b{k}").alias(f"b{k}") for k in range(1, 5)]
+    return sums.groupBy(*keys).agg(F.sum("valid").alias("valid"), F.sum("n").alias("n"), *added, F.min("lo_units").alias("lo_units"), F.max("hi_units").alias("hi_units"))
 
 
-def standardised_shift(sums: DataFrame, scale: int = 2) -> DataFrame:
+def standardised_shift(sums: DataFrame, scale: int = 2, whole: bool = False) -> DataFrame:
     """(load_id, column_name, mean, stddev, skewness, shift): shift is the difference of a load's mean from the mean of all other loads together,
-    divided by the pooled standard deviation; all of it follows from the sums. Null where there are fewer than two values or no spread."""
-    whole = Window.partitionBy("column_name")
+    divided by the pooled standard deviation; all of it follows from the sums. Null where there are fewer than two values or no spread.
+
+    whole takes all valid numbers; otherwise those beyond the limit of the sums take no part.
+    """
     unit = float(10**scale)
     d = lambda c: F.col(c).cast("double")
-    x = sums.withColumns({f"all_{c}": F.sum(c).over(whole) for c in ("n", "s1", "s2")})
-    rest = lambda c: d(f"all_{c}") - d(c)
-
-    def spread(n: Column, s1: Column, s2: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.try_divide(s2, n) - F.pow(F.try_divide(s1, n), 2))
-
-    mean, other = F.try_divide(d("s1"), d("n")), F.try_divide(rest("s1"), rest("n"))
-    var = spread(d("n"), d("s1"), d("s2"))
-    pooled = F.sqrt((var + spread(rest("n"), rest("s1"), rest("s2"))) / 2)
-    third = F.try_divide(d("s3"), d("n")) - 3 * mean * F.try_divide(d("s2"), d("n")) + 2 * F.pow(mean, 3)
-    shift = F.when((d("n") >= 2) & (rest("n") >= 2) & (pooled > 0), (mean - other) / pooled)
-    skew = F.when((d("n") >= 2) & (var > 0), third / F.pow(var, 1.5))
+    # The other loads are added up from both sides, not subtracted from the total: next to one load's large powers theirs would be lost in rounding.
+    sides = [Window.partitionBy("column_name").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("load_id"), F.desc("load_id"))]
+    counted = {"n": "valid" if whole else "n", "s1": "s1", "s2": "s2", "b1": "b1", "b2": "b2"}
+    x = sums.withColumns({f"{side}_{k}": F.coalesce(F.sum(c).over(w), F.lit(0)) for side, w in zip(("lower", "higher"), sides) for k, c in counted.items()})
+    others = lambda k: d(f"lower_{k}") + d(f"higher_{k}")
+    own = {"n": d(counted["n"])} | {f"s{k}": d(f"s{k}") + d(f"b{k}") if whole else d(f"s{k}") for k in range(1, 4)}
+    rest = {"n": others("n")} | {f"s{k}": others(f"s{k}") + others(f"b{k}") if whole else others(f"s{k}") for k in (1, 2)}
+
+    def spread(of: dict[str, Column]) -> Column:
+        return F.greatest(F.lit(0.0), F.try_divide(of["s2"], of["n"]) - F.pow(F.try_divide(of["s1"], of["n"]), 2))
+
+    mean, other = F.try_divide(own["s1"], own["n"]), F.try_divide(rest["s1"], rest["n"])
+    var = spread(own)
+    pooled = F.sqrt((var + spread(rest)) / 2)
+    third = F.try_divide(own["s3"], own["n"]) - 3 * mean * F.try_divide(own["s2"], own["n"]) + 2 * F.pow(mean, 3)
+    shift = F.when((own["n"] >= 2) & (rest["n"] >= 2) & (pooled > 0), (mean - other) / pooled)
+    skew = F.when((own["n"] >= 2) & (var > 0), third / F.pow(var, 1.5))
     return x.select("load_id", "column_name", (mean / unit).alias("mean"), (F.sqrt(var) / unit).alias("stddev"), skew.alias("skewness"), shift.alias("shift"))
 
 

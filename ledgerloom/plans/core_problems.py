@@ -93,7 +93,7 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_numeric_shift(spark: SparkSession, d: str) -> DataFrame:
     sums = load_profile.power_sums(table(spark, d, "amazon_sales"), "load_id", ["amount", "quantity"])
-    return load_profile.standardised_shift(sums).select("load_id", "column_name", *[F.round(c, 6).alias(c) for c in ("mean", "stddev", "skewness", "shift")])
+    return load_profile.standardised_shift(sums, whole=True).select("load_id", "column_name", *[F.round(c, 6).alias(c) for c in ("mean", "stddev", "skewness", "shift")])
 
 
 def p7_pattern_violations(spark: SparkSession, d: str) -> DataFrame:

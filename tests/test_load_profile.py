@@ -1,8 +1,10 @@
+import math
 import statistics
 
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import load_profile as P
+from ledgerloom.plans import core_problems
 
 SCHEMA = "load_id bigint, status string, oid string, idx string, amount string, n int, value string, measure string"
 
@@ -97,6 +99,32 @@ def test_power_sums_merge_and_shift(spark):
     assert P.standardised_shift(P.power_sums(df.limit(0), "load_id", ["amount"])).count() == 0
 
 
+def test_whole_shift_keeps_large_values(spark):
+    # One large value, a load wholly beyond the limit, a value beyond a bigint, and a huge one whose square must not swallow the other loads' sums.
+    amounts = {1: [1.0, 2.5, 270451.47], 2: [500000.25, 600000.5, 700000.0], 3: [3.0, 4.5, 1e13], 4: [5.0, 1e21], 5: [1.5, 2.0]}
+    for loads in ((1, 2, 5), (1, 2, 3, 5), (1, 2, 3, 4, 5)):
+        df = spark.createDataFrame([rows(k, "x", "x", "x", f"{v:.2f}") for k in loads for v in amounts[k]], SCHEMA)
+        sums = P.power_sums(df, "load_id", ["amount"])
+        assert {r["load_id"]: r["valid"] for r in sums.collect()} == {k: len(amounts[k]) for k in loads}
+        got = {r["load_id"]: r for r in P.standardised_shift(sums, whole=True).collect()}
+        for k in loads:
+            own, rest = amounts[k], [v for j in loads if j != k for v in amounts[j]]
+            pooled = ((statistics.pvariance(own) + statistics.pvariance(rest)) / 2) ** 0.5
+            want = (statistics.fmean(own), statistics.pstdev(own), (statistics.fmean(own) - statistics.fmean(rest)) / pooled)
+            for c, w in zip(("mean", "stddev", "shift"), want):
+                assert math.isclose(got[k][c], w, rel_tol=1e-9), (loads, k, c)
+        own = amounts[2]
+        third = sum((v - statistics.fmean(own)) ** 3 for v in own) / 3
+        assert math.isclose(got[2]["skewness"], third / statistics.pstdev(own) ** 3, rel_tol=1e-6)
+
+
+def test_registered_shift_keeps_large_values(spark, tmp_path):
+    df = spark.createDataFrame([(1, "1.00", "1"), (1, "270451.47", "2"), (2, "5.00", "3"), (2, "7.00", "99999999999")], "load_id bigint, amount string, quantity string")
+    df.write.parquet(f"{tmp_path}/amazon_sales.parquet")
+    got = {(r["load_id"], r["column_name"]): r["mean"] for r in core_problems.p7_numeric_shift(spark, str(tmp_path)).collect()}
+    assert got == {(1, "amount"): 135226.235, (2, "amount"): 6.0, (1, "quantity"): 1.5, (2, "quantity"): 50000000001.0}
+
+
 def test_pattern_violations(spark):
     df = spark.createDataFrame([rows(1, "x", "A1", "1"), rows(1, "x", "b", "1"), rows(1, "x", " ", "1"), rows(1, "x", None, "1")], SCHEMA)
     r = P.pattern_violations(df, "load_id", {"oid": "^[A-Z][0-9]+$"}).first()
