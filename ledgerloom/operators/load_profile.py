@@ -135,7 +135,7 @@ def changed_loads(df: DataFrame, load: str, categories: Sequence[str], identifie
     rows = df.where(F.col(load).isNotNull())
     # Counts per load and value or form are small and used several times: they are made once, in one scan of their columns each.
     values = cut(value_counts(rows, load, categories)) if categories else None
-    forms = cut(form_counts(rows, load, identifiers)) if identifiers else None
+    forms = cut(_forms(rows, load, identifiers, categories, values)) if identifiers else None
     counted = values if values is not None else forms
     if counted is not None:
         sizes = counted.where(F.col("column_name") == [*categories, *identifiers][0]).groupBy("load_id").agg(F.sum("n").alias("load_rows"))
@@ -147,13 +147,21 @@ def changed_loads(df: DataFrame, load: str, categories: Sequence[str], identifie
         nothing = F.lit(None)
         return rows.select(F.col(load).alias("load_id"), *[nothing.cast(t).alias(c) for c, t in (("column_name", "string"), ("measure", "string"), ("share", "double"), ("median_share", "double"))]).where("false")
     loads = F.from_json(F.lit("[" + ",".join(f'{{"load_id":{a},"load_rows":{b}}}' for a, b in listed) + "]"), "array<struct<load_id:bigint,load_rows:bigint>>")
-    parts = []
+    parts, counted_again = [], [c for c in sequences if c in categories]
     if categories:
-        named = values.select("column_name", F.when(F.col("value").isNull(), F.lit("blank")).otherwise(F.concat(F.lit("value="), F.col("value"))).alias("measure"), "load_id", "n")
+        # A share under the limit in every load cannot leave its median by the limit, so only values that reach it in some load are compared.
+        sized = values.join(rows.sparkSession.range(1).select(F.inline(loads)), "load_id")
+        large = sized.where(F.col("n") >= F.col("load_rows") * (limit - 2 * EPS)).select("column_name", "value").distinct()
+        named = values.join(large.where(F.col("value").isNotNull()), ["column_name", "value"]).select("column_name", F.concat(F.lit("value="), F.col("value")).alias("measure"), "load_id", "n")
+        missing = values.where(F.col("value").isNull()).select("column_name", F.lit("blank").alias("measure"), "load_id", "n")
         found = values.where(F.col("value").isNotNull())
-        absent = F.lit(len(listed)) - F.count(F.lit(1)).over(Window.partitionBy("column_name", "value"))
-        rare = found.withColumn("absent", absent).where(F.col("absent") > len(listed) / 2.0).groupBy("column_name", "load_id").agg(F.sum("n").alias("n"))
-        parts += [named, rare.select("column_name", F.lit("rare").alias("measure"), "load_id", "n")]
+        by_value = Window.partitionBy("column_name", "value")
+        ranged = found.withColumn("absent", F.lit(len(listed)) - F.count(F.lit(1)).over(by_value)).withColumn("first_load", F.min("load_id").over(by_value))
+        again = F.col("column_name").isin(counted_again) & (F.col("load_id") > F.col("first_load")) if counted_again else F.lit(False)
+        # Both measures of a value's loads come from one shuffle by value.
+        marked = ranged.groupBy("column_name", "load_id").agg(F.sum(F.when(F.col("absent") > len(listed) / 2.0, F.col("n"))).alias("rare"), F.sum(F.when(again, F.col("n"))).alias("seen_before"))
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("n")) for m in ("rare", "seen_before")])).alias("_p")
+        parts += [named, missing, marked.select("column_name", "load_id", each).select("column_name", "_p.measure", "load_id", "_p.n").where(F.col("n").isNotNull())]
     if identifiers:
         blank = forms.where(F.col("form").isNull()).select("column_name", F.lit("blank").alias("measure"), "load_id", "n")
         found = forms.where(F.col("form").isNotNull())
@@ -161,7 +169,7 @@ def changed_loads(df: DataFrame, load: str, categories: Sequence[str], identifie
         common = total.groupBy("column_name").agg(F.min_by("form", F.struct(-F.col("all_n"), F.col("form"))).alias("common"))
         off = found.join(common, "column_name").where(F.col("form") != F.col("common")).groupBy("column_name", "load_id").agg(F.sum("n").alias("n"))
         parts += [blank, off.select("column_name", F.lit("off_form").alias("measure"), "load_id", "n")]
-    parts += [seen_before(rows, load, c) for c in sequences]
+    parts += [seen_before(rows, load, c) for c in sequences if c not in counted_again]
     counts = parts[0]
     for p in parts[1:]:
         counts = counts.unionByName(p)
@@ -175,6 +183,17 @@ def changed_loads(df: DataFrame, load: str, categories: Sequence[str], identifie
     return _against_median(shares, limit).select("load_id", "column_name", "measure", "share", "median_share")
 
 
+def _forms(rows: DataFrame, load: str, identifiers: Sequence[str], categories: Sequence[str], values: DataFrame | None) -> DataFrame:
+    """form_counts of the identifiers; those that are categories too take them from their value counts."""
+    both = [c for c in identifiers if c in categories]
+    alone = [c for c in identifiers if c not in categories]
+    parts = [form_counts(rows, load, alone)] if alone else []
+    if both:
+        form = F.when(F.col("value").isNotNull(), written_form("value")).alias("form")
+        parts.append(values.where(F.col("column_name").isin(both)).groupBy("load_id", "column_name", form).agg(F.sum("n").alias("n")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def form_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
     """(load_id, column_name, form, n): grouped counts of written forms, blank as null."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(~is_blank(c), written_form(c)).alias("form")) for c in columns])).alias("_p")

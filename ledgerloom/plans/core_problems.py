@@ -82,6 +82,11 @@ def p7_changes(spark: SparkSession, d: str) -> DataFrame:
     return load_profile.changed_loads(table(spark, d, "amazon_sales"), "load_id", CATEGORIES, IDENTIFIERS, SEQUENCES)
 
 
+def p7_column_changes(spark: SparkSession, d: str) -> DataFrame:
+    """p7_changes for every column: blanks, written forms, single and rare values of all of them."""
+    return load_profile.changed_loads(table(spark, d, "amazon_sales"), "load_id", SALES_COLUMNS, SALES_COLUMNS, SEQUENCES)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_changes(spark, d).select("load_id", "column_name").distinct()
 
@@ -101,4 +106,4 @@ def p7_pattern_violations(spark: SparkSession, d: str) -> DataFrame:
     return load_profile.pattern_violations(table(spark, d, "amazon_sales"), "load_id", patterns)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p3_found, p3_rejects, p3_loaded, p5_rolling_state_size, p5_rolling_state, p5_late_corrections, p7_found, p7_changes, p7_profile, p7_numeric_shift, p7_pattern_violations)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p3_found, p3_rejects, p3_loaded, p5_rolling_state_size, p5_rolling_state, p5_late_corrections, p7_found, p7_changes, p7_column_changes, p7_profile, p7_numeric_shift, p7_pattern_violations)}

@@ -82,6 +82,12 @@ shares AS (SELECT g.column_name, g.measure, l.load_id, CAST(coalesce(n, 0) AS DO
 cases AS (SELECT *, quantile_cont(share, 0.5) OVER (PARTITION BY column_name, measure) AS median_share FROM shares)
 """
 
+#: CHANGES with every column in both lists; blanks are counted from the first.
+COLUMN_CHANGES = (
+    CHANGES.replace(_values(["status", "size"]), _values(COLUMNS)).replace(_values(["order_id", "source_index"]), _values(COLUMNS))
+    .replace("UNION ALL SELECT load_id, column_name, 'blank' FROM i WHERE value IS NULL", "")
+)
+
 PROFILE = f"""WITH v AS ({' UNION ALL '.join(f"SELECT load_id, '{c}' AS column_name, {text(c)} AS value FROM amazon_sales" for c in COLUMNS)}),
 f AS (SELECT load_id, column_name, CASE WHEN value IS NOT NULL THEN {form('value')} END AS form, count(*) AS n, count(DISTINCT value) AS d, min(value) AS lo, max(value) AS hi FROM v GROUP BY 1, 2, 3),
 b AS (SELECT * FROM (SELECT load_id, column_name, form AS common_form, n AS common_n, row_number() OVER (PARTITION BY load_id, column_name ORDER BY n DESC, form DESC) AS k FROM f WHERE form IS NOT NULL) WHERE k = 1),
@@ -118,6 +124,7 @@ SQL = {
     "p5_late_corrections": rolling(["ship_state"]),
     "p7_found": f"{CHANGES} SELECT DISTINCT load_id, column_name FROM cases WHERE abs(share - median_share) >= 0.1 - 1e-9",
     "p7_changes": f"{CHANGES} SELECT load_id, column_name, measure, share, median_share FROM cases WHERE abs(share - median_share) >= 0.1 - 1e-9",
+    "p7_column_changes": f"{COLUMN_CHANGES} SELECT load_id, column_name, measure, share, median_share FROM cases WHERE abs(share - median_share) >= 0.1 - 1e-9",
     "p7_profile": PROFILE,
     "p7_numeric_shift": SHIFT,
     "p7_pattern_violations": " UNION ALL ".join(

@@ -125,6 +125,26 @@ def test_registered_shift_keeps_large_values(spark, tmp_path):
     assert got == {(1, "amount"): 135226.235, (2, "amount"): 6.0, (1, "quantity"): 1.5, (2, "quantity"): 50000000001.0}
 
 
+def test_registered_changes_cover_every_column(spark, tmp_path):
+    from ledgerloom.sources.sales import SALES_COLUMNS
+
+    k, table = 0, []
+    for load in range(1, 8):
+        for i in range(20):
+            k += 1
+            row = dict.fromkeys(SALES_COLUMNS, "x") | {"order_id": f"A-{k}", "source_index": str(k)}
+            changed = {2: ("category", None), 3: ("currency", "usd"), 4: ("ship_state", "X"), 5: ("courier_status", "sent"), 6: ("promotion_ids", ""), 7: ("sku", "hot-1")}
+            if load in changed and i < 3:
+                row[changed[load][0]] = changed[load][1]
+            table.append((load, *row.values()))
+    df = spark.createDataFrame(table, "load_id bigint, " + ", ".join(f"{c} string" for c in SALES_COLUMNS))
+    df.write.parquet(f"{tmp_path}/amazon_sales.parquet")
+    got = {(r["load_id"], r["column_name"], r["measure"]) for r in core_problems.p7_column_changes(spark, str(tmp_path)).collect()}
+    lost = {(load, c, "value=x") for load, c in ((2, "category"), (3, "currency"), (4, "ship_state"), (5, "courier_status"), (6, "promotion_ids"), (7, "sku"))}
+    new = {(load, c, m) for load, c, v in ((3, "currency", "usd"), (4, "ship_state", "X"), (5, "courier_status", "sent"), (7, "sku", "hot-1")) for m in (f"value={v}", "rare", "off_form")}
+    assert got == lost | new | {(2, "category", "blank"), (6, "promotion_ids", "blank")}
+
+
 def test_pattern_violations(spark):
     df = spark.createDataFrame([rows(1, "x", "A1", "1"), rows(1, "x", "b", "1"), rows(1, "x", " ", "1"), rows(1, "x", None, "1")], SCHEMA)
     r = P.pattern_violations(df, "load_id", {"oid": "^[A-Z][0-9]+$"}).first()
