@@ -83,6 +83,17 @@ def power_sums(df: DataFrame, load: str, numeric: Sequence[str], scale: int = 2,
     return rows.groupBy("load_id", "column_name").agg(F.count("x").alias("valid"), F.count(u).alias("n"), *sums, F.min("u").alias("lo_units"), F.max("u").alias("hi_units"))
 
 
+def numeric_ranges(df: DataFrame, load: str, numeric: Sequence[str]) -> DataFrame:
+    """(load_id, column_name, row_count, blank_count, valid_count, min_value, max_value): the range of the valid numbers as doubles, in numeric order."""
+    def pair(c: str) -> Column:
+        return F.struct(F.lit(c).alias("column_name"), is_blank(c).alias("blank"), parse_double(c).alias("x"))
+
+    pairs = F.explode(F.array(*[pair(c) for c in numeric])).alias("_p")
+    rows = df.select(F.col(load).alias("load_id"), pairs).select("load_id", "_p.*")
+    counts = [F.count(F.lit(1)).alias("row_count"), F.count_if("blank").alias("blank_count"), F.count("x").alias("valid_count")]
+    return rows.groupBy("load_id", "column_name").agg(*counts, F.min("x").alias("min_value"), F.max("x").alias("max_value"))
+
+
 def merge_power_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Power sums added up over everything but `keys`."""
     total = lambda c: F.sum(c).cast("decimal(38,0)").alias(c)

@@ -96,6 +96,11 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
     return load_profile.profile(sales, "load_id", SALES_COLUMNS)
 
 
+def p7_numeric_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Valid counts and ranges of the numeric columns as numbers; p7_profile has their ranges as texts."""
+    return load_profile.numeric_ranges(table(spark, d, "amazon_sales"), "load_id", ["amount", "quantity", "source_index"])
+
+
 def p7_numeric_shift(spark: SparkSession, d: str) -> DataFrame:
     sums = load_profile.power_sums(table(spark, d, "amazon_sales"), "load_id", ["amount", "quantity"])
     return load_profile.standardised_shift(sums, whole=True).select("load_id", "column_name", *[F.round(c, 6).alias(c) for c in ("mean", "stddev", "skewness", "shift")])
@@ -106,4 +111,4 @@ def p7_pattern_violations(spark: SparkSession, d: str) -> DataFrame:
     return load_profile.pattern_violations(table(spark, d, "amazon_sales"), "load_id", patterns)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p3_found, p3_rejects, p3_loaded, p5_rolling_state_size, p5_rolling_state, p5_late_corrections, p7_found, p7_changes, p7_column_changes, p7_profile, p7_numeric_shift, p7_pattern_violations)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p3_found, p3_rejects, p3_loaded, p5_rolling_state_size, p5_rolling_state, p5_late_corrections, p7_found, p7_changes, p7_column_changes, p7_profile, p7_numeric_profile, p7_numeric_shift, p7_pattern_violations)}

@@ -98,6 +98,14 @@ def _units(c: str) -> str:
     return f"SELECT load_id, '{c}' AS column_name, CAST(CASE WHEN regexp_full_match({text(c)}, '{DECIMAL}') THEN try_cast({text(c)} AS DECIMAL(20,2)) END * 100 AS HUGEINT) AS v FROM amazon_sales"
 
 
+def _ranged(c: str) -> str:
+    return f"SELECT load_id, '{c}' AS column_name, {text(c)} AS value, CASE WHEN regexp_full_match({text(c)}, '{DECIMAL}') THEN try_cast({text(c)} AS DOUBLE) END AS x FROM amazon_sales"
+
+
+RANGES = f"""SELECT load_id, column_name, count(*) AS row_count, count(*) - count(value) AS blank_count, count(x) AS valid_count, min(x) AS min_value, max(x) AS max_value
+FROM ({' UNION ALL '.join(map(_ranged, ('amount', 'quantity', 'source_index')))}) GROUP BY 1, 2"""
+
+
 def _spread(n: str, s1: str, s2: str) -> str:
     return f"greatest(0.0, CASE WHEN {n} > 0 THEN {s2} / {n} END - pow(CASE WHEN {n} > 0 THEN {s1} / {n} END, 2))"
 
@@ -126,6 +134,7 @@ SQL = {
     "p7_changes": f"{CHANGES} SELECT load_id, column_name, measure, share, median_share FROM cases WHERE abs(share - median_share) >= 0.1 - 1e-9",
     "p7_column_changes": f"{COLUMN_CHANGES} SELECT load_id, column_name, measure, share, median_share FROM cases WHERE abs(share - median_share) >= 0.1 - 1e-9",
     "p7_profile": PROFILE,
+    "p7_numeric_profile": RANGES,
     "p7_numeric_shift": SHIFT,
     "p7_pattern_violations": " UNION ALL ".join(
         f"SELECT load_id, '{c}' AS column_name, count(*) FILTER ({text(c)} IS NOT NULL) AS checked, count(*) FILTER (NOT regexp_full_match({text(c)}, '{p}')) AS violations FROM amazon_sales GROUP BY 1" for c, p in PATTERNS.items()

@@ -145,6 +145,16 @@ def test_registered_changes_cover_every_column(spark, tmp_path):
     assert got == lost | new | {(2, "category", "blank"), (6, "promotion_ids", "blank")}
 
 
+def test_registered_ranges_are_numeric(spark, tmp_path):
+    table = [(1, "9.50", "1", "7"), (1, "free", " ", "10"), (1, "270451.47", "99999999999", "x"), (1, "-3", "1e3", None), (2, "", "NaN", "100000000000000000000")]
+    spark.createDataFrame(table, "load_id bigint, amount string, quantity string, source_index string").write.parquet(f"{tmp_path}/amazon_sales.parquet")
+    got = {tuple(r) for r in core_problems.p7_numeric_profile(spark, str(tmp_path)).collect()}
+    assert got == {
+        (1, "amount", 4, 0, 3, -3.0, 270451.47), (1, "quantity", 4, 1, 2, 1.0, 99999999999.0), (1, "source_index", 4, 1, 2, 7.0, 10.0),
+        (2, "amount", 1, 1, 0, None, None), (2, "quantity", 1, 0, 0, None, None), (2, "source_index", 1, 0, 1, 1e20, 1e20),
+    }
+
+
 def test_pattern_violations(spark):
     df = spark.createDataFrame([rows(1, "x", "A1", "1"), rows(1, "x", "b", "1"), rows(1, "x", " ", "1"), rows(1, "x", None, "1")], SCHEMA)
     r = P.pattern_violations(df, "load_id", {"oid": "^[A-Z][0-9]+$"}).first()
