@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DECIMAL, INTEGER, is_blank, list_items, parse_date, text, trimmed, upper_text
+from ..functions.text import DECIMAL, INTEGER, is_blank, list_items, month_of, parse_date, text, trimmed, upper_text
 from ..session import bounded_rows
 
 
@@ -61,6 +61,12 @@ def largest_group(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *group).limit(1)
 
 
+def largest_sku_month(raw: DataFrame) -> DataFrame:
+    """(sku, month, n): the SKU and month of the order date with most raw rows, ties by name. Rows without a SKU or a valid date take no part."""
+    rows = raw.select(upper_text("sku").alias("sku"), month_of(parse_date("order_date")).alias("month"))
+    return largest_group(rows.where(F.col("sku").isNotNull() & F.col("month").isNotNull()), ["sku", "month"])
+
+
 def partition_estimate(total_bytes: int, rows: int, largest: int, partition_bytes: int = 128 * 1024 * 1024) -> dict:
     """Bytes of the largest group at the average row size, against a read partition."""
     size = total_bytes * largest / rows if rows else 0.0
@@ -76,6 +82,9 @@ def report(raw: DataFrame, columns: Sequence[str], most: int = 10_000) -> str:
     """Markdown of the whole profile; frequency tables are those of low-cardinality columns and are checked for size."""
     metrics = [*integrity(raw).first().asDict().items(), *[(r["metric"], r["value"]) for r in distinct_values(raw).collect()]]
     parts = ["# Data profile", "## Input integrity", markdown_table(["Metric", "Value"], [(k, f"{v:.4f}" if isinstance(v, float) else v) for k, v in metrics])]
+    if "sku" in columns:
+        top = [(r["sku"], r["month"], r["n"]) for r in largest_sku_month(raw).collect()]
+        parts += ["## Largest SKU and month", markdown_table(["SKU", "Month", "Rows"], top)]
     parts += ["## Missing values", markdown_table(["Column", "Null or blank rows"], [tuple(r) for r in blanks(raw, columns).collect()])]
     for c, upper in (("status", False), ("size", False), ("ship_state", True)):
         rows = bounded_rows(frequencies(raw, c, upper), most)

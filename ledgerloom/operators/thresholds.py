@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .window_winner import population_variance
+from .window_winner import SUMS, merged_sums, value_sums, variance_of
 
 ACCURACY = 10_000
 PERCENTILES = (0.8, 0.9)
@@ -47,26 +47,30 @@ def exact(obs: DataFrame, group: Sequence[str], percentiles: Sequence[float] = P
 
 
 def exact_by_array(obs: DataFrame, group: Sequence[str], percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
-    """The type-7 formula on sorted arrays; a second implementation to hold `exact` against on groups that fit a row."""
-    grouped = obs.groupBy(*group).agg(F.sort_array(F.collect_list("value")).alias("x"), F.count(F.lit(1)).alias("total_order_count"))
-    each = grouped.withColumn("percentile", F.explode(F.array(*map(F.lit, percentiles))))
-    h = (F.size("x") - 1) * F.col("percentile")
-    lo, hi = F.get("x", F.floor(h).cast("int")).cast("double"), F.get("x", F.ceil(h).cast("int")).cast("double")
+    """The type-7 formula on sorted arrays; a second implementation to hold `exact` against. An array has one entry (value, rows up to it) per distinct
+    value of a group, however many rows hold it."""
+    counts = obs.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    grouped = counts.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("x"), F.sum("n").alias("total_order_count"))
+    # Running sums, as one fold over the sorted values.
+    none = F.array().cast("array<struct<value:int,upto:bigint>>")
+    before = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["upto"], F.lit(0).cast("bigint"))
+    upto = F.aggregate("x", none, lambda a, v: F.concat(a, F.array(F.struct(v["value"].alias("value"), (before(a) + v["n"]).alias("upto")))))
+    each = grouped.withColumn("x", upto).withColumn("percentile", F.explode(F.array(*map(F.lit, percentiles))))
+    h = (F.col("total_order_count") - 1) * F.col("percentile")
+    at = lambda k: F.get(F.filter("x", lambda v: v["upto"] > k), F.lit(0))["value"].cast("double")
+    lo, hi = at(F.floor(h)), at(F.ceil(h))
     return each.select(*group, F.lit(EXACT).alias("method"), "percentile", (lo + (h - F.floor(h)) * (hi - lo)).alias("threshold"), "total_order_count")
 
 
 def value_moments(obs: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(group..., value, n, m, s1, s2): rows, amounts, exact sum and sum of squares of the amounts in 1/100."""
-    u = F.round(F.col("amount") * 100).cast("bigint").cast("decimal(19,0)")
-    sums = [F.sum(u).cast("decimal(28,0)").alias("s1"), F.sum((u * u).cast("decimal(28,0)")).cast("decimal(38,0)").alias("s2")]
-    return obs.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"), F.count("amount").alias("m"), *sums)
+    """(group..., value, n, m, s1, s2, off, d1, d2): rows, and the sums of the amounts (window_winner.value_sums)."""
+    return obs.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"), *value_sums(F.col("amount")))
 
 
 def _qualifying(met: DataFrame, group: Sequence[str]) -> DataFrame:
-    out = met.groupBy(*group, "method", "percentile", "threshold", "total_order_count").agg(
-        F.sum("n").alias("qualifying_order_count"), F.sum("m").alias("qualifying_amount_count"), F.sum("s1").cast("decimal(28,0)").alias("s1"), F.sum("s2").cast("decimal(38,0)").alias("s2")
-    )
-    sd = F.sqrt(population_variance(F.col("qualifying_amount_count"), F.col("s1"), F.col("s2")))
+    out = met.groupBy(*group, "method", "percentile", "threshold", "total_order_count").agg(F.sum("n").alias("qualifying_order_count"), *merged_sums())
+    sd = F.sqrt(variance_of())
+    out = out.withColumn("qualifying_amount_count", F.col("m"))
     return out.withColumn("amount_stddev_pop", F.when(F.col("qualifying_amount_count") < 2, 0.0).otherwise(F.coalesce(sd, F.lit(0.0)))).select(*group, *RESULT)
 
 
@@ -91,7 +95,7 @@ def exact_result(obs: DataFrame, group: Sequence[str], percentiles: Sequence[flo
     t = F.percentile("value", F.array(*map(F.lit, percentiles)), F.col("n")).over(whole)
     each = m.withColumns({"t": t, "total_order_count": F.sum("n").over(whole), "method": F.lit(EXACT)})
     pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, percentiles)).alias("percentile"), F.col("t").alias("threshold"))).alias("_p")
-    met = each.select(*group, "value", "n", "m", "s1", "s2", "method", "total_order_count", pairs).select("*", "_p.percentile", "_p.threshold")
+    met = each.select(*group, "value", "n", *SUMS, "method", "total_order_count", pairs).select("*", "_p.percentile", "_p.threshold")
     return _qualifying(met.where(F.col("value").cast("double") >= F.col("threshold")), group)
 
 
@@ -125,16 +129,16 @@ def compare(obs: DataFrame, group: Sequence[str], percentiles: Sequence[float] =
     m = value_moments(obs, group).withColumn("te", F.percentile("value", levels, F.col("n")).over(whole))
     rough = obs.groupBy(*group).agg(F.percentile_approx("value", list(percentiles), accuracy).cast("array<double>").alias("ta"))
     pairs = F.explode(F.arrays_zip(levels.alias("percentile"), F.col("ta"), F.col("te"))).alias("_p")
-    each = m.join(rough, list(group)).select(*group, "value", "n", "m", "s1", "s2", pairs)
+    each = m.join(rough, list(group)).select(*group, "value", "n", *SUMS, pairs)
     each = each.select("*", F.col("_p.percentile"), F.col("_p.ta").alias("approx_threshold"), F.col("_p.te").alias("exact_threshold")).drop("_p")
     v = F.col("value").cast("double")
     within = {p: v >= F.col(f"{p}_threshold") for p in ("approx", "exact")}
-    sums = [F.sum(F.when(q, F.col(c)).otherwise(F.lit(0))).cast(t).alias(f"{p}_{c}") for p, q in within.items() for c, t in (("n", "bigint"), ("m", "bigint"), ("s1", "decimal(28,0)"), ("s2", "decimal(38,0)"))]
+    sums = [F.coalesce(F.sum(F.when(q, F.col(c))), F.lit(0)).cast(t).alias(f"{p}_{c}") for p, q in within.items() for c, t in ({"n": "bigint"} | SUMS).items()]
     apart = F.sum(F.when(within["approx"] != within["exact"], F.col("n")).otherwise(0)).alias("membership_difference_count")
     met = each.groupBy(*group, "percentile", "approx_threshold", "exact_threshold").agg(*sums, apart)
 
     def deviation(p: str) -> Column:
-        sd = F.sqrt(population_variance(F.col(f"{p}_m"), F.coalesce(f"{p}_s1", F.lit(0)).cast("decimal(28,0)"), F.coalesce(f"{p}_s2", F.lit(0)).cast("decimal(38,0)")))
+        sd = F.sqrt(variance_of(f"{p}_"))
         return F.when(F.col(f"{p}_m") < 2, 0.0).otherwise(F.coalesce(sd, F.lit(0.0)))
 
     columns = [x for p in within for x in (F.col(f"{p}_threshold"), F.col(f"{p}_n").alias(f"{p}_qualifying_order_count"), deviation(p).alias(f"{p}_amount_stddev_pop"))]
@@ -159,15 +163,20 @@ def checksum(result: DataFrame) -> DataFrame:
     return result.agg(F.count(F.lit(1)).alias("row_count"), *[F.sum(c).alias(f"sum_{c}") for c in numeric], F.bit_xor(F.xxhash64(*result.columns)).alias("mixed"))
 
 
-def invalid_rows(result: DataFrame) -> DataFrame:
-    """Rows that break what holds by definition; none is the expected result."""
+def invalid_rows(result: DataFrame, group: Sequence[str] = ("sku", "month")) -> DataFrame:
+    """Rows that break what holds by definition; none is the expected result. A null in a compared column breaks it as well."""
     c = F.col
-    bad = (
-        ~c("method").isin(EXACT, APPROX) | ~c("percentile").isin(*PERCENTILES) | c("threshold").isNull() | F.isnan("threshold") | (c("total_order_count") < 1)
-        | (c("qualifying_order_count") < 1) | (c("qualifying_order_count") > c("total_order_count")) | (c("qualifying_amount_count") > c("qualifying_order_count"))
-        | c("amount_stddev_pop").isNull() | (c("amount_stddev_pop") < 0)
-    )
-    return result.where(bad)
+    holds = [*[c(g).isNotNull() for g in (*group, "method", "threshold", "amount_stddev_pop")]]
+    holds += [
+        c("total_order_count") >= 1, c("qualifying_order_count") >= c("qualifying_amount_count"), c("qualifying_order_count") <= c("total_order_count"),
+        c("amount_stddev_pop") >= 0, (c("qualifying_amount_count") >= 2) | (c("amount_stddev_pop") == 0),
+        # Beyond these: known methods and percentiles, a number as threshold, at least one row that reaches it.
+        c("method").isin(EXACT, APPROX), c("percentile").isin(*PERCENTILES), ~F.isnan("threshold"), ~F.isnan("amount_stddev_pop"), c("qualifying_order_count") >= 1,
+    ]
+    whole = holds[0]
+    for h in holds[1:]:
+        whole = whole & h
+    return result.where(~F.coalesce(whole, F.lit(False)))
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:

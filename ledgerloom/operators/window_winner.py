@@ -13,20 +13,47 @@ from pyspark.sql import functions as F
 UNITS = 100
 
 
+def value_sums(value: Column, units: int = UNITS) -> list[Column]:
+    """Aggregates m, s1, s2 (values, exact sum and sum of squares in 1/units) and off, d1, d2: values that are no whole number of units or too large
+    for the exact sums, and the sums of all values as doubles, which hold where off is not 0."""
+    x = value.cast("double")
+    u = F.round(x * units)
+    on = (F.abs(u) < 1e13) & (F.abs(x * units - u) <= F.greatest(F.abs(u), F.lit(1.0)) * 1e-12)
+    exact = F.when(on, u.cast("bigint")).cast("decimal(19,0)")
+    return [
+        F.count(x).alias("m"), F.sum(exact).cast("decimal(28,0)").alias("s1"), F.sum((exact * exact).cast("decimal(28,0)")).cast("decimal(38,0)").alias("s2"),
+        F.count_if(x.isNotNull() & ~on).alias("off"), F.sum(x).alias("d1"), F.sum(x * x).alias("d2"),
+    ]
+
+
+#: Merges of the sums of value_sums.
+SUMS = {"m": "bigint", "s1": "decimal(28,0)", "s2": "decimal(38,0)", "off": "bigint", "d1": "double", "d2": "double"}
+
+
+def merged_sums(names: dict[str, str] = SUMS) -> list[Column]:
+    return [F.sum(c).cast(t).alias(c) for c, t in names.items()]
+
+
 def moments(df: DataFrame, entity: str, day: str, item: str, value: str, units: int = UNITS) -> DataFrame:
-    """(entity, day, item, n, m, s1, s2): rows, rows with a value, exact sum and sum of squares of the value in 1/units."""
-    rows = df.select(F.col(entity).alias("_e"), F.col(day).alias("_d"), F.col(item).alias("_i"), F.round(F.col(value) * units).cast("bigint").alias("_u"))
-    u = F.col("_u").cast("decimal(19,0)")
-    found = rows.groupBy("_e", "_d", "_i").agg(
-        F.count(F.lit(1)).alias("n"), F.count("_u").alias("m"), F.sum(u).cast("decimal(28,0)").alias("s1"), F.sum((u * u).cast("decimal(28,0)")).cast("decimal(38,0)").alias("s2")
-    )
+    """(entity, day, item, n, m, s1, s2, off, d1, d2): rows, and value_sums of the value."""
+    rows = df.select(F.col(entity).alias("_e"), F.col(day).alias("_d"), F.col(item).alias("_i"), F.col(value).alias("_v"))
+    found = rows.groupBy("_e", "_d", "_i").agg(F.count(F.lit(1)).alias("n"), *value_sums(F.col("_v"), units))
     return found.withColumnsRenamed({"_e": entity, "_d": day, "_i": item})
 
 
-def population_variance(m: Column, s1: Column, s2: Column, units: int = UNITS) -> Column:
-    """(m*s2 - s1^2) / m^2 with an exact numerator; null without values, never negative."""
+def population_variance(m: Column, s1: Column, s2: Column, units: int = UNITS, off: Column | None = None, d1: Column | None = None, d2: Column | None = None) -> Column:
+    """(m*s2 - s1^2) / m^2 with an exact numerator; from the doubles where a value is off the grid of units; null without values, never negative."""
     spread = (m.cast("decimal(10,0)") * s2).cast("decimal(38,0)") - (s1 * s1).cast("decimal(38,0)")
-    return F.when(m > 0, F.greatest(F.lit(0.0), spread.cast("double") / (m.cast("double") * m.cast("double")) / float(units * units)))
+    exact = spread.cast("double") / (m.cast("double") * m.cast("double")) / float(units * units)
+    if off is not None:
+        exact = F.when(off > 0, d2 / m - F.pow(d1 / m, 2)).otherwise(exact)
+    return F.when(m > 0, F.greatest(F.lit(0.0), exact))
+
+
+def variance_of(prefix: str = "") -> Column:
+    """population_variance of the columns that value_sums made."""
+    c = {k: F.col(prefix + k) for k in SUMS}
+    return population_variance(c["m"], c["s1"], c["s2"], UNITS, c["off"], c["d1"], c["d2"])
 
 
 def spread_days(daily: DataFrame, day: str, length: Column, into: str = "window_date") -> DataFrame:
@@ -39,15 +66,16 @@ def window_winner(df: DataFrame, entity: str, day: str, item: str, value: str, b
     the lesser variance (undefined last), then to the lesser name.
 
     The window has `short` days for entities with more than `busy_above` rows, else `long`. All rows of an entity count for that, those without day
-    or item too; windows hold only rows with both. Rows without entity take no part. A null value counts as a row but not for the variance.
+    or item too; windows hold only rows with both. Rows without entity take no part. A null value counts as a row but not for the variance. Variances
+    are exact for values of whole cents; a window that holds finer or larger values than the exact sums take has the variance of its doubles.
     """
     daily = moments(df.where(F.col(entity).isNotNull()), entity, day, item, value)
     whole = Window.partitionBy(entity)
     daily = daily.withColumn("_rows", F.sum("n").over(whole)).where(F.col(day).isNotNull() & F.col(item).isNotNull())
     length = F.when(F.col("_rows") > busy_above, F.lit(short)).otherwise(F.lit(long))
     spread = spread_days(daily, day, length)
-    held = spread.groupBy(entity, "window_date", item).agg(F.sum("n").alias("purchase_count"), F.sum("m").alias("m"), F.sum("s1").cast("decimal(28,0)").alias("s1"), F.sum("s2").cast("decimal(38,0)").alias("s2"))
-    held = held.withColumn("population_variance", population_variance(F.col("m"), F.col("s1"), F.col("s2")))
+    held = spread.groupBy(entity, "window_date", item).agg(F.sum("n").alias("purchase_count"), *merged_sums())
+    held = held.withColumn("population_variance", variance_of())
     first = Window.partitionBy(entity, "window_date").orderBy(F.desc("purchase_count"), F.asc_nulls_last("population_variance"), F.asc(item))
     best = held.withColumn("_place", F.row_number().over(first)).where(F.col("_place") == 1)
     return best.select(entity, "window_date", item, "purchase_count", "population_variance")

@@ -5,7 +5,7 @@ Which rows count as bought, candidate or reference is a parameter of the operato
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed_decimals, list_items, trimmed, upper_text
@@ -14,8 +14,10 @@ from ..sources.sales import SALES_COLUMNS, canonical
 from ..sources.tables import table
 from .inspect import equivalent
 
-#: Rows of a state above which its window is short; chosen so that both lengths occur in the test tables.
-BUSY = 500
+#: Fixed values of the questions: rows of a state above which its window is short, least promotions of a qualifying row, rows of a large group.
+BUSY, LEAST_TAGS, LARGE_GROUP = 10_000, 3, 1000
+#: The same rules at values that small tables reach, so that both sides of each rule occur there: queries whose names end in _low.
+LOW_BUSY, LOW_TAGS, LOW_GROUP = 500, 1, 20
 GROUP = ["sku", "month"]
 
 
@@ -38,30 +40,48 @@ def state_counts(spark: SparkSession, d: str) -> DataFrame:
 def daily_moments(spark: SparkSession, d: str) -> DataFrame:
     rows = bought(spark, d).where("order_date IS NOT NULL AND size IS NOT NULL")
     m = window_winner.moments(rows, "ship_state", "order_date", "size", "amount")
-    variance = window_winner.population_variance(F.col("m"), F.col("s1"), F.col("s2"))
+    variance = window_winner.variance_of()
     return m.select("ship_state", "order_date", "size", "n", "m", F.col("s1").cast("bigint").alias("s1"), variance.alias("variance"))
 
 
-def window_days(spark: SparkSession, d: str) -> DataFrame:
-    """Days spread over the dates whose window holds them, joined to the state's length by a join Catalyst picks from measured sizes."""
+def _window_days(spark: SparkSession, d: str, busy: int) -> DataFrame:
     rows = bought(spark, d)
-    lengths = state_counts(spark, d).select("ship_state", F.when(F.col("bought_rows") > BUSY, 5).otherwise(10).alias("days"))
+    lengths = state_counts(spark, d).select("ship_state", F.when(F.col("bought_rows") > busy, 5).otherwise(10).alias("days"))
     days = rows.where("order_date IS NOT NULL AND size IS NOT NULL").groupBy("ship_state", "order_date", "size").agg(F.count(F.lit(1)).alias("n"))
     spread = window_winner.spread_days(days.join(lengths, "ship_state"), "order_date", F.col("days"))
     return spread.groupBy("ship_state", "window_date", "size").agg(F.sum("n").alias("n"))
 
 
+def window_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days spread over the dates whose window holds them, joined to the state's length by a join Catalyst picks from measured sizes."""
+    return _window_days(spark, d, BUSY)
+
+
+def window_days_low(spark: SparkSession, d: str) -> DataFrame:
+    return _window_days(spark, d, LOW_BUSY)
+
+
+def _winner(spark: SparkSession, d: str, busy: int) -> DataFrame:
+    found = window_winner.window_winner(bought(spark, d), "ship_state", "order_date", "size", "amount", busy_above=busy)
+    return found.select(F.col("ship_state").alias("state"), "window_date", "size", "purchase_count", "population_variance")
+
+
 def winner(spark: SparkSession, d: str) -> DataFrame:
     """Most bought size per state and day over the preceding 5 or 10 days."""
-    found = window_winner.window_winner(bought(spark, d), "ship_state", "order_date", "size", "amount", busy_above=BUSY)
-    return found.select(F.col("ship_state").alias("state"), "window_date", "size", "purchase_count", "population_variance")
+    return _winner(spark, d, BUSY)
+
+
+def winner_low(spark: SparkSession, d: str) -> DataFrame:
+    return _winner(spark, d, LOW_BUSY)
+
+
+def text_form(found: DataFrame) -> DataFrame:
+    """A winner's row as its text file has it: six decimals, undefined variance empty."""
+    return found.select("state", F.col("window_date").cast("string").alias("window_date"), "size", "purchase_count", F.coalesce(fixed_decimals("population_variance", 6), F.lit("")).alias("population_variance"))
 
 
 def winner_text(spark: SparkSession, d: str) -> DataFrame:
-    """The same as its text file has it: six decimals, undefined variance empty."""
-    found = window_winner.window_winner(bought(spark, d), "ship_state", "order_date", "size", "amount", busy_above=BUSY)
-    rounded = F.round("population_variance", 3)
-    return found.select(F.col("ship_state").alias("state"), F.col("window_date").cast("string").alias("window_date"), "size", "purchase_count", F.coalesce(fixed_decimals(rounded, 3), F.lit("")).alias("population_variance"))
+    return text_form(winner(spark, d))
 
 
 def _variety(spark: SparkSession, d: str, scope: str) -> DataFrame:
@@ -88,17 +108,21 @@ def style_variety(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("top_rank", F.col("top_rank").cast("bigint"))
 
 
-def _share(spark: SparkSession, d: str, strategy: str = "auto") -> conditional_share.Frames:
+def _share(spark: SparkSession, d: str, strategy: str = "auto", least_tags: int = LEAST_TAGS) -> conditional_share.Frames:
     rows = sales(spark, d)
     averaged = F.expr("is_valid_state AND fulfilment = 'MERCHANT' AND courier_status = 'SHIPPED'")
     candidate = F.expr("is_cancelled AND ship_service_level = 'STANDARD'")
-    return conditional_share.conditional_share(rows, "row_id", "ship_city", "ship_state", "order_date", "promotion_ids", "amount", averaged, candidate, least_tags=1, strategy=strategy)
+    return conditional_share.conditional_share(rows, "row_id", "ship_city", "ship_state", "order_date", "promotion_ids", "amount", averaged, candidate, least_tags=least_tags, strategy=strategy)
 
 
 def city_share(spark: SparkSession, d: str) -> DataFrame:
     return _share(spark, d).result.withColumn("qualifying_percentage", F.round("qualifying_percentage", 8))
 
 
+def city_share_low(spark: SparkSession, d: str) -> DataFrame:
+    return _share(spark, d, least_tags=LOW_TAGS).result.withColumn("qualifying_percentage", F.round("qualifying_percentage", 8))
+
+
 def promotion_periods(spark: SparkSession, d: str) -> DataFrame:
     return _share(spark, d).periods
 
@@ -119,6 +143,10 @@ def flagged_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _share(spark, d).flagged.withColumn("average", F.round("average", 6))
 
 
+def flagged_candidates_low(spark: SparkSession, d: str) -> DataFrame:
+    return _share(spark, d, least_tags=LOW_TAGS).flagged.withColumn("average", F.round("average", 6))
+
+
 def plan_equivalence(spark: SparkSession, d: str) -> DataFrame:
     """Rows in which the broadcast and the sort-merge plan of city_share differ; (0, 0) is the expected result."""
     return equivalent(_share(spark, d, "broadcast").result, _share(spark, d, "merge").result)
@@ -182,12 +210,44 @@ def threshold_invalid(spark: SparkSession, d: str) -> DataFrame:
     return thresholds.invalid_rows(threshold_results(spark, d))
 
 
+def spoiled_results(spark: SparkSession, d: str) -> DataFrame:
+    """Every result row of month `2024-03` once for each way to break it, and once as it is: what invalid rows and repeated keys are found in."""
+    r = _rounded(thresholds.exact_result(observations(spark, d), GROUP)).where("month = '2024-03'")
+    none, n = F.lit(None), F.col("total_order_count")
+    ways: list[dict[str, Column]] = [
+        {}, {"sku": none}, {"month": none}, {"method": none}, {"threshold": none}, {"amount_stddev_pop": none}, {"total_order_count": F.lit(0)}, {"qualifying_amount_count": F.col("qualifying_order_count") + 1},
+        {"qualifying_order_count": n + 1, "qualifying_amount_count": n}, {"amount_stddev_pop": F.lit(-1.0)}, {"qualifying_amount_count": F.lit(1), "amount_stddev_pop": F.lit(1.0)},
+        {"method": F.lit("other")}, {"percentile": F.lit(0.5)}, {"threshold": F.lit(float("nan"))}, {"qualifying_order_count": none},
+    ]
+    rows = F.array(*[F.struct(F.lit(k).alias("way"), *[w.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in r.schema.fields]) for k, w in enumerate(ways)])
+    return r.select(F.explode(rows).alias("_r")).select("_r.*")
+
+
+def threshold_invalid_found(spark: SparkSession, d: str) -> DataFrame:
+    """(way, n): spoiled rows reported, by the way they were spoiled; way 0, rows as they are, has none."""
+    return thresholds.invalid_rows(spoiled_results(spark, d)).groupBy("way").agg(F.count(F.lit(1)).alias("n"))
+
+
+def threshold_duplicates_found(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that spoiling repeated, with their number of rows."""
+    return thresholds.duplicate_keys(spoiled_results(spark, d), [*GROUP, "method", "percentile"]).select(*GROUP, "method", "percentile", "n")
+
+
 def threshold_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return thresholds.duplicate_keys(threshold_results(spark, d), [*GROUP, "method", "percentile"])
 
 
 def group_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return profile.group_sizes(observations(spark, d), GROUP, above=20)
+    return profile.group_sizes(observations(spark, d), GROUP, above=LARGE_GROUP)
+
+
+def group_sizes_low(spark: SparkSession, d: str) -> DataFrame:
+    return profile.group_sizes(observations(spark, d), GROUP, above=LOW_GROUP)
+
+
+def largest_sku_month(spark: SparkSession, d: str) -> DataFrame:
+    """The SKU and month with most rows, over all rows with both, whether or not they have a key."""
+    return profile.largest_sku_month(_raw(spark, d))
 
 
 def largest_group(spark: SparkSession, d: str) -> DataFrame:
@@ -278,13 +338,13 @@ def nation_months(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("n_name", month).agg(F.count(F.lit(1)).alias("order_count"), F.count_distinct("o_custkey").alias("customer_count"), F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
 
 
-QUERIES = {"window_winner": winner, "window_winner_text": winner_text} | {
+QUERIES = {"window_winner": winner, "window_winner_low": winner_low, "window_winner_text": winner_text} | {
     f.__name__: f
     for f in (
-        canonical_sales, state_counts, daily_moments, window_days, median_variety_global, median_variety_local, ranked_styles, style_variety, city_share,
-        promotion_periods, state_averages, candidate_rows, promotion_counts, flagged_candidates, plan_equivalence, thresholds_approximate, thresholds_exact,
-        thresholds_array, threshold_exact_result, threshold_approximate_result, threshold_results, threshold_comparison, threshold_summary, threshold_strongest, threshold_invalid, threshold_duplicates,
-        group_sizes, largest_group, profile_integrity, profile_distinct, profile_blanks, status_frequencies, size_frequencies, state_frequencies,
+        canonical_sales, state_counts, daily_moments, window_days, window_days_low, median_variety_global, median_variety_local, ranked_styles, style_variety, city_share, city_share_low,
+        promotion_periods, state_averages, candidate_rows, promotion_counts, flagged_candidates, flagged_candidates_low, plan_equivalence, thresholds_approximate, thresholds_exact,
+        thresholds_array, threshold_exact_result, threshold_approximate_result, threshold_results, threshold_comparison, threshold_summary, threshold_strongest, threshold_invalid, threshold_invalid_found, threshold_duplicates, threshold_duplicates_found,
+        group_sizes, group_sizes_low, largest_group, largest_sku_month, profile_integrity, profile_distinct, profile_blanks, status_frequencies, size_frequencies, state_frequencies,
         promotion_rows, state_aliases, states_without_city, scope_comparison, scope_differences, text_functions, order_totals, nation_months,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sales_queries import BUSY
+from .sales_queries import BUSY, LARGE_GROUP, LEAST_TAGS, LOW_BUSY, LOW_GROUP, LOW_TAGS
 
 
 def trimmed(c: str) -> str:
@@ -77,7 +77,7 @@ averages AS (SELECT ship_state, avg(amount) AS average FROM sales WHERE is_valid
 candidates AS (SELECT row_id, ship_city, ship_state, promotion_ids, amount FROM sales WHERE is_cancelled AND ship_service_level = 'STANDARD' AND ship_city IS NOT NULL AND row_id IS NOT NULL),
 counts AS (SELECT row_id, count(*) AS valid_tags FROM (SELECT row_id, unnest(promotion_ids) AS tag FROM candidates) JOIN periods USING (tag) WHERE active_days >= 2 GROUP BY 1),
 flagged AS (SELECT c.ship_state, c.row_id, c.ship_city, c.amount, coalesce(n.valid_tags, 0) AS valid_tags, a.average,
-    coalesce(coalesce(n.valid_tags, 0) >= 1 AND c.amount < a.average, false) AS qualifies
+    coalesce(coalesce(n.valid_tags, 0) >= {LEAST_TAGS} AND c.amount < a.average, false) AS qualifies
   FROM candidates c LEFT JOIN counts n USING (row_id) LEFT JOIN averages a ON c.ship_state = a.ship_state)"""
 
 OBS = f"""{SALES},
@@ -121,7 +121,7 @@ SQL = {
     "window_days": f"{LENGTHS} SELECT ship_state, window_date, size, CAST(sum(n) AS BIGINT) AS n FROM spread GROUP BY 1, 2, 3",
     "window_winner": f"{WINNER} SELECT ship_state AS state, window_date, size, CAST(purchase_count AS BIGINT) AS purchase_count, v AS population_variance FROM best WHERE place = 1",
     "window_winner_text": f"""{WINNER} SELECT ship_state AS state, CAST(window_date AS VARCHAR) AS window_date, size, CAST(purchase_count AS BIGINT) AS purchase_count,
-      coalesce(printf('%.3f', round(v, 3)), '') AS population_variance FROM best WHERE place = 1""",
+      coalesce(printf('%.6f', v), '') AS population_variance FROM best WHERE place = 1""",
     "median_variety_global": f"{SALES}, {ELIGIBLE}, {VARIETY} {GLOBAL}",
     "median_variety_local": f"{SALES}, {VARIETY} {LOCAL}",
     "ranked_styles": f"{SALES}, {ELIGIBLE} SELECT style FROM eligible",
@@ -148,8 +148,15 @@ SQL = {
     "threshold_strongest": f"""{COMPARED} SELECT sku, month, percentile, round(abs(approx_amount_stddev_pop - exact_amount_stddev_pop), 6) AS stddev_gap FROM compared
       ORDER BY abs(approx_amount_stddev_pop - exact_amount_stddev_pop) DESC, sku, month, percentile LIMIT 1""",
     "threshold_invalid": f"{STATS} SELECT * FROM results WHERE threshold IS NULL OR qualifying_order_count < 1 OR qualifying_order_count > total_order_count OR qualifying_amount_count > qualifying_order_count OR amount_stddev_pop < 0",
+    "threshold_invalid_found": f"""{STATS}, r AS ({ROUNDED} WHERE method = 'exact_type7' AND month = '2024-03')
+      SELECT CAST(way AS INTEGER) AS way, (SELECT count(*) FROM r) AS n FROM range(1, 15) AS w(way)""",
+    "threshold_duplicates_found": f"""{STATS}, r AS ({ROUNDED} WHERE method = 'exact_type7' AND month = '2024-03'),
+      k AS (SELECT sku, month, method, percentile, 10 AS n FROM r UNION ALL SELECT NULL, month, method, percentile, 1 FROM r UNION ALL SELECT sku, NULL, method, percentile, 1 FROM r
+        UNION ALL SELECT sku, month, NULL, percentile, 1 FROM r UNION ALL SELECT sku, month, 'other', percentile, 1 FROM r UNION ALL SELECT sku, month, method, 0.5, 1 FROM r)
+      SELECT sku, month, method, percentile, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL HAVING sum(n) <> 1""",
+    "largest_sku_month": f"SELECT sku, order_month AS month, n FROM ({SALES} SELECT sku, order_month, count(*) AS n FROM sales WHERE sku IS NOT NULL AND order_month IS NOT NULL GROUP BY 1, 2) ORDER BY n DESC, sku, month LIMIT 1",
     "threshold_duplicates": f"{STATS} SELECT sku, month, method, percentile, count(*) AS n FROM results GROUP BY 1, 2, 3, 4 HAVING count(*) <> 1",
-    "group_sizes": f"{OBS}, s AS (SELECT count(*) AS n FROM obs GROUP BY sku, month) SELECT count(*) AS group_count, count(*) FILTER (n > 20) AS large_groups, max(n) AS largest FROM s",
+    "group_sizes": f"{OBS}, s AS (SELECT count(*) AS n FROM obs GROUP BY sku, month) SELECT count(*) AS group_count, count(*) FILTER (n > {LARGE_GROUP}) AS large_groups, max(n) AS largest FROM s",
     "largest_group": f"{OBS} SELECT sku, month, count(*) AS n FROM obs GROUP BY 1, 2 ORDER BY n DESC, sku, month LIMIT 1",
     "profile_integrity": f"""SELECT count(*) AS row_count, count(d) AS parsed_dates, count(*) FILTER (d IS NULL) AS invalid_dates, min(d) AS min_date, max(d) AS max_date,
       count(*) FILTER (NOT regexp_full_match({text('quantity')}, '[+-]?[0-9]+')) AS invalid_quantities,
@@ -178,3 +185,14 @@ SQL = {
     "nation_months": """SELECT n_name, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS order_count, count(DISTINCT o_custkey) AS customer_count, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""",
 }
+
+
+def _low(name: str) -> str:
+    swaps = {f"> {BUSY} THEN 5": f"> {LOW_BUSY} THEN 5", f">= {LEAST_TAGS} AND": f">= {LOW_TAGS} AND", f"n > {LARGE_GROUP})": f"n > {LOW_GROUP})"}
+    sql = SQL[name]
+    for a, b in swaps.items():
+        sql = sql.replace(a, b)
+    return sql
+
+
+SQL |= {f"{name}_low": _low(name) for name in ("window_winner", "window_days", "city_share", "flagged_candidates", "group_sizes")}
