@@ -17,7 +17,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import fixed_decimals
@@ -40,21 +40,52 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return good
 
 
+def say_counts(seen: Observation, prefix: str = "") -> None:
+    say(**{f"{prefix}{k}": v for k, v in seen.get.items()})
+
+
 def run_window_winner(spark: SparkSession, source: str, target: str) -> bool:
-    rows = load(spark, source).where("is_bought AND is_valid_state")
+    c = F.col
+    used = c("is_bought") & c("is_valid_state")
+    fields = c("order_date").isNotNull() & c("size").isNotNull()
+    rows, read = inspect.counted(
+        load(spark, source), "window_input", bought_rows=used, invalid_states=c("is_bought") & ~c("is_valid_state"), invalid_fields=used & ~fields, null_amounts=used & fields & c("amount").isNull()
+    )
+    # The states' counts are the side file by which window lengths are known; written once, read back and checked.
+    rows = rows.where(used).persist()
+    side = f"{target}.states.tsv"
+    sinks.write_single_file(rows.where(c("ship_state").isNotNull()).groupBy("ship_state").agg(F.count(F.lit(1)).alias("n")), side, "tsv", ["ship_state"])
+    busy = F.when(c("n") > window_winner.BUSY, window_winner.SHORT).otherwise(window_winner.LONG)
+    spread = rows.where(fields).join(sinks.read_counts(spark, side).withColumnRenamed("key", "ship_state"), "ship_state").agg(F.sum(busy)).first()[0]
     found = window_winner.window_winner(rows, "ship_state", "order_date", "size", "amount")
     named = found.withColumnRenamed("ship_state", "state").withColumn("population_variance", fixed_decimals("population_variance", 6))
     counted, seen = inspect.counted(named, "window_winner")
     sinks.write_single_file(counted, target, "csv", ["state", "window_date"])
-    say(output_rows=seen.get["row_count"])
+    rows.unpersist()
+    say_counts(read, "input_")
+    say(buckets_emitted=spread or 0, output_rows=seen.get["row_count"])
     return True
 
 
 def run_median_variety(spark: SparkSession, source: str, target: str, scope: str = "global") -> bool:
-    rows = load(spark, source)
-    valid = rows.where("is_valid_state").select(F.col("ship_state").alias("state"), F.col("order_month").alias("month"), "style", "sku", "size_rank")
+    if scope.lower() not in variety.SCOPES:
+        raise ValueError(f"scope is one of {variety.SCOPES}")
+    c = F.col
+    whole = c("is_valid_state") & c("ship_state").isNotNull() & c("order_month").isNotNull() & c("style").isNotNull() & c("sku").isNotNull()
+    rows, read = inspect.counted(load(spark, source), "variety_input", large_size_rows=c("size_rank") >= 6, whole_rows=whole, invalid_rows=~whole)
+    rows = rows.persist()
+    styles = variety.ranked_families(rows, "style", "size_rank", 6)
+    side = f"{target}.styles.tsv"
+    sinks.write_single_file(styles, side, "tsv", ["style"])
+    eligible = spark.read.text(side).count()
+    valid = rows.where("is_valid_state").select(c("ship_state").alias("state"), c("order_month").alias("month"), "style", "sku", "size_rank")
     found = variety.median_variety(valid, "state", "month", "style", "sku", "size_rank", scope=scope, universe=rows)
-    sinks.write_single_file(found.withColumn("median_variety", fixed_decimals("median_variety", 1)), target, "csv", ["state", "month"])
+    counted, seen = inspect.counted(found.withColumn("median_variety", fixed_decimals("median_variety", 1)), "variety", even_groups=c("eligible_style_count") % 2 == 0)
+    sinks.write_single_file(counted, target, "csv", ["state", "month"])
+    rows.unpersist()
+    say_counts(read, "input_")
+    say(eligible_styles=eligible, variety_rows=variety.family_variety(valid, "state", "month", "style", "sku", "size_rank").count())
+    say_counts(seen, "output_")
     return True
 
 
@@ -78,6 +109,7 @@ def run_compare_plans(spark: SparkSession, source: str) -> bool:
     rows = load(spark, source)
     results = {s: city_frames(rows, s).result for s in ("broadcast", "merge")}
     for name, df in results.items():
+        print(f"PLAN_{name.upper()}_BEGIN\n{inspect.plan_text(df)}\nPLAN_{name.upper()}_END")
         say(**{f"{name}_{k}": v for k, v in inspect.plan_counts(df).items()})
     left, right = inspect.equivalent(*results.values()).first()
     say(only_broadcast=left, only_merge=right)
@@ -89,7 +121,11 @@ def run_thresholds(spark: SparkSession, source: str, target: str, runs: str = "5
         raise ValueError("at least 5 runs")
     rows = load(spark, source).withColumn("month", F.col("order_month"))
     obs = thresholds.observations(rows, "source_index", GROUP, "promotion_count", "amount").persist()
-    groups = obs.select(*GROUP).distinct().count()
+    sizes = profile.group_sizes(obs, GROUP).first()
+    groups, input_rows = sizes["group_count"], obs.count()
+    partition = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    estimate = profile.partition_estimate(sinks.Files(spark, source).size(source), input_rows, sizes["largest"] or 0, partition)
+    say(input_rows=input_rows, groups_over_1000=sizes["large_groups"], largest_group_rows=sizes["largest"] or 0, largest_group_bytes=round(estimate["largest_bytes"]), fits_partition=estimate["fits"])
     results = {"approx": thresholds.approximate_result(obs, GROUP), "exact": thresholds.exact_result(obs, GROUP)}
     took = inspect.interleaved({k: (lambda d=d: thresholds.checksum(d).collect()) for k, d in results.items()}, int(runs))
     for name, t in took.items():
@@ -110,7 +146,11 @@ def run_thresholds(spark: SparkSession, source: str, target: str, runs: str = "5
 
 
 def run_profile(spark: SparkSession, source: str, target: str) -> bool:
-    sinks.write_text(target, profile.report(sales.read_raw(spark, source), sales.SALES_COLUMNS))
+    raw = sales.read_raw(spark, source).persist()
+    try:
+        sinks.write_text(target, profile.report(raw, sales.SALES_COLUMNS))
+    finally:
+        raw.unpersist()
     return True
 
 

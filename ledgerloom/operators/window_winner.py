@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNITS = 100
+#: Rows above which an entity's window is short, and both lengths in days.
+BUSY, SHORT, LONG = 10_000, 5, 10
 
 
 def value_sums(value: Column, units: int = UNITS) -> list[Column]:
@@ -61,7 +63,7 @@ def spread_days(daily: DataFrame, day: str, length: Column, into: str = "window_
     return daily.withColumn(into, F.explode(F.transform(F.sequence(F.lit(1), length), lambda k: F.date_add(F.col(day), k))))
 
 
-def window_winner(df: DataFrame, entity: str, day: str, item: str, value: str, busy_above: int = 10_000, short: int = 5, long: int = 10) -> DataFrame:
+def window_winner(df: DataFrame, entity: str, day: str, item: str, value: str, busy_above: int = BUSY, short: int = SHORT, long: int = LONG) -> DataFrame:
     """(entity, window_date, item, purchase_count, population_variance): per entity and date the item with most rows in the preceding window; ties go to
     the lesser variance (undefined last), then to the lesser name.
 

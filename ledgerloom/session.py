@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
+import shutil
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ def session(name: str = "ledgerloom", cores: str | int = "*", **conf: str) -> Sp
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -30,7 +34,8 @@ def session(name: str = "ledgerloom", cores: str | int = "*", **conf: str) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` of the session, set here only where it is unset."""
+    """The folder all executors share: `spark.checkpoint.dir` of the session. Where it is unset, a local session, whose only executor is the driver,
+    gets a folder of its own that is removed when Python ends; a cluster raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not folder:
@@ -38,7 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
+        own = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder)
@@ -51,6 +58,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **conf: object) -> Iterator[SparkSession]:
+    """The session with other settings (a double underscore stands for a point), put back afterwards whatever happens; for actions, as plans made
+    inside are only run there under these settings."""
+    names = {k.replace("__", "."): str(v) for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield spark
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate, an upper bound for filters and projections over files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

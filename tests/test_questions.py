@@ -221,3 +221,25 @@ def test_counters_stages_and_timing(spark):
     assert took.keys() == {"a", "b"} and took["a"]["mean"] >= 0
     with pytest.raises(ValueError, match="two runs"):
         inspect.interleaved({}, runs=1)
+
+
+def test_settings_are_put_back(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(RuntimeError), session.settings(spark, spark__sql__autoBroadcastJoinThreshold=-1, spark__ledgerloom__x="y"):
+        assert (spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.ledgerloom.x")) == ("-1", "y")
+        raise RuntimeError
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before and spark.conf.get("spark.ledgerloom.x", None) is None
+
+
+def test_invalid_rows_one_by_one(spark):
+    good = ("x", "04", "approx", 0.8, 1.0, 3, 2, 2, 0.5)
+    bad = [(None, *good[1:]), (good[0], None, *good[2:]), (*good[:2], None, *good[3:]), (*good[:4], None, *good[5:]), (*good[:8], None), (*good[:5], 0, 0, 0, 0.0), (*good[:6], 2, 3, 0.5), (*good[:6], 4, 2, 0.5), (*good[:8], -1.0), (*good[:7], 1, 0.5)]
+    df = spark.createDataFrame([good, *bad], "sku string, month string, method string, percentile double, threshold double, total_order_count bigint, qualifying_order_count bigint, qualifying_amount_count bigint, amount_stddev_pop double")
+    assert sorted(map(repr, map(tuple, thresholds.invalid_rows(df).collect()))) == sorted(map(repr, bad))
+
+
+def test_amounts_finer_than_cents(spark):
+    values = [1.2345, 2.0, 2.5, 1e15]
+    for k in (3, 4):
+        got = winners(spark, [("X", DAY(0), "M", v) for v in values[:k]])["X", DAY(1)]
+        assert got[2] == pytest.approx(statistics.pvariance(values[:k]), rel=1e-9)

@@ -109,6 +109,22 @@ def test_single_file(spark, tmp_path):
     assert list(tmp_path.iterdir()) == []
 
 
+def test_side_files(spark, tmp_path):
+    df = spark.createDataFrame([("GOA", 3), ("A B", 12)], "k string, n bigint")
+    sinks.write_single_file(df, f"file://{tmp_path}/counts.tsv", "tsv", ["k"])
+    assert (tmp_path / "counts.tsv").read_text() == "A B\t12\nGOA\t3\n"
+    assert sorted(map(tuple, sinks.read_counts(spark, str(tmp_path / "counts.tsv")).collect())) == [("A B", 12), ("GOA", 3)]
+    for bad in ("GOA\tx\n", "GOA\n", "GOA\t1\t2\n"):
+        (tmp_path / "bad.tsv").write_text(bad)
+        with pytest.raises(Exception, match="malformed line of counts"):
+            sinks.read_counts(spark, str(tmp_path / "bad.tsv")).collect()
+    sinks.write_sequence_file(df, "k", "n", str(tmp_path / "pairs"))
+    assert sorted(map(tuple, sinks.read_sequence_file(spark, str(tmp_path / "pairs"), "k string, n bigint").collect())) == [("A B", 12), ("GOA", 3)]
+    with pytest.raises(ValueError, match="root"):
+        sinks.Files(spark, "/").remove("/tmp")
+    assert sinks.Files(spark, str(tmp_path)).size(str(tmp_path / "counts.tsv")) == 13
+
+
 def test_folders_round_trip_and_lines(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b"', ["x", "y"]), (2, None, [])], "id int, t string, l array<string>")
     assert sinks.round_trip(spark, df, str(tmp_path)) == (2, 2, 2)
