@@ -58,12 +58,25 @@ def parse_double(c: Column | str) -> Column:
 
 
 def parse_units(c: Column | str, scale: int = 4) -> Column:
-    """A plain decimal as an exact count of 10**-scale units (bigint), so that sums can be merged and taken back."""
+    """A plain decimal as an exact count of 10**-scale units (bigint); null for a number that is no whole count of units or none that fits: nothing is
+    rounded. parse_double has those numbers."""
     t = text(c)
-    exact = F.when(t.rlike(DECIMAL), t.try_cast(f"decimal({18 + scale},{scale})"))
+    whole = rf"^[+-]?(?:[0-9]+(?:\.[0-9]{{0,{scale}}}0*)?|\.[0-9]{{1,{scale}}}0*)$"
+    exact = F.when(t.rlike(whole), t.try_cast(f"decimal({18 + scale},{scale})"))
     return (exact * F.lit(10**scale)).try_cast("bigint")
 
 
+#: Type of exact amounts: 20 digits before the point and 8 after it. Sums of up to 10**10 of the largest still fit.
+EXACT = "decimal(28,8)"
+
+
+def parse_exact(c: Column | str) -> Column:
+    """A plain decimal as an exact number that can be summed and taken back; decimals beyond the eighth are rounded, and a number of more than 20 digits
+    before the point gives null."""
+    t = text(c)
+    return F.when(t.rlike(DECIMAL), t.try_cast(EXACT))
+
+
 def parse_boolean(c: Column | str) -> Column:
     t = F.lower(text(c))
     return F.when(t == "true", True).when(t == "false", False)

@@ -1,11 +1,13 @@
 """Column-level quality profile per load, and the loads in which a column changed.
 
 All statistics come from mergeable partial aggregates. Numeric columns keep power sums (counts and sums of the first four powers of scaled
-integers, as exact decimals up to a limit and as doubles beyond it), so profiles of loads or days add up to the profile of their union without rereading rows.
+integers, exact in limbs), so profiles of loads or days add up to the profile of their union without rereading rows; shares are the power sums of 0/1
+variables. Standardised differences between loads follow from either.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,8 @@ from ..session import bounded_rows, cut
 MAX_LOADS = 100_000
 #: Slack for comparing shares of counts held as doubles.
 EPS = 1e-9
+#: What a profile has of numeric columns.
+NUMBERS = ("valid", "beyond", "min_value", "max_value", "mean", "stddev", "skewness", "shift")
 
 
 def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
@@ -28,7 +32,7 @@ def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
 
 def profile(df: DataFrame, load: str, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
     """One row per (load_id, column_name): rows, blanks, distinct values, range as text, most common written form and its violations,
-    and for `numeric` columns the valid count, range and power sums (units of 1/100).
+    and for `numeric` columns (null for others) valid numbers, their range, mean, deviation, skewness and standardised shift against the other loads.
 
     Null, empty and all-blank values are blanks; a load of blanks only has null ranges. Values are compared trimmed.
     """
@@ -53,34 +57,62 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], numeric: Sequence[
     )
     if not numeric:
         return texts
-    return texts.join(power_sums(df, load, numeric), ["load_id", "column_name"], "left")
+    sums = power_sums(df, load, numeric)
+    moved = standardised_shift(sums).join(sums.select("load_id", "column_name", F.col("lo").alias("min_value"), F.col("hi").alias("max_value")).withColumnsRenamed({"load_id": "_load", "column_name": "_column"}), F.col("load_id").eqNullSafe(F.col("_load")) & (F.col("column_name") == F.col("_column")))
+    moved = moved.select(F.col("_load"), "_column", *NUMBERS)
+    return texts.join(moved, F.col("load_id").eqNullSafe(F.col("_load")) & (F.col("column_name") == F.col("_column")), "left").drop("_load", "_column")
 
 
-#: Largest number, in units, that enters the exact sums s1..s4: fourth powers of up to 10**10 rows then fit a decimal. Larger ones have sums of their own.
-SUM_LIMIT = 10**7
+#: Numbers are split into three limbs of this base, so that every product of up to four limbs sums exactly over 10**14 rows.
+LIMB = 10**6
+#: Exponents (i, j, k) of the limbs in the sums of first to fourth powers.
+MONOMIALS = [(i, j, k) for i in range(5) for j in range(5) for k in range(5) if 1 <= i + j + k <= 4]
 
 
-def power_sums(df: DataFrame, load: str, numeric: Sequence[str], scale: int = 2, limit: int = SUM_LIMIT) -> DataFrame:
-    """(load_id, column_name, valid, n, s1..s4, b1..b4, lo_units, hi_units): sums of the first four powers of the valid numbers, in units of 10**-scale.
+def _named(e: tuple[int, int, int]) -> str:
+    return "e" + "".join(map(str, e))
 
-    The sums of two profiles add up to those of their union. s1..s4 are exact and hold the n numbers up to `limit` units; b1..b4 hold the valid - n
-    numbers beyond it as doubles, however many digits they have. lo_units and hi_units are the range of all valid numbers that fit a bigint of units.
+
+def power_sums(df: DataFrame, load: str, numeric: Sequence[str], scale: int = 4) -> DataFrame:
+    """(load_id, column_name, valid, n, e..., b1..b4, lo, hi): sums of the first four powers of the valid numbers, in units of 10**-scale.
+
+    The sums of two profiles add up to those of their union. A number is split into limbs, low to high, of base LIMB; e<ijk> is the exact sum of
+    low**i * middle**j * high**k, from which `power` has the sums of powers. They hold the n numbers that are whole counts of units below LIMB**3.
+    b1..b4 are sums of powers of the other valid - n numbers, finer or larger, as doubles. lo and hi are the range of all valid numbers.
     """
     def pair(c: str) -> Column:
-        units = parse_units(c, scale)
-        return F.struct(F.lit(c).alias("column_name"), units.alias("u"), F.coalesce(units.cast("double"), parse_double(c) * float(10**scale)).alias("x"))
+        return F.struct(F.lit(c).alias("column_name"), parse_units(c, scale).alias("u"), parse_double(c).alias("x"))
 
     pairs = F.explode(F.array(*[pair(c) for c in numeric])).alias("_p")
-    width = len(str(limit))
-    u = F.when(F.abs(F.col("u")) <= limit, F.col("u")).cast(f"decimal({width},0)")
-    powers = [u]
-    for k in range(2, 5):
-        powers.append((powers[-1] * u).cast(f"decimal({k * width},0)"))
-    sums = [F.coalesce(F.sum(p), F.lit(0)).cast("decimal(38,0)").alias(f"s{k + 1}") for k, p in enumerate(powers)]
-    beyond = F.when(F.abs(F.col("x")) > limit, F.col("x"))
-    sums += [F.coalesce(F.sum(F.pow(beyond, F.lit(k))), F.lit(0.0)).alias(f"b{k}") for k in range(1, 5)]
     rows = df.select(F.col(load).alias("load_id"), pairs).select("load_id", "_p.*")
-    return rows.groupBy("load_id", "column_name").agg(F.count("x").alias("valid"), F.count(u).alias("n"), *sums, F.min("u").alias("lo_units"), F.max("u").alias("hi_units"))
+    u = F.col("u")
+    # Remainders keep the number's sign, so that the limbs add up to it.
+    limbs = [F.expr(f"u % {LIMB}L"), F.expr(f"(u div {LIMB}L) % {LIMB}L"), F.expr(f"u div {LIMB * LIMB}L")]
+    rows = rows.withColumn("u", F.when((u > -(LIMB**3)) & (u < LIMB**3), u)).select("*", *[x.alias(f"_l{k}") for k, x in enumerate(limbs)])
+
+    def product(e: tuple[int, int, int]) -> Column:
+        factors = [F.col(f"_l{k}") for k, times in enumerate(e) for _ in range(times)]
+        some = factors[0]
+        for x in factors[1:3]:
+            some = some * x
+        value = some.cast("decimal(19,0)") if len(factors) < 4 else (some.cast("decimal(19,0)") * factors[3].cast("decimal(7,0)")).cast("decimal(26,0)")
+        # Most numbers have one limb: the others' sums then skip the row.
+        return F.when(F.abs("u") >= LIMB, value) if e[1] or e[2] else value
+
+    sums = [F.coalesce(F.sum(product(e)), F.lit(0)).cast("decimal(38,0)").alias(_named(e)) for e in MONOMIALS]
+    beyond = F.when(F.col("u").isNull(), F.col("x") * float(10**scale))
+    sums += [F.coalesce(F.sum(F.pow(beyond, F.lit(k))), F.lit(0.0)).alias(f"b{k}") for k in range(1, 5)]
+    return rows.groupBy("load_id", "column_name").agg(F.count("x").alias("valid"), F.count("u").alias("n"), *sums, F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+
+def power(k: int, exact: bool = False) -> Column:
+    """The sum of k-th powers, in units, as a double; `exact` leaves out the numbers beyond the exact sums."""
+    total = F.lit(0.0) if exact else F.col(f"b{k}")
+    for e in MONOMIALS:
+        if sum(e) == k:
+            times = math.factorial(k) // math.prod(map(math.factorial, e))
+            total = total + F.col(_named(e)).cast("double") * float(times * LIMB ** (e[1] + 2 * e[2]))
+    return total
 
 
 def numeric_ranges(df: DataFrame, load: str, numeric: Sequence[str]) -> DataFrame:
@@ -96,48 +128,44 @@ def numeric_ranges(df: DataFrame, load: str, numeric: Sequence[str]) -> DataFram
 
 def merge_power_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Power sums added up over everything but `keys`."""
-    total = lambda c: F.sum(c).cast("decimal(38,0)").alias(c)
-    added = [total(f"s{k}") for k in range(1, 5)] + [F.sum(f"b{k}").alias(f"b{k}") for k in range(1, 5)]
-    return sums.groupBy(*keys).agg(F.sum("valid").alias("valid"), F.sum("n").alias("n"), *added, F.min("lo_units").alias("lo_units"), F.max("hi_units").alias("hi_units"))
+    added = [F.sum(_named(e)).cast("decimal(38,0)").alias(_named(e)) for e in MONOMIALS] + [F.sum(f"b{k}").alias(f"b{k}") for k in range(1, 5)]
+    return sums.groupBy(*keys).agg(F.sum("valid").alias("valid"), F.sum("n").alias("n"), *added, F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def standardised_shift(sums: DataFrame, scale: int = 2, whole: bool = False) -> DataFrame:
-    """(load_id, column_name, mean, stddev, skewness, shift): shift is the difference of a load's mean from the mean of all other loads together,
-    divided by the pooled standard deviation; all of it follows from the sums. Null where there are fewer than two values or no spread.
-
-    whole takes all valid numbers; otherwise those beyond the limit of the sums take no part.
-    """
+def standardised_shift(sums: DataFrame, scale: int = 4) -> DataFrame:
+    """(load_id, column_name, valid, beyond, mean, stddev, skewness, shift) of all valid numbers: shift is the difference of a load's mean from the mean
+    of all other loads together, divided by the pooled standard deviation; all of it follows from the sums. Null where there are fewer than two
+    values or no spread. beyond: numbers of which the sums are doubles."""
     unit = float(10**scale)
-    d = lambda c: F.col(c).cast("double")
+    own = sums.select("load_id", "column_name", "valid", (F.col("valid") - F.col("n")).alias("beyond"), F.col("valid").cast("double").alias("n"), *[power(k).alias(f"s{k}") for k in (1, 2, 3)])
     # The other loads are added up from both sides, not subtracted from the total: next to one load's large powers theirs would be lost in rounding.
     sides = [Window.partitionBy("column_name").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("load_id"), F.desc("load_id"))]
-    counted = {"n": "valid" if whole else "n", "s1": "s1", "s2": "s2", "b1": "b1", "b2": "b2"}
-    x = sums.withColumns({f"{side}_{k}": F.coalesce(F.sum(c).over(w), F.lit(0)) for side, w in zip(("lower", "higher"), sides) for k, c in counted.items()})
-    others = lambda k: d(f"lower_{k}") + d(f"higher_{k}")
-    own = {"n": d(counted["n"])} | {f"s{k}": d(f"s{k}") + d(f"b{k}") if whole else d(f"s{k}") for k in range(1, 4)}
-    rest = {"n": others("n")} | {f"s{k}": others(f"s{k}") + others(f"b{k}") if whole else others(f"s{k}") for k in (1, 2)}
+    x = own.withColumns({f"{side}_{k}": F.coalesce(F.sum(k).over(w), F.lit(0.0)) for side, w in zip(("lower", "higher"), sides) for k in ("n", "s1", "s2")})
+    of = {k: F.col(k) for k in ("n", "s1", "s2", "s3")}
+    rest = {k: F.col(f"lower_{k}") + F.col(f"higher_{k}") for k in ("n", "s1", "s2")}
 
     def spread(of: dict[str, Column]) -> Column:
         return F.greatest(F.lit(0.0), F.try_divide(of["s2"], of["n"]) - F.pow(F.try_divide(of["s1"], of["n"]), 2))
 
-    mean, other = F.try_divide(own["s1"], own["n"]), F.try_divide(rest["s1"], rest["n"])
-    var = spread(own)
+    mean, other = F.try_divide(of["s1"], of["n"]), F.try_divide(rest["s1"], rest["n"])
+    var = spread(of)
     pooled = F.sqrt((var + spread(rest)) / 2)
-    third = F.try_divide(own["s3"], own["n"]) - 3 * mean * F.try_divide(own["s2"], own["n"]) + 2 * F.pow(mean, 3)
-    shift = F.when((own["n"] >= 2) & (rest["n"] >= 2) & (pooled > 0), (mean - other) / pooled)
-    skew = F.when((own["n"] >= 2) & (var > 0), third / F.pow(var, 1.5))
-    return x.select("load_id", "column_name", (mean / unit).alias("mean"), (F.sqrt(var) / unit).alias("stddev"), skew.alias("skewness"), shift.alias("shift"))
+    third = F.try_divide(of["s3"], of["n"]) - 3 * mean * F.try_divide(of["s2"], of["n"]) + 2 * F.pow(mean, 3)
+    shift = F.when((of["n"] >= 2) & (rest["n"] >= 2) & (pooled > 0), (mean - other) / pooled)
+    skew = F.when((of["n"] >= 2) & (var > 0), third / F.pow(var, 1.5))
+    return x.select("load_id", "column_name", "valid", "beyond", (mean / unit).alias("mean"), (F.sqrt(var) / unit).alias("stddev"), skew.alias("skewness"), shift.alias("shift"))
 
 
 def _against_median(shares: DataFrame, limit: float) -> DataFrame:
-    """shares: (column_name, measure, load_id, share), complete over loads. Cases differ from the measure's median by `limit` or more."""
+    """shares: (column_name, measure, load_id, share, shift), complete over loads. Cases differ from the measure's median by `limit` or more."""
     # One row per load in a group, so a group is as large as the number of loads.
     w = Window.partitionBy("column_name", "measure")
     return shares.withColumn("median_share", F.percentile("share", 0.5).over(w)).where(F.abs(F.col("share") - F.col("median_share")) >= limit - EPS)
 
 
 def changed_loads(df: DataFrame, load: str, categories: Sequence[str], identifiers: Sequence[str], sequences: Sequence[str] = (), limit: float = 0.10) -> DataFrame:
-    """(load_id, column_name, measure, share, median_share) of every share that leaves the median of its loads by `limit` or more.
+    """(load_id, column_name, measure, share, median_share, shift) of every share that leaves the median of its loads by `limit` or more; shift is its
+    standardised difference from all other loads together (infinite where neither side has any spread).
 
     Measures: `blank`; for categories `value=<v>` and `rare` (values absent from most loads); for identifiers `off_form` (not the
     column's most common written form); for sequences, a subset of identifiers, `seen_before` (stood already in a lower load).
@@ -156,7 +184,7 @@ def changed_loads(df: DataFrame, load: str, categories: Sequence[str], identifie
     listed = sorted((r["load_id"], r["load_rows"]) for r in bounded_rows(sizes, MAX_LOADS))
     if not listed:
         nothing = F.lit(None)
-        return rows.select(F.col(load).alias("load_id"), *[nothing.cast(t).alias(c) for c, t in (("column_name", "string"), ("measure", "string"), ("share", "double"), ("median_share", "double"))]).where("false")
+        return rows.select(F.col(load).alias("load_id"), *[nothing.cast(t).alias(c) for c, t in (("column_name", "string"), ("measure", "string"), ("share", "double"), ("median_share", "double"), ("shift", "double"))]).where("false")
     loads = F.from_json(F.lit("[" + ",".join(f'{{"load_id":{a},"load_rows":{b}}}' for a, b in listed) + "]"), "array<struct<load_id:bigint,load_rows:bigint>>")
     parts, counted_again = [], [c for c in sequences if c in categories]
     if categories:
@@ -187,11 +215,20 @@ def changed_loads(df: DataFrame, load: str, categories: Sequence[str], identifie
     # A column that is both category and identifier has its blanks counted by either.
     counts = counts.groupBy("column_name", "measure", "load_id").agg(F.max("n").alias("n"))
     # Every measure gets a share in every load, 0 where it has no rows.
-    each = counts.groupBy("column_name", "measure").agg(F.map_from_entries(F.collect_list(F.struct("load_id", "n"))).alias("_by_load"))
-    full = each.select("column_name", "measure", "_by_load", F.explode(loads).alias("_l"))
-    share = F.coalesce(F.try_element_at("_by_load", F.col("_l.load_id")), F.lit(0)) / F.col("_l.load_rows")
-    shares = full.select("column_name", "measure", F.col("_l.load_id").alias("load_id"), share.alias("share"))
-    return _against_median(shares, limit).select("load_id", "column_name", "measure", "share", "median_share")
+    each = counts.groupBy("column_name", "measure").agg(F.map_from_entries(F.collect_list(F.struct("load_id", "n"))).alias("_by_load"), F.sum("n").alias("_all"))
+    full = each.select("column_name", "measure", "_by_load", "_all", F.explode(loads).alias("_l")).select("column_name", "measure", "_by_load", "_all", "_l.*")
+    # The counts are the power sums of a 0/1 variable, so its standardised difference from the other loads follows from them.
+    all_rows, n = float(sum(b for _, b in listed)), F.coalesce(F.try_element_at("_by_load", F.col("load_id")), F.lit(0)).cast("double")
+    share, other = n / F.col("load_rows"), F.try_divide(F.col("_all") - n, F.lit(all_rows) - F.col("load_rows"))
+    pooled = F.sqrt((share * (1 - share) + other * (1 - other)) / 2)
+    shift = F.when(share == other, 0.0).when(pooled > 0, (share - other) / pooled).otherwise(F.when(share > other, float("inf")).when(share < other, float("-inf")))
+    shares = full.select("column_name", "measure", "load_id", share.alias("share"), shift.alias("shift"))
+    # Were every load's share within limit / 2 of that of the others together, all shares would lie within limit / 2 of the whole table's and none would
+    # leave the median by limit. A difference of limit / 2 is a standardised one of limit or more, as no share's deviation exceeds 1/2: so only
+    # measures with such a shift in some load are compared with their median.
+    by_measure = Window.partitionBy("column_name", "measure")
+    shifted = shares.withColumn("_most", F.max(F.abs("shift")).over(by_measure)).where(F.col("_most") >= limit - 4 * EPS)
+    return _against_median(shifted, limit).select("load_id", "column_name", "measure", "share", "median_share", "shift")
 
 
 def _forms(rows: DataFrame, load: str, identifiers: Sequence[str], categories: Sequence[str], values: DataFrame | None) -> DataFrame:

@@ -5,7 +5,7 @@ shard. A trailing window is the union of a few canonical nodes, so each node kno
 a few hundred rows (window, level, idx) -> end day is joined by hash and the answers are summed. Nodes without activity do not exist.
 A late correction changes the node of its day and that node's ancestors only: `apply_corrections` adds 7 delta rows per corrected day.
 
-Sums are exact integers (units of 10**-scale), so trees of different loads add up and corrections can take amounts back.
+Sums are exact decimals, so trees of different loads add up and corrections can take amounts back.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import EXACT
 from ..session import cut
 
 LEVELS = 7
 SHARD_DAYS = 1 << (LEVELS - 1)
+#: Type of sums of amounts.
+SUM = "decimal(38,8)"
 
 
 def canonical_nodes(lo: int, hi: int) -> list[tuple[int, int]]:
@@ -55,10 +58,10 @@ def query_plan(windows: Sequence[int]) -> list[tuple[int, int, int, int]]:
     return plan
 
 
-def daily(df: DataFrame, entity: Sequence[str], day: Column, units: Column) -> DataFrame:
+def daily(df: DataFrame, entity: Sequence[str], day: Column, amount: Column) -> DataFrame:
     """(entity..., day int, s, n): rows of one entity and day summed before any further step, which also takes apart hot entities."""
-    rows = df.select(*entity, F.unix_date(day).alias("day"), units.alias("u")).where(F.col("day").isNotNull())
-    return rows.groupBy(*entity, "day").agg(F.coalesce(F.sum("u"), F.lit(0)).alias("s"), F.count("u").alias("n"))
+    rows = df.select(*entity, F.unix_date(day).alias("day"), amount.cast(EXACT).alias("u")).where(F.col("day").isNotNull())
+    return rows.groupBy(*entity, "day").agg(F.coalesce(F.sum("u"), F.lit(0)).cast(SUM).alias("s"), F.count("u").alias("n"))
 
 
 def tree_nodes(days: DataFrame, entity: Sequence[str]) -> DataFrame:
@@ -68,13 +71,13 @@ def tree_nodes(days: DataFrame, entity: Sequence[str]) -> DataFrame:
     at = days.select(*entity, shard.alias("shard"), (day - shard * SHARD_DAYS).alias("_i"), "s", "n")
     up = at.select(*entity, "shard", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"), "_i", "s", "n")
     node = up.select(*entity, "shard", "level", F.expr("shiftright(_i, level)").alias("idx"), "s", "n")
-    return node.groupBy(*entity, "shard", "level", "idx").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return node.groupBy(*entity, "shard", "level", "idx").agg(F.sum("s").cast(SUM).alias("s"), F.sum("n").alias("n"))
 
 
 def apply_corrections(nodes: DataFrame, corrections: DataFrame, entity: Sequence[str]) -> DataFrame:
     """Add the corrections' (entity..., day, s, n) deltas to a stored tree: only the ancestors of corrected days get a delta row."""
     both = nodes.unionByName(tree_nodes(corrections, entity))
-    return both.groupBy(*entity, "shard", "level", "idx").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return both.groupBy(*entity, "shard", "level", "idx").agg(F.sum("s").cast(SUM).alias("s"), F.sum("n").alias("n"))
 
 
 def window_totals(nodes: DataFrame, entity: Sequence[str], first: int, last: int, windows: Sequence[int]) -> DataFrame:
@@ -87,33 +90,33 @@ def window_totals(nodes: DataFrame, entity: Sequence[str], first: int, last: int
     parts = nodes.join(table, ["level", "idx"]).select(*entity, (F.col("shard") * SHARD_DAYS + F.col("ahead")).alias("day"), "w", "s", "n")
     parts = parts.where(F.col("day").between(first, last))
     grid = nodes.where(F.col("level") == LEVELS - 1).select(*entity).distinct()
-    grid = grid.select(*entity, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"), F.lit(0).alias("w"), F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("n"))
-    pick = lambda c, w: F.sum(F.when(F.col("w") == w, F.col(c)).otherwise(F.lit(0).cast("bigint")))
+    grid = grid.select(*entity, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"), F.lit(0).alias("w"), F.lit(0).cast(SUM).alias("s"), F.lit(0).cast("bigint").alias("n"))
+    pick = lambda c, w: F.sum(F.when(F.col("w") == w, F.col(c)).otherwise(F.lit(0).cast({"s": SUM, "n": "bigint"}[c])))
     return parts.unionByName(grid).groupBy(*entity, "day").agg(*[x for w in windows for x in (pick("s", w).alias(f"s_{w}"), pick("n", w).alias(f"n_{w}"))])
 
 
-def rolling_totals(df: DataFrame, entity: Sequence[str], day: Column, units: Column, windows: Sequence[int] = (7, 30), scale: int = 4) -> DataFrame:
+def rolling_totals(df: DataFrame, entity: Sequence[str], day: Column, amount: Column, windows: Sequence[int] = (7, 30), shown: Column | None = None) -> DataFrame:
     """(entity..., day date, total_<w> double, n_<w> bigint, average_<w> double) per entity and day between the first and last day of `df`.
 
     Every entity with a dated row gets every day, days without activity included: total 0.0, count 0, average null. Rows without a day are left
-    out; null units count for the entity's presence but not for totals, counts and averages. Null entity parts form their own entity.
-    Repeated rows count each time. An empty table gives an empty table.
+    out; null amounts count for the entity's presence but not for totals, counts and averages. Null entity parts form their own entity.
+    Repeated rows count each time. An empty table gives an empty table. `shown` is a condition on the entity: the days are those of the whole table
+    all the same.
     """
-    return answers(cut(tree_nodes(daily(df, entity, day, units), entity)), entity, windows, scale)
+    return answers(cut(tree_nodes(daily(df, entity, day, amount), entity)), entity, windows, shown)
 
 
-def answers(nodes: DataFrame, entity: Sequence[str], windows: Sequence[int] = (7, 30), scale: int = 4) -> DataFrame:
-    """The totals of a stored tree for all of its entities and every day between its first and last."""
+def answers(nodes: DataFrame, entity: Sequence[str], windows: Sequence[int] = (7, 30), shown: Column | None = None) -> DataFrame:
+    """The totals of a stored tree for its entities, or those `shown`, and every day between the tree's first and last."""
     day = F.col("shard") * SHARD_DAYS + F.col("idx")
     bounds = nodes.where(F.col("level") == 0).agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
     lo, hi = (bounds["lo"], bounds["hi"]) if bounds["lo"] is not None else (0, 0)
-    return present(window_totals(nodes, entity, lo, hi, windows), entity, windows, scale)
+    return present(window_totals(nodes if shown is None else nodes.where(shown), entity, lo, hi, windows), entity, windows)
 
 
-def present(totals: DataFrame, entity: Sequence[str], windows: Sequence[int], scale: int) -> DataFrame:
-    unit = float(10**scale)
+def present(totals: DataFrame, entity: Sequence[str], windows: Sequence[int]) -> DataFrame:
     out = []
     for w in windows:
-        s, n = F.col(f"s_{w}"), F.col(f"n_{w}")
-        out += [(s / unit).alias(f"total_{w}"), n.alias(f"n_{w}"), F.when(n > 0, s / unit / n).alias(f"average_{w}")]
+        s, n = F.col(f"s_{w}").cast("double"), F.col(f"n_{w}")
+        out += [s.alias(f"total_{w}"), n.alias(f"n_{w}"), F.when(n > 0, s / n).alias(f"average_{w}")]
     return totals.select(*entity, F.date_from_unix_date("day").alias("day"), *out)

@@ -12,28 +12,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.rolling import daily, tree_nodes
+from ..operators.rolling import SUM, daily, tree_nodes
 
 
-def tree_sink(store: str, entity: Sequence[str], day: Callable[[], Column], units: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
+def tree_sink(store: str, entity: Sequence[str], day: Callable[[], Column], amount: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function."""
 
     def write(batch: DataFrame, number: int) -> None:
-        nodes = tree_nodes(daily(batch, entity, day(), units()), entity)
+        nodes = tree_nodes(daily(batch, entity, day(), amount()), entity)
         nodes.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return write
 
 
-def start(stream: DataFrame, store: str, checkpoint: str, entity: Sequence[str], day: Callable[[], Column], units: Callable[[], Column]) -> StreamingQuery:
+def start(stream: DataFrame, store: str, checkpoint: str, entity: Sequence[str], day: Callable[[], Column], amount: Callable[[], Column]) -> StreamingQuery:
     """Run `stream` into the store until its present input is used up."""
-    return stream.writeStream.foreachBatch(tree_sink(store, entity, day, units)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(tree_sink(store, entity, day, amount)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_nodes(spark: SparkSession, store: str, entity: Sequence[str]) -> DataFrame:
     """The trees' present nodes."""
     nodes = spark.read.parquet(store)
-    return nodes.groupBy(*entity, "shard", "level", "idx").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return nodes.groupBy(*entity, "shard", "level", "idx").agg(F.sum("s").cast(SUM).alias("s"), F.sum("n").alias("n"))
 
 
 def compact(spark: SparkSession, store: str, target: str, entity: Sequence[str]) -> None:

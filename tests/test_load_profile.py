@@ -75,19 +75,21 @@ def test_profile(spark):
 
 
 def test_power_sums_merge_and_shift(spark):
-    amounts = {1: [1.0, 2.5, -3.25], 2: [100.0, 101.0, 99.5, None, 1e12], 3: [2.0]}
-    df = spark.createDataFrame([rows(k, "x", "x", "x", None if v is None else f"{v:.2f}") for k, vs in amounts.items() for v in vs], SCHEMA)
+    amounts = {1: [1.0, 2.5, -3.25], 2: [100.0, 101.0, 99.5, None], 3: [2.0], 4: [-98765432109.87, 1e13, 12345678.9012, 1e14, 0.00001]}
+    df = spark.createDataFrame([rows(k, "x", "x", "x", None if v is None else f"{v:.5f}") for k, vs in amounts.items() for v in vs], SCHEMA)
     sums = P.power_sums(df, "load_id", ["amount"])
     got = {r["load_id"]: r for r in sums.collect()}
     for k, vs in amounts.items():
-        units = [round(v * 100) for v in vs if v is not None and v < 1e6]
+        units = [round(v * 10**4) for v in vs if v is not None and v < 1e14 and v != 0.00001]
         assert got[k]["n"] == len(units) and got[k]["valid"] == sum(v is not None for v in vs)
-        assert [int(got[k][f"s{p}"]) for p in range(1, 5)] == [sum(u**p for u in units) for p in range(1, 5)]
-    assert got[2]["hi_units"] == 10**14
+        exact = lambda r, p: sum(int(r["e%d%d%d" % e]) * math.factorial(p) // math.prod(map(math.factorial, e)) * P.LIMB ** (e[1] + 2 * e[2]) for e in P.MONOMIALS if sum(e) == p)
+        assert [exact(got[k], p) for p in range(1, 5)] == [sum(u**p for u in units) for p in range(1, 5)]
+    assert (got[4]["lo"], got[4]["hi"]) == (-98765432109.87, 1e14)
+    assert math.isclose(got[4]["b2"], 1e36 + 0.01, rel_tol=1e-12)
     merged = P.merge_power_sums(sums, ["column_name"]).first()
     whole = P.merge_power_sums(P.power_sums(df.withColumn("load_id", F.lit(1)), "load_id", ["amount"]), ["column_name"]).first()
     assert tuple(merged) == tuple(whole)
-    shift = {r["load_id"]: r for r in P.standardised_shift(sums).collect()}
+    shift = {r["load_id"]: r for r in P.standardised_shift(sums.where("load_id < 4")).collect()}
     rest = [1.0, 2.5, -3.25, 2.0]
     own = [100.0, 101.0, 99.5]
     pooled = ((statistics.pvariance(own) + statistics.pvariance(rest)) / 2) ** 0.5
@@ -106,7 +108,7 @@ def test_whole_shift_keeps_large_values(spark):
         df = spark.createDataFrame([rows(k, "x", "x", "x", f"{v:.2f}") for k in loads for v in amounts[k]], SCHEMA)
         sums = P.power_sums(df, "load_id", ["amount"])
         assert {r["load_id"]: r["valid"] for r in sums.collect()} == {k: len(amounts[k]) for k in loads}
-        got = {r["load_id"]: r for r in P.standardised_shift(sums, whole=True).collect()}
+        got = {r["load_id"]: r for r in P.standardised_shift(sums).collect()}
         for k in loads:
             own, rest = amounts[k], [v for j in loads if j != k for v in amounts[j]]
             pooled = ((statistics.pvariance(own) + statistics.pvariance(rest)) / 2) ** 0.5
@@ -155,6 +157,25 @@ def test_registered_ranges_are_numeric(spark, tmp_path):
     }
 
 
+def test_shift_of_shares(spark):
+    df = spark.createDataFrame([rows(k, "ok" if i < (10 if k == 3 else 4) else None, "x", "x") for k in range(1, 5) for i in range(10)], SCHEMA)
+    got = {(r["load_id"], r["measure"]): r for r in P.changed_loads(df, "load_id", ["status"], []).collect()}
+    pooled = math.sqrt((0 + 0.4 * 0.6) / 2)
+    assert math.isclose(got[3, "value=ok"]["shift"], 0.6 / pooled) and math.isclose(got[3, "blank"]["shift"], -0.6 / pooled)
+    df = spark.createDataFrame([rows(k, "ok" if k == 2 else None, "x", "x") for k in range(1, 5) for i in range(3)], SCHEMA)
+    assert {(r["load_id"], r["measure"], r["shift"]) for r in P.changed_loads(df, "load_id", ["status"], []).collect()} == {(2, "value=ok", math.inf), (2, "blank", -math.inf), (2, "rare", math.inf)}
+
+
+def test_screen_by_shift_loses_no_case(spark):
+    import random
+
+    rng = random.Random(5)
+    out = [rows(load, rng.choice(["a", "b"]) if rng.random() < 0.5 + rng.uniform(-0.12, 0.12) else None, "x", "x") for load in range(12) for _ in range(rng.randint(5, 60))]
+    share = {m: [sum(1 for r in out if r[0] == k and (r[1] if m is None else r[1] or "") == m) / sum(1 for r in out if r[0] == k) for k in range(12)] for m in ("a", "b", None)}
+    want = {(k, "blank" if m is None else f"value={m}") for m, s in share.items() for k, x in enumerate(s) if abs(x - statistics.median(s)) >= 0.1 - 1e-9}
+    assert {(r["load_id"], r["measure"]) for r in P.changed_loads(spark.createDataFrame(out, SCHEMA), "load_id", ["status"], []).collect()} == want
+
+
 def test_pattern_violations(spark):
     df = spark.createDataFrame([rows(1, "x", "A1", "1"), rows(1, "x", "b", "1"), rows(1, "x", " ", "1"), rows(1, "x", None, "1")], SCHEMA)
     r = P.pattern_violations(df, "load_id", {"oid": "^[A-Z][0-9]+$"}).first()

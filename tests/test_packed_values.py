@@ -56,6 +56,27 @@ def test_malformed_quotes_backtrack_and_are_flagged(spark, listed, field, values
     assert [r["error"] for r in rows] == ["unclosed_quote", None]
 
 
+@pytest.mark.parametrize(
+    ("field", "values", "errors"),
+    [
+        ("A,[B,C],D", ["A", "B", "C", "D"], []),
+        ("[A,B],[C]", ["A", "B", "C"], []),
+        ("[['x','y'],z]", ["x", "y", "z"], []),
+        ("[A]; [B]", ["A", "B"], []),
+        ("[A,B", ["A", "B"], ["unclosed_bracket"] * 2),
+        ("A],B", ["A", "B"], ["unopened_bracket"] * 2),
+        ('"a" "b"', ['"a" "b"'], ["text_after_quote"]),
+        ('"a"b,c', ['"a"b', "c"], ["text_after_quote", None]),
+        ("A[1], a[b", ["A[1]", "a[b"], []),  # brackets inside a bare value are part of it
+        ("[]", [], []),
+    ],
+)
+def test_brackets_and_errors(spark, field, values, errors):
+    got = spark.createDataFrame([(field,)], "f string").select(parse_packed(F.col("f")).alias("p")).first()["p"]
+    assert [v["value"] for v in got] == values
+    assert [v["error"] for v in got] == (errors or [None] * len(values))
+
+
 def test_without_list_and_empty(spark):
     df = spark.createDataFrame([(1, 'x;"y;z"')], "row_id int, f string")
     assert [(r["pos"], r["value"], r["is_listed"]) for r in unpack(df, "f", ["row_id"]).orderBy("pos").collect()] == [(1, "x", None), (2, "y;z", None)]

@@ -27,7 +27,7 @@ def brute(rows, windows=(7, 30)):
 
 def run(spark, rows, windows=(7, 30)):
     df = spark.createDataFrame([(*r, "x", 5) for r in rows], "e string, d date, u bigint, s string, day int")
-    got = R.rolling_totals(df, ["e"], F.col("d"), F.col("u"), windows, scale=0)
+    got = R.rolling_totals(df, ["e"], F.col("d"), F.col("u"), windows)
     return {(r["e"], r["day"]): tuple(x for w in windows for x in (r[f"total_{w}"], r[f"n_{w}"])) for r in got.collect()}, got
 
 
@@ -80,3 +80,11 @@ def test_hot_entity_is_summed_before_shuffle(spark):
     df = spark.range(1000).select(F.lit("hot").alias("e"), F.lit(D0).alias("d"), F.lit(1).cast("bigint").alias("u"))
     plan = R.daily(df, ["e"], F.col("d"), F.col("u"))._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan
+
+
+def test_days_are_those_of_the_whole_table(spark):
+    day = lambda k: datetime.date(2024, 1, 1) + datetime.timedelta(k)
+    df = spark.createDataFrame([("A", day(3), 2), (None, day(0), 5), (None, day(9), 5)], "e string, d date, u bigint")
+    got = R.rolling_totals(df, ["e"], F.col("d"), F.col("u"), (7,), F.col("e").isNotNull()).orderBy("day").collect()
+    assert [r["day"] for r in got] == [day(k) for k in range(10)] and {r["e"] for r in got} == {"A"}
+    assert [r["total_7"] for r in got] == [0.0] * 3 + [2.0] * 7

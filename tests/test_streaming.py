@@ -17,12 +17,12 @@ def test_stream_keeps_trees_up_to_date(spark, tmp_path):
         stream = spark.readStream.schema(SCHEMA).parquet(source)
         tree_store.start(stream, store, str(tmp_path / "checkpoint"), ["state"], lambda: F.col("d"), lambda: F.col("u")).awaitTermination()
         seen = [r for b in batches[: k + 1] for r in b]
-        want = rolling.rolling_totals(spark.createDataFrame(seen, SCHEMA), ["state"], F.col("d"), F.col("u"), scale=0)
-        got = rolling.answers(tree_store.read_nodes(spark, store, ["state"]), ["state"], scale=0)
+        want = rolling.rolling_totals(spark.createDataFrame(seen, SCHEMA), ["state"], F.col("d"), F.col("u"))
+        got = rolling.answers(tree_store.read_nodes(spark, store, ["state"]), ["state"])
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     # A replayed batch changes nothing.
     tree_store.tree_sink(store, ["state"], lambda: F.col("d"), lambda: F.col("u"))(spark.createDataFrame(batches[2], SCHEMA), 2)
-    assert sorted(map(tuple, rolling.answers(tree_store.read_nodes(spark, store, ["state"]), ["state"], scale=0).collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, rolling.answers(tree_store.read_nodes(spark, store, ["state"]), ["state"]).collect())) == sorted(map(tuple, want.collect()))
     tree_store.compact(spark, store, str(tmp_path / "new"), ["state"])
     assert sorted(map(tuple, tree_store.read_nodes(spark, str(tmp_path / "new"), ["state"]).collect())) == sorted(map(tuple, tree_store.read_nodes(spark, store, ["state"]).collect()))
 

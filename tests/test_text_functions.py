@@ -37,11 +37,17 @@ def test_parsers(spark):
         assert tuple(row[1:]) == CASES[row[0]][1:], CASES[row[0]][0]
 
 
-@pytest.mark.parametrize(("value", "units"), [("289.00", 2890000), ("5.", 50000), (".5", 5000), ("-1.25", -12500), ("1e3", None), ("", None), ("9" * 30, None)])
+@pytest.mark.parametrize(("value", "units"), [("289.00", 2890000), ("5.", 50000), (".5", 5000), ("-1.25", -12500), ("1e3", None), ("", None), ("9" * 30, None), ("1.23450", 12345), ("1.23456", None), (".00001", None)])
 def test_units(spark, value, units):
     assert spark.createDataFrame([(value,)], "v string").select(X.parse_units("v")).first()[0] == units
 
 
+@pytest.mark.parametrize(("value", "amount"), [("289.00", "289.00000000"), ("1000000000000000", "1000000000000000.00000000"), ("1.23456", "1.23456000"), ("1e3", None), ("9" * 21, None)])
+def test_exact(spark, value, amount):
+    got = spark.createDataFrame([(value,)], "v string").select(X.parse_exact("v").cast("string")).first()[0]
+    assert got == amount
+
+
 def test_postal_form_items_lookup(spark):
     df = spark.createDataFrame([("411038.0", "R19-0283-5 ab", "P1, P2,,P1 "), ("411038", "é9É", None), (None, None, "")], "p string, f string, l string")
     rows = df.select(X.postal_code("p"), X.written_form("f"), X.list_items("l")).collect()

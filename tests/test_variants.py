@@ -6,7 +6,7 @@ from ledgerloom.plans import registry
 
 QUERIES = registry.queries()
 #: Aggregates over the whole table have one row, or one a column or metric, even without rows.
-SOME = {"plan_equivalence": 1, "group_sizes": 1, "profile_integrity": 1, "profile_distinct": 3, "profile_blanks": 24}
+SOME = {"plan_equivalence": 1, "group_sizes": 1, "group_sizes_low": 1, "profile_integrity": 1, "profile_distinct": 3, "profile_blanks": 24}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
