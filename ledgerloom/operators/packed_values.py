@@ -136,7 +136,9 @@ def unpack(df: DataFrame, field: str, keys: list[str], listed: DataFrame | None
     base = df.where(~F.coalesce(trimmed(field) == "", F.lit(True)))
     # Items are decoded after they are exploded, in generated code, rather than inside an interpreted array function.
     parsed = base.select(*keys, F.col(field).alias("_field"), field_tokens(F.col(field), known, delimiters).alias("_tokens"))
-    items = parsed.select(*keys, bracket_error(F.col("_field"), F.col("_tokens")).alias("_off"), F.posexplode(item_tokens(F.col("_field"), F.col("_tokens"))).alias("_i", "_token"))
+    # Once a field, before its items are exploded: afterwards either would be worked out or copied once an item.
+    fields = parsed.select(*keys, bracket_error(F.col("_field"), F.col("_tokens")).alias("_off"), item_tokens(F.col("_field"), F.col("_tokens")).alias("_items"))
+    items = fields.select(*keys, "_off", F.posexplode("_items").alias("_i", "_token"))
     value, error = item_value(F.col("_token"))
     error = F.coalesce(error, F.col("_off"))
     rows = items.select(*keys, (F.col("_i") + 1).alias("pos"), value.alias("value"), error.alias("error"))
