@@ -95,18 +95,53 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 DIMENSIONS = ("order_day", "ship_state", "category")
+IDENTIFIERS = ("sku", "style", "order_id")
 COMBINATIONS = (("order_day",), ("ship_state",), ("category",), ("order_day", "ship_state"), ("order_day", "category"), ("ship_state", "category"), DIMENSIONS)
 
 
+def _identified(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "amazon_sales").select(
+        "load_id", parse_date("order_date").alias("order_day"), upper_text("ship_state").alias("ship_state"), upper_text("category").alias("category"), *[text(c).alias(c) for c in IDENTIFIERS]
+    )
+
+
+def _sketched(spark: SparkSession, d: str, parts: list[str]) -> DataFrame:
+    return distinct.partial_sketches(_identified(spark, d), parts, DIMENSIONS, {c: F.col(c) for c in IDENTIFIERS}, COMBINATIONS)
+
+
 def p6_load_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """Partial sketches per load, as they would be stored."""
-    sales = table(spark, d, "amazon_sales").select("load_id", parse_date("order_date").alias("order_day"), upper_text("ship_state").alias("ship_state"), upper_text("category").alias("category"), "sku", "style", "order_id")
-    return distinct.partial_sketches(sales, ["load_id"], DIMENSIONS, {c: text(c) for c in ("sku", "style", "order_id")}, COMBINATIONS)
+    """Partial sketches per load, as they would be stored: those of any loads add up."""
+    return _sketched(spark, d, ["load_id"])
 
 
 def p6_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct sku, style and order_id per order day, state, category and their combinations, from the loads' sketches."""
-    return distinct.counts(distinct.merge_sketches(p6_load_sketches(spark, d), DIMENSIONS), DIMENSIONS)
+    """Distinct sku, style and order_id per order day, state, category and their combinations, from partial sketches of the table's partitions."""
+    return distinct.counts(cut(_sketched(spark, d, [])), DIMENSIONS)
+
+
+def p6_by_load(spark: SparkSession, d: str) -> DataFrame:
+    """The same per load and identifier alone, all loads' sketches added up for the counts of the table (load_id null): additive load by load."""
+    stored = cut(distinct.partial_sketches(_identified(spark, d), ["load_id"], [], {c: F.col(c) for c in IDENTIFIERS}, [()]))
+    per, whole = distinct.counts(stored, ["load_id"]), distinct.counts(stored, [])
+    return per.unionByName(whole.withColumn("load_id", F.lit(None).cast("bigint"))).drop("grouping")
+
+
+def p6_held(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates against exact counts, per grouping and identifier: groups and their exact counts added up, whether every listed count is exact, and whether the
+    bounds hold about as many as they claim (at least the confidence less three standard errors of that share, for groups of one identifier too)."""
+    rows = _identified(spark, d)
+    level = F.array(*[F.struct(F.lit(",".join(s)).alias("grouping"), *[(F.col(c) if c in s else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in DIMENSIONS]) for s in COMBINATIONS])
+    pair = F.array(*[F.struct(F.lit(c).alias("identifier"), F.col(c).alias("v")) for c in IDENTIFIERS])
+    pairs = rows.select(*DIMENSIONS, F.explode(pair).alias("_v")).select(*DIMENSIONS, "_v.*").where("v IS NOT NULL").distinct()
+    exact = pairs.select("identifier", "v", F.explode(level).alias("_g")).select("identifier", "v", "_g.*").distinct().groupBy("grouping", *DIMENSIONS, "identifier").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["grouping", *DIMENSIONS, "identifier"]
+    both = p6_distinct(spark, d).withColumnsRenamed({k: f"_{k}" for k in keys}).join(exact, [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys], "full_outer")
+    held = F.avg(F.coalesce(F.col("n").between(F.col("low"), F.col("high")), F.lit(False)).cast("double"))
+    groups = F.count(F.lit(1))
+    least = distinct.CONFIDENCE - 3 * F.sqrt(F.lit(distinct.CONFIDENCE * (1 - distinct.CONFIDENCE)) / groups)
+    return both.groupBy("grouping", "identifier").agg(
+        groups.alias("n_groups"), F.sum("n").alias("exact_total"), F.bool_and(F.col("listed_count").isNull() | (F.col("listed_count") == F.col("n"))).alias("listed_is_exact"), (held >= least).alias("bounds_hold")
+    )
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
@@ -154,10 +189,23 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "segment", "_s.lang", F.round("_s.confidence", 4).alias("confidence"), "_s.start", "_s.length", "_s.ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bounded, p4_found, p4_mapped, p4_unmatched, p6_distinct, p6_load_sketches, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_segments)}
+def _text(c: str) -> str:
+    return rf"nullif(regexp_replace({c}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '')"
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bounded, p4_found, p4_mapped, p4_unmatched, p6_distinct, p6_load_sketches, p6_by_load, p6_held, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_segments)}
 
+_DIMENSIONS = {
+    "order_day": f"CASE WHEN regexp_full_match({_text('order_date')}, '[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(try_strptime({_text('order_date')}, '%m-%d-%y') AS DATE) END",
+    "ship_state": f"upper({_text('ship_state')})", "category": f"upper({_text('category')})",
+}
 _QUANTILES = ", ".join(f"quantile_disc(threshold, {p}) AS p{round(p * 100)}" for p in TARGETS)
 SQL: dict[str, str] = {
     "p2_percentiles": f"""SELECT CASE WHEN GROUPING(month) = 1 THEN 'sku' WHEN GROUPING(sku) = 1 THEN 'month' ELSE 'sku,month' END AS grouping, sku, month, count(threshold) AS n_values,
       {_QUANTILES}, CAST(0.0 AS DOUBLE) AS error_bound FROM task_2_2 WHERE threshold IS NOT NULL GROUP BY GROUPING SETS ((sku, month), (month), (sku))""",
+    "p6_held": " UNION ALL ".join(
+        f"SELECT '{','.join(s)}' AS grouping, '{c}' AS identifier, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS exact_total, true AS listed_is_exact, true AS bounds_hold "
+        f"FROM (SELECT count(DISTINCT {_text(c)}) AS n FROM amazon_sales WHERE {_text(c)} IS NOT NULL GROUP BY {', '.join(_DIMENSIONS[x] for x in s)})"
+        for s in COMBINATIONS for c in IDENTIFIERS
+    ),
 }
