@@ -220,19 +220,19 @@ def _codes(columns: Sequence[pa.Array]) -> tuple[np.ndarray, list[tuple[np.ndarr
     return code.astype(np.int64), parts
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     held, rows = [], 0
     for b in batches:
         held.append(b)
         rows += b.num_rows
-        if rows >= CHUNK:
+        if rows >= most:
             yield pa.Table.from_batches(held)
             held, rows = [], 0
     if rows:
         yield pa.Table.from_batches(held)
 
 
-def partial_sketches(df: DataFrame, parts: Sequence[str], dimensions: Sequence[str], identifiers: dict[str, Column], sets: Sequence[Sequence[str]]) -> DataFrame:
+def partial_sketches(df: DataFrame, parts: Sequence[str], dimensions: Sequence[str], identifiers: dict[str, Column], sets: Sequence[Sequence[str]], rows_at_once: int = CHUNK, bytes_held: int = HELD) -> DataFrame:
     """(parts..., dimensions..., grouping, identifier, hashes, registers): sketches of every grouping set per part and partition.
 
     Dimensions outside a set are null, as are null dimensions; `grouping` tells them apart. Null identifiers are not counted, the empty text is one. Repeated
@@ -266,12 +266,12 @@ def partial_sketches(df: DataFrame, parts: Sequence[str], dimensions: Sequence[s
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         chunks = 0
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches, rows_at_once):
             held += chunk_sketches(chunk)
             chunks += 1
-            if chunks > 1 and sum(t.nbytes for t in held) > HELD:
+            if chunks > 1 and sum(t.nbytes for t in held) > bytes_held:
                 held = [_fold(pa.concat_tables(held).sort_by([(k, "ascending") for k in whole]), whole)]
-                if held[0].nbytes > HELD // 2:
+                if held[0].nbytes > bytes_held // 2:
                     yield from held[0].combine_chunks().to_batches(max_chunksize=10_000)
                     held, chunks = [], 0
         if chunks > 1:

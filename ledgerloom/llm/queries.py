@@ -20,21 +20,38 @@ def _wide(found: DataFrame, groups: list[str], value: str, name: str = "p") -> D
     return found.groupBy(*groups, "n_values").agg(*[pick(p) for p in TARGETS])
 
 
+LEVELLED = [percentiles.LEVEL, "sku", "month"]
+
+
+def _partials(spark: SparkSession, d: str, part: str) -> DataFrame:
+    """Partials per `part`, stored, once for each grouping set."""
+    return percentiles.spread(cut(percentiles.partials(table(spark, d, "task_2_2"), "threshold", ["sku", "month"], [part])), SETS)
+
+
+def _exact_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = percentiles.spread(percentiles.keyed(table(spark, d, "task_2_2"), "threshold", ["sku", "month"]), SETS)
+    return percentiles.select_ranks(_partials(spark, d, "shard"), rows, LEVELLED, TARGETS)
+
+
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of threshold per (sku, month), month and sku from partials per shard; the error bound is 0."""
-    parts = percentiles.partials(table(spark, d, "task_2_2"), "threshold", ["sku", "month"], ["shard"])
-    merged = cut(percentiles.grouping_sets(percentiles.merge(parts, ["sku", "month"]), SETS))
-    groups = [percentiles.LEVEL, "sku", "month"]
-    wide = _wide(percentiles.select_ranks(merged, groups, TARGETS), groups, "value")
+    wide = _wide(_exact_values(spark, d), LEVELLED, "value")
     return wide.select(F.col(percentiles.LEVEL).alias("grouping"), "sku", "month", "n_values", *[f"p{round(p * 100)}" for p in TARGETS], F.lit(0.0).alias("error_bound"))
 
 
 def p2_bounded(spark: SparkSession, d: str) -> DataFrame:
-    """Bounded estimates from 24-bit partials per run_date alone."""
-    parts = percentiles.partials(table(spark, d, "task_2_2"), "threshold", ["sku", "month"], ["run_date"], percentiles.PARTIAL_BITS)
-    merged = percentiles.grouping_sets(percentiles.merge(parts, ["sku", "month"]), SETS)
-    found = percentiles.bounded(merged, [percentiles.LEVEL, "sku", "month"], TARGETS)
-    return found.withColumnRenamed(percentiles.LEVEL, "grouping")
+    """Bounded estimates from partials per run_date alone."""
+    return percentiles.bounded(_partials(spark, d, "run_date"), LEVELLED, TARGETS).withColumnRenamed(percentiles.LEVEL, "grouping")
+
+
+def p2_bounds_held(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds from partials per run_date against the exact values: whether each holds its value and is as narrow as stated."""
+    exact = _exact_values(spark, d).withColumnsRenamed({percentiles.LEVEL: "_grouping", "sku": "_sku", "month": "_month", "p": "_p", "n_values": "_n"})
+    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in ("grouping", "sku", "month", "p")]
+    both = p2_bounded(spark, d).join(exact, same, "full_outer")
+    held = (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")) & (F.abs(F.col("value") - F.col("estimate")) <= F.col("error_bound")) & (F.col("_n") == F.col("n_values"))
+    narrow = F.col("error_bound") <= F.abs("value") * 2.0**-12
+    return both.select("grouping", "sku", "month", "p", "n_values", "value", F.coalesce(held, F.lit(False)).alias("is_held"), F.coalesce(narrow, F.lit(False)).alias("is_narrow"))
 
 
 def _matcher(spark: SparkSession, d: str):
@@ -193,7 +210,7 @@ def _text(c: str) -> str:
     return rf"nullif(regexp_replace({c}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '')"
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bounded, p4_found, p4_mapped, p4_unmatched, p6_distinct, p6_load_sketches, p6_by_load, p6_held, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bounded, p2_bounds_held, p4_found, p4_mapped, p4_unmatched, p6_distinct, p6_load_sketches, p6_by_load, p6_held, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_segments)}
 
 _DIMENSIONS = {
     "order_day": f"CASE WHEN regexp_full_match({_text('order_date')}, '[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(try_strptime({_text('order_date')}, '%m-%d-%y') AS DATE) END",
@@ -203,6 +220,10 @@ _QUANTILES = ", ".join(f"quantile_disc(threshold, {p}) AS p{round(p * 100)}" for
 SQL: dict[str, str] = {
     "p2_percentiles": f"""SELECT CASE WHEN GROUPING(month) = 1 THEN 'sku' WHEN GROUPING(sku) = 1 THEN 'month' ELSE 'sku,month' END AS grouping, sku, month, count(threshold) AS n_values,
       {_QUANTILES}, CAST(0.0 AS DOUBLE) AS error_bound FROM task_2_2 WHERE threshold IS NOT NULL GROUP BY GROUPING SETS ((sku, month), (month), (sku))""",
+    "p2_bounds_held": " UNION ALL ".join(
+        f"""SELECT CASE WHEN GROUPING(month) = 1 THEN 'sku' WHEN GROUPING(sku) = 1 THEN 'month' ELSE 'sku,month' END AS grouping, sku, month, CAST({p} AS DOUBLE) AS p, count(threshold) AS n_values,
+      quantile_disc(threshold, {p}) AS value, true AS is_held, true AS is_narrow FROM task_2_2 WHERE threshold IS NOT NULL GROUP BY GROUPING SETS ((sku, month), (month), (sku))""" for p in TARGETS
+    ),
     "p6_held": " UNION ALL ".join(
         f"SELECT '{','.join(s)}' AS grouping, '{c}' AS identifier, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS exact_total, true AS listed_is_exact, true AS bounds_hold "
         f"FROM (SELECT count(DISTINCT {_text(c)}) AS n FROM amazon_sales WHERE {_text(c)} IS NOT NULL GROUP BY {', '.join(_DIMENSIONS[x] for x in s)})"

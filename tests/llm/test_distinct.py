@@ -84,8 +84,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "clash", 1, "clash") for r in rows], SCHEMA)
 
 
-def counted(spark, df, repartition=3):
-    sketches = D.partial_sketches(df.repartition(repartition), ["load_id"], ["day", "state"], {"sku": F.col("sku")}, SETS)
+def counted(spark, df, repartition=3, **kw):
+    sketches = D.partial_sketches(df.repartition(repartition), ["load_id"], ["day", "state"], {"sku": F.col("sku")}, SETS, **kw)
     return {tuple(r)[:3]: r for r in D.counts(sketches, ["day", "state"]).collect()}
 
 
@@ -144,14 +144,13 @@ def test_loads_may_be_stored_and_merged_later(spark, tmp_path):
     assert {tuple(r)[:3]: r for r in D.counts(merged, ["day", "state"]).collect()} == got
 
 
-def test_chunks_of_a_partition_are_folded(spark, monkeypatch):
-    monkeypatch.setattr(D, "CHUNK", 50)
-    monkeypatch.setattr(D, "HELD", 1)
+@pytest.mark.parametrize("held", [1, 20_000, 1 << 30])
+def test_chunks_of_a_partition_are_folded(spark, held):
     rng = random.Random(6)
     rows = [(1, rng.choice(["a", "b"]), rng.choice(["S", "T"]), f"x{rng.randint(0, 900)}") for _ in range(1500)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
     try:
-        check(counted(spark, frame(spark, rows), 2), brute(rows))
+        check(counted(spark, frame(spark, rows), 2, rows_at_once=50, bytes_held=held), brute(rows))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 

@@ -43,13 +43,15 @@ PS = [0.0, 0.5, 0.8, 0.9, 0.99, 1.0]
 def check(spark, rows):
     df = spark.createDataFrame([(g, part, v, 1, 2) for g, part, v in rows], "g string, part int, v double, bin int, n int")
     merged = P.merge(P.partials(df, "v", ["g"], ["part"]), ["g"])
-    got = {(r["g"], r["p"]): (r["value"], r["n_values"]) for r in P.select_ranks(merged, ["g"], PS).collect()}
+    got = {(r["g"], r["p"]): (r["value"], r["n_values"]) for r in P.select_ranks(merged, P.keyed(df, "v", ["g"]), ["g"], PS).collect()}
+    # Partials need not be merged before.
+    assert {(r["g"], r["p"]): (r["value"], r["n_values"]) for r in P.select_ranks(P.partials(df, "v", ["g"], ["part"]), P.keyed(df, "v", ["g"]), ["g"], PS).collect()} == got
     groups = {}
     for g, _, v in rows:
         if v is not None:
             groups.setdefault(g, []).append(v)
     assert got == {(g, p): (brute(vs, p), len(vs)) for g, vs in groups.items() for p in PS}
-    bounds = P.bounded(P.merge(P.partials(df, "v", ["g"], ["part"], P.PARTIAL_BITS), ["g"]), ["g"], PS).collect()
+    bounds = P.bounded(merged, ["g"], PS).collect()
     assert len(bounds) == len(got)
     for r in bounds:
         true = got[r["g"], r["p"]][0]
@@ -71,7 +73,7 @@ def test_selection_against_sorting(spark):
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 2), st.one_of(st.none(), st.floats(allow_nan=False, allow_infinity=False, allow_subnormal=True))), min_size=1, max_size=30))
 def test_any_values(spark, rows):
     df = spark.createDataFrame(rows, "g string, part int, v double")
-    got = {(r["g"], r["p"]): r["value"] for r in P.select_ranks(P.partials(df, "v", ["g"]), ["g"], [0.5]).collect()}
+    got = {(r["g"], r["p"]): r["value"] for r in P.select_ranks(P.partials(df, "v", ["g"]), P.keyed(df, "v", ["g"]), ["g"], [0.5]).collect()}
     groups = {}
     for g, _, v in rows:
         if v is not None:
@@ -84,12 +86,13 @@ def test_shuffled_join_path_and_empty(spark, monkeypatch):
     rng = random.Random(9)
     check(spark, [(rng.choice("abc"), 0, rng.random()) for _ in range(300)])
     df = spark.createDataFrame([], "g string, v double")
-    assert P.select_ranks(P.partials(df, "v", ["g"]), ["g"], [0.5]).count() == 0
+    assert P.select_ranks(P.partials(df, "v", ["g"]), P.keyed(df, "v", ["g"]), ["g"], [0.5]).count() == 0
 
 
 def test_grouping_sets(spark):
     df = spark.createDataFrame([("x", "m1", 1.0), ("x", "m2", 3.0), ("y", "m1", 5.0), ("y", None, 9.0)], "s string, m string, v double")
-    h = P.grouping_sets(P.partials(df, "v", ["s", "m"]), [("s", "m"), ("m",), ("s",)])
-    got = {tuple(r)[:3]: r["value"] for r in P.select_ranks(h, [P.LEVEL, "s", "m"], [0.5]).collect()}
+    sets = [("s", "m"), ("m",), ("s",)]
+    h, rows = P.spread(P.partials(df, "v", ["s", "m"]), sets), P.spread(P.keyed(df, "v", ["s", "m"]), sets)
+    got = {tuple(r)[:3]: r["value"] for r in P.select_ranks(h, rows, [P.LEVEL, "s", "m"], [0.5]).collect()}
     assert got["m", None, "m1"] == 1.0 and got["m", None, None] == 9.0
     assert got["s", "x", None] == 1.0 and got["s,m", "y", None] == 9.0 and len(got) == 4 + 3 + 2
