@@ -2,8 +2,10 @@
 
 1. A multi-pattern automaton (Aho-Corasick) over all names and aliases finds every embedded mention that begins and ends at word limits, blanks and
    punctuation ignored; the longest non-overlapping mention wins.
-2. Values without a mention go to token-set similarity: word windows of the value against the entries by shared character pairs (Dice), the nearest
-   entries confirmed by edit distance (with transpositions), by a cut-off end, or by abbreviated words.
+2. Values without a mention go to token-set similarity: an entry fits where each of its words has a word of the value of its own that is equal or near,
+   in whatever order and whatever stands between them; neighbouring words of the value also count as one, since words get joined and split. Near words
+   are found in an inverted index of character pairs, of which only the rarest few of a word are looked up, then compared by shared pairs (Dice) and
+   confirmed by edit distance (with transpositions), by a cut-off end, or as abbreviations beside a whole word. No value is compared with every entry.
 3. What is left is reported as unmatched (entry 0).
 
 The mapping is a narrow per-row step: the list is checked for size and shipped once per worker, each worker keeps a bounded cache of values it has
@@ -34,6 +36,12 @@ LEAST_PREFIX, MOST_CUT = 5, 6
 SHORT_ALIAS = 3
 #: Words of a value that are looked at together, beyond the longest entry's.
 EXTRA_WORDS = 1
+#: Character pairs looked up of a word: an edit or transposition changes three at most, so a word within MAX_EDITS keeps one of any PROBES pairs.
+PROBES = 3 * MAX_EDITS + 1
+#: Least mean similarity of an entry's words to those of the value they stand for.
+LEAST_WORDS = 0.5
+#: Words of fewer letters must be equal.
+SHORT_WORD = 4
 
 
 def plain(text: str) -> str:
@@ -72,6 +80,35 @@ def edits(a: str, b: str, most: int) -> int:
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def pairs_of(word: str) -> set[str]:
+    s = f"^{word}$"
+    return {s[i : i + 2] for i in range(len(s) - 1)}
+
+
+class PairIndex:
+    """Inverted index of names by character pairs."""
+
+    def __init__(self, names: Sequence[str]):
+        self.names = list(names)
+        self.sets = [pairs_of(n) for n in self.names]
+        self.postings: dict[str, list[int]] = {}
+        for i, pairs in enumerate(self.sets):
+            for p in pairs:
+                self.postings.setdefault(p, []).append(i)
+
+    def near(self, word: str) -> list[tuple[str, float]]:
+        """(name, Dice) of all names within MAX_EDITS of the word or beginning with it, and of others that share one of its rarest pairs, with LEAST_DICE."""
+        own = pairs_of(word)
+        known = sorted((len(self.postings.get(p, ())), p) for p in own)
+        found = {i for _, p in known[:PROBES] for i in self.postings.get(p, ())}
+        out = []
+        for i in found:
+            dice = 2 * len(own & self.sets[i]) / (len(own) + len(self.sets[i]))
+            if dice >= LEAST_DICE:
+                out.append((self.names[i], dice))
+        return out
+
+
 class Matcher:
     """entries: (entry_id, name, aliases, context). Several entries may share a name; their context (a state) tells them apart.
 
@@ -105,22 +142,17 @@ class Matcher:
             self.automaton.add_word(key, key)
         if self.keys:
             self.automaton.make_automaton()
-        self.pairs: dict[str, int] = {}
+        self.index = PairIndex(self.keys)
+        #: Keys of several words by each of their words.
+        self.with_word: dict[str, list[str]] = {}
         for key in self.keys:
-            for p in self._pairs(key):
-                self.pairs.setdefault(p, len(self.pairs))
-        self.table = np.zeros((len(self.pairs), max(1, len(self.keys))), np.float32)
-        for j, key in enumerate(self.keys):
-            for p in self._pairs(key):
-                self.table[self.pairs[p], j] = 1
-        self.sizes = np.array([len(self._pairs(k)) for k in self.keys] or [1], np.float32)
+            if len(self.words[key]) > 1:
+                for w in set(self.words[key]):
+                    self.with_word.setdefault(w, []).append(key)
+        self.word_index = PairIndex(sorted(self.with_word))
+        self.near_words: dict[str, list[tuple[str, int, float]]] = {}
         self.cache: dict[tuple[str, object], tuple[int, str, float]] = {}
 
-    @staticmethod
-    def _pairs(key: str) -> set[str]:
-        s = f"^{key}$"
-        return {s[i : i + 2] for i in range(len(s) - 1)}
-
     def _pick(self, ids: Sequence[int], context: object) -> int:
         """One of several entries of a name: the one whose context is the row's, else none of two equals can be preferred: the lowest id."""
         same = [i for i in ids if context is not None and self.context[i] == context]
@@ -145,38 +177,78 @@ class Matcher:
                 taken.append(f)
         return taken
 
+    def _near(self, word: str) -> list[tuple[str, int, float]]:
+        """(entry's word, edits, similarity) of the words of entries of several words that are near a word."""
+        known = self.near_words.get(word)
+        if known is None:
+            if len(self.near_words) >= CACHE:
+                self.near_words.clear()
+            known = [(word, 0, 1.0)] if word in self.with_word else []
+            if len(word) >= SHORT_WORD:
+                for name, dice in self.word_index.near(word):
+                    most = MAX_EDITS if min(len(name), len(word)) >= 6 else 1
+                    if name != word and len(name) >= SHORT_WORD and (d := edits(word, name, most)) <= most:
+                        known.append((name, d, dice))
+            self.near_words[word] = known
+        return known
+
+    def token_sets(self, words: list[str]) -> list[tuple[float, float, str]]:
+        """(cost, similarity, key) of the entries of several words each of which is near a word of the value of its own, in any order."""
+        near: dict[str, dict[int, tuple[int, float]]] = {}
+        for i, w in enumerate(words):
+            for name, d, sim in self._near(w):
+                near.setdefault(name, {})[i] = (d, sim)
+        out = []
+        for key in {k for name in near for k in self.with_word[name]}:
+            taken: set[int] = set()
+            cost, total, left = 0, 0.0, []
+            own = self.words[key]
+            # Words with the fewest choices choose first, each the nearest word left.
+            for w in sorted(own, key=lambda w: len(near.get(w, ()))):
+                free = [(d, -sim, i) for i, (d, sim) in near.get(w, {}).items() if i not in taken]
+                if not free:
+                    left.append(w)
+                    continue
+                d, sim, i = min(free)
+                taken.add(i)
+                cost, total = cost + d, total - sim
+            # A word left over may be abbreviated beside whole ones.
+            for w in left if cost == 0 and taken else ():
+                short = [i for i, v in enumerate(words) if i not in taken and w.startswith(v)]
+                if short:
+                    taken.add(short[0])
+                    total += len(words[short[0]]) / len(w)
+            if len(taken) == len(own) and total / len(own) >= LEAST_WORDS:
+                out.append((cost + (0.5 if left else 0.0), 2 * total / (len(own) + len(words)), key))
+        return out
+
     def nearest(self, words: list[str], context: object) -> tuple[int, str, float] | None:
-        windows = {"".join(words[i:j]): words[i:j] for i in range(len(words)) for j in range(i + 1, min(len(words), i + self.most_words) + 1)}
-        windows = {k: w for k, w in windows.items() if len(k) > SHORT_ALIAS}
-        if not windows or not self.keys:
-            return None
-        names = list(windows)
-        rows = np.zeros((len(names), len(self.pairs)), np.float32)
-        size = np.zeros((len(names), 1), np.float32)
-        for i, name in enumerate(names):
-            pairs = self._pairs(name)
-            size[i] = len(pairs)
-            for p in pairs:
-                if (k := self.pairs.get(p)) is not None:
-                    rows[i, k] = 1
-        dice = 2 * (rows @ self.table) / (size + self.sizes)
         best: list[tuple[float, int, float, int, str]] = []
-        for i, name in enumerate(names):
-            for j in np.nonzero(dice[i] >= LEAST_DICE)[0]:
-                key = self.keys[j]
+
+        def offer(d: float, score: float, key: str, how: str) -> None:
+            for entry in self.by_key[key]:
+                other = 0 if context is not None and self.context[entry] == context else 1
+                best.append((d, other, -score, entry, how))
+
+        # Several words of an entry say more than one near word: among equally many edits they come first.
+        for cost, score, key in self.token_sets(words):
+            offer(cost + 0.25 - 0.5 * (len(self.words[key]) - 1), score, key, "tokens")
+        windows = {"".join(words[i:j]): words[i:j] for i in range(len(words)) for j in range(i + 1, min(len(words), i + self.most_words) + 1)}
+        for name, own in windows.items():
+            if len(name) <= SHORT_ALIAS:
+                continue
+            for key, dice in self.index.near(name):
                 most = MAX_EDITS if min(len(key), len(name)) >= 6 else 1
                 d: float = edits(name, key, most)
                 how = "similar"
                 if d > most or d > 1:
                     if len(name) >= LEAST_PREFIX and key.startswith(name) and len(key) - len(name) <= MOST_CUT:
                         d, how = 1.5, "cut"
-                    elif self._abbreviates(windows[name], self.words[key]):
+                    elif self._abbreviates(own, self.words[key]):
                         d, how = 1.25, "abbreviated"
                     elif d > most:
                         continue
-                for entry in self.by_key[key]:
-                    other = 0 if context is not None and self.context[entry] == context else 1
-                    best.append((d, other, -float(dice[i, j]), entry, how))
+                offer(d, dice, key, how)
         if not best:
             return None
         d, _, score, entry, how = min(best)
@@ -188,7 +260,7 @@ class Matcher:
         return len(words) == len(full) > 1 and words != full and any(w == f for w, f in zip(words, full)) and all(f.startswith(w) for w, f in zip(words, full))
 
     def match(self, value: str | None, context: object = None) -> tuple[int, str, float]:
-        """(entry_id, how, score). how: blank, mention, similar, cut, abbreviated or none; entry 0 for blank and none."""
+        """(entry_id, how, score). how: blank, mention, tokens, similar, cut, abbreviated or none; entry 0 for blank and none."""
         if value is None or not value.strip():
             return 0, "blank", 0.0
         known = self.cache.get((value, context))
@@ -224,11 +296,15 @@ def spark_matcher(entries: Sequence[tuple[int, str, Sequence[str], str | None]],
     @F.pandas_udf("city_id bigint, city_how string, city_score double, state_id bigint, state_how string, state_score double")
     def mapped(city: pd.Series, state: pd.Series) -> pd.DataFrame:
         cities_of, states_of, names = _matchers(key, lists)
-        out = []
-        for c, s in zip(city, state):
-            i, how, score = states_of.match(s)
-            out.append((*cities_of.match(c, names.get(i)), i, how, score))
-        return pd.DataFrame(out, columns=["city_id", "city_how", "city_score", "state_id", "state_how", "state_score"])
+        # A batch holds few different pairs of values; each is resolved once.
+        c, different = pd.factorize(city, use_na_sentinel=False)
+        s, stated = pd.factorize(state, use_na_sentinel=False)
+        at, pairs = pd.factorize(c.astype(np.int64) * max(1, len(stated)) + s)
+        value = lambda v: v if isinstance(v, str) else None
+        found = [states_of.match(value(v)) for v in stated]
+        out = [(*cities_of.match(value(different[p // len(stated)]), names.get(found[p % len(stated)][0])), *found[p % len(stated)]) for p in pairs]
+        columns = ["city_id", "city_how", "city_score", "state_id", "state_how", "state_score"]
+        return pd.DataFrame(out, columns=columns).take(at).reset_index(drop=True) if out else pd.DataFrame(columns=columns)
 
     return mapped
 
