@@ -12,7 +12,7 @@ A sketch of up to LIMIT identifiers is written as the list of their hashes, whic
 from registers all the same, and the length of the list, an exact count, is given beside it.
 
 Partial sketches are made per partition in Arrow batches and merged after one shuffle of sketches: neither identifiers nor the rows of a hot group are
-shuffled once a partition holds more than LIMIT of them. Groups that a partition holds BIG identifiers or more of are merged in two steps.
+shuffled once a partition holds more than LIMIT of them. Full sketches, as a hot group has them in every partition, are merged in two steps.
 """
 
 from __future__ import annotations
@@ -26,14 +26,13 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Registers, a power of two, held as 4-byte floats: a relative error of 2**-24 each.
-M = 1024
+#: Registers, a power of two, and bytes of one: eight bits of exponent and eight of mantissa, rounded to the nearest, which keeps their order, so that
+#: minima of rounded registers are rounded minima; a sum of M of them errs by about 2**-15.
+M, REGISTER = 1024, 2
 #: Bytes of a listed hash; 48 bits tell 10**6 identifiers of a group apart but for 2 in 1000 cases of one collision, and lists are far shorter.
 HASH = 6
 #: Identifiers a list holds at most; at six bytes each it is then as long as the registers.
-LIMIT = M * 4 // HASH
-#: Identifiers in one partition from which a group's partials are merged in two steps.
-BIG = 64
+LIMIT = M * REGISTER // HASH
 #: Two-sided confidence of the stated bounds and its normal quantile.
 CONFIDENCE, Z = 0.95, 1.959963984540054
 #: Rows of a partition sketched at a time, and bytes of sketches held until they are folded; both bound a worker's memory.
@@ -113,6 +112,15 @@ def add_hashes(registers: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> N
                         return
 
 
+def packed(registers: np.ndarray) -> np.ndarray:
+    """Registers rounded to two bytes each."""
+    return ((registers.astype(np.float32).view(np.uint32) + np.uint32(1 << 14)) >> np.uint32(15)).astype("<u2")
+
+
+def unpacked(registers: np.ndarray) -> np.ndarray:
+    return (registers.astype(np.uint32) << np.uint32(15)).view(np.float32)
+
+
 def single_sums(hashes: np.ndarray) -> np.ndarray:
     """The register sum of sketches of one hash each: values in rising order add up to the draws they are made of, wherever they fall."""
     out = np.zeros(len(hashes))
@@ -150,13 +158,14 @@ class Sketches:
         into = np.isin(groups, self.full)
         if into.any():
             add_hashes(self.registers, np.searchsorted(self.full, groups[into]), hashes[into])
+        self.registers = unpacked(packed(self.registers))
         self.hashes = hashes[~into]
         self.groups, self.sizes = np.unique(groups[~into], return_counts=True)
 
     def arrays(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """(groups, lists of hashes or null, registers or null), lists first."""
         lists = _binary(self.hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH], self.sizes * HASH)
-        registers = _binary(self.registers.astype("<f4").view(np.uint8), np.full(len(self.full), 4 * M))
+        registers = _binary(packed(self.registers).view(np.uint8), np.full(len(self.full), REGISTER * M))
         both = [pa.concat_arrays([lists, pa.nulls(len(self.full), pa.binary())]), pa.concat_arrays([pa.nulls(len(self.groups), pa.binary()), registers])]
         return np.concatenate([self.groups, self.full]).astype(np.int64), *both
 
@@ -286,8 +295,8 @@ def merge_sketches(sketches: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """One sketch per (dimensions..., grouping, identifier), whatever parts the given ones came from; best from stored ones, as they are read twice.
 
     Sorted partitions are read as a stream and each group's sketches are folded into one as they pass, so a group's partials are never held together.
-    Sketches of BIG identifiers or more, as a hot group has them in all of P partitions, are first merged in about sqrt(P) parts, so that no task reads
-    more than sqrt(P) of them; the others go straight to their group.
+    Full sketches, as a hot group has them in all of P partitions, are first merged in about sqrt(P) parts, so that no task reads more than sqrt(P) of
+    them; lists go straight to their group.
     """
     keys = [*dimensions, "grouping", "identifier"]
     return _merged(_gathered(sketches, keys), keys)
@@ -295,7 +304,7 @@ def merge_sketches(sketches: DataFrame, dimensions: Sequence[str]) -> DataFrame:
 
 def _gathered(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     parts = math.isqrt(max(1, sketches.rdd.getNumPartitions() - 1)) + 1
-    big = F.col("registers").isNotNull() | (F.length("hashes") >= BIG * HASH)
+    big = F.col("registers").isNotNull()
     columns = [*keys, "hashes", "registers"]
     salted = sketches.where(big).select(*keys, F.pmod(F.spark_partition_id(), F.lit(parts)).alias("_part"), "hashes", "registers")
     return _merged(salted, [*keys, "_part"]).select(*columns).unionByName(sketches.where(~big).select(*columns))
@@ -348,7 +357,7 @@ def _fold(t: pa.Table, keys: Sequence[str], finish: bool = False) -> pa.Table:
     firsts = np.nonzero(change)[0]
     hashes, sizes = _hashes(arrays["hashes"])
     data, lengths = _bytes(arrays["registers"])
-    sketches = Sketches(np.repeat(code, sizes), hashes, code[lengths > 0], data.view("<f4").reshape(-1, M).astype(np.float32))
+    sketches = Sketches(np.repeat(code, sizes), hashes, code[lengths > 0], unpacked(data.view("<u2")).reshape(-1, M))
     groups, *values = sketches.sums() if finish else sketches.arrays()
     order = np.argsort(groups, kind="stable")
     at, take = pa.array(firsts[groups[order]]), pa.array(order)
