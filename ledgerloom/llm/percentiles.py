@@ -6,7 +6,7 @@ values follow by radix selection: histogram successive digits, and follow only t
 partials; the rest from the rows, of which a pass takes those whose leading bits are a digit still open. A digit of one value only is settled at once.
 
 At most targets * groups digits survive a pass, whatever the number of rows; each pass adds counts up before its shuffle. A hot group is spread over its
-digits, of which a task sees at most 2**16; ties collapse into counts.
+digits, of which a task sees at most 2**20; ties collapse into counts.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .order_bits import from_key, with_key
 #: Bits of a stored partial: sign, 11 of exponent and 12 of mantissa, hence a relative bin width of 2**-12 at most.
 PARTIAL_BITS = 24
 #: Bits of the passes over partials, which make up PARTIAL_BITS, and of those over rows, which make up the other 40.
-PARTIAL_DIGITS, ROW_DIGITS = (16, 8), (14, 13, 13)
+PARTIAL_DIGITS, ROW_DIGITS = (20, 4), (14, 13, 13)
 LEVEL = "_level"
 #: Counted open digits up to which a pass broadcasts them; more are joined by shuffle. It changes the plan, not the result.
 BROADCAST_ROWS = 50_000
@@ -93,21 +93,25 @@ def _next(source: DataFrame, bits: int, done: int, width: int, open_: DataFrame,
     return _follow(met.groupBy(*groups, "n_values", "prefix", "targets", "digit").agg(*[s() for s in SUMS]), groups, ["prefix"])
 
 
-def _passes(histogram: DataFrame, rows: DataFrame | None, groups: Sequence[str], percentiles: Sequence[float]) -> DataFrame:
+def _passes(histogram: DataFrame, rows: DataFrame | None, sets: Sequence[Sequence[str]] | None, groups: Sequence[str], percentiles: Sequence[float]) -> DataFrame:
     """(groups..., n_values, targets, lo, hi) of the digits that hold the targets after all passes over the histogram and, where given, over the rows."""
     kept = cut(_first(histogram, groups, percentiles))
     done, out = PARTIAL_DIGITS[0], []
-    plan = [(histogram, PARTIAL_BITS, w) for w in PARTIAL_DIGITS[1:]]
-    if rows is not None:
-        whole = rows.select(*groups, "bin", F.lit(1).cast("bigint").alias("n"), F.col("bin").alias("lo"), F.col("bin").alias("hi"))
-        plan += [(whole, 64, w) for w in ROW_DIGITS]
-    for source, bits, width in plan:
+    plan = [(PARTIAL_BITS, w) for w in PARTIAL_DIGITS[1:]] + [(64, w) for w in ROW_DIGITS if rows is not None]
+    for bits, width in plan:
         out.append(kept.where(F.col("lo") == F.col("hi")))
         open_ = kept.where(F.col("lo") < F.col("hi"))
         many = open_.count()
         if not many:
             kept = None
             break
+        source = histogram
+        if bits == 64:
+            # Rows outside all open digits, whatever their group, leave before they are spread over the grouping sets.
+            leading = open_.select(F.col("prefix").alias("_leading")).distinct()
+            near = rows.join(leading, F.shiftright("bin", 64 - done) == F.col("_leading"), "left_semi")
+            near = spread(near, sets) if sets else near
+            source = near.select(*groups, "bin", F.lit(1).cast("bigint").alias("n"), F.col("bin").alias("lo"), F.col("bin").alias("hi"))
         kept = cut(_next(source, bits, done, width, open_, many, groups))
         done += width
     if kept is not None:
@@ -118,21 +122,21 @@ def _passes(histogram: DataFrame, rows: DataFrame | None, groups: Sequence[str],
     return found.select(*groups, F.explode("targets").alias("_t"), "n_values", "lo", "hi").select(*groups, "_t.p", "n_values", "lo", "hi")
 
 
-def select_ranks(histogram: DataFrame, rows: DataFrame, groups: Sequence[str], percentiles: Sequence[float]) -> DataFrame:
+def select_ranks(histogram: DataFrame, rows: DataFrame, groups: Sequence[str], percentiles: Sequence[float], sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """(groups..., p, n_values, value): the value of rank ceil(p * n), at least 1, of each group; exact.
 
     `histogram` has the partials (groups..., bin, n, lo, hi), merged or not, best stored, as two passes read it; `rows` the same values as (groups..., bin)
-    with whole keys, of which only digits that hold several values are read again. Groups without values have no row; null group parts form their own
+    with whole keys, of which only digits that hold several values are read again. With `sets` the histogram is spread over them and the rows are not yet. Groups without values have no row; null group parts form their own
     group; ties and repeated rows count each time; an empty histogram gives no row.
     """
-    found = _passes(histogram, rows, groups, percentiles)
+    found = _passes(histogram, rows, sets, groups, percentiles)
     return found.select(*groups, "p", "n_values", from_key(F.col("lo")).alias("value"))
 
 
 def bounded(histogram: DataFrame, groups: Sequence[str], percentiles: Sequence[float]) -> DataFrame:
     """(groups..., p, n_values, low, high, estimate, error_bound) from partials alone: the true value lies in [low, high], the ends of the values in its bin,
     so |estimate - value| <= error_bound, about (high - low) / 2 and at most 2**-12 of the value."""
-    found = _passes(histogram, None, groups, percentiles)
+    found = _passes(histogram, None, None, groups, percentiles)
     edges = found.select(*groups, "p", "n_values", from_key(F.col("lo")).alias("low"), from_key(F.col("hi")).alias("high"))
     edges = edges.withColumn("estimate", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") / 2 + F.col("high") / 2))
     return edges.withColumn("error_bound", F.when(F.col("low") == F.col("high"), 0.0).otherwise(F.greatest(F.col("estimate") - F.col("low"), F.col("high") - F.col("estimate"))))

@@ -29,8 +29,8 @@ def _partials(spark: SparkSession, d: str, part: str) -> DataFrame:
 
 
 def _exact_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = percentiles.spread(percentiles.keyed(table(spark, d, "task_2_2"), "threshold", ["sku", "month"]), SETS)
-    return percentiles.select_ranks(_partials(spark, d, "shard"), rows, LEVELLED, TARGETS)
+    rows = percentiles.keyed(table(spark, d, "task_2_2"), "threshold", ["sku", "month"])
+    return percentiles.select_ranks(_partials(spark, d, "shard"), rows, LEVELLED, TARGETS, SETS)
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:

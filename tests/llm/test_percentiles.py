@@ -90,9 +90,10 @@ def test_shuffled_join_path_and_empty(spark, monkeypatch):
 
 
 def test_grouping_sets(spark):
-    df = spark.createDataFrame([("x", "m1", 1.0), ("x", "m2", 3.0), ("y", "m1", 5.0), ("y", None, 9.0)], "s string, m string, v double")
+    df = spark.createDataFrame([("x", "m1", 1.0), ("x", "m2", 3.0), ("y", "m1", 5.0), ("y", None, 9.0), ("z", "m9", 1.0 + 2.0**-50), ("z", "m9", 1.0 + 2.0**-51), ("z", "m9", 1.0 + 2.0**-40)], "s string, m string, v double")
     sets = [("s", "m"), ("m",), ("s",)]
-    h, rows = P.spread(P.partials(df, "v", ["s", "m"]), sets), P.spread(P.keyed(df, "v", ["s", "m"]), sets)
-    got = {tuple(r)[:3]: r["value"] for r in P.select_ranks(h, rows, [P.LEVEL, "s", "m"], [0.5]).collect()}
+    h, rows = P.spread(P.partials(df, "v", ["s", "m"]), sets), P.keyed(df, "v", ["s", "m"])
+    got = {tuple(r)[:3]: r["value"] for r in P.select_ranks(h, rows, [P.LEVEL, "s", "m"], [0.5], sets).collect()}
     assert got["m", None, "m1"] == 1.0 and got["m", None, None] == 9.0
-    assert got["s", "x", None] == 1.0 and got["s,m", "y", None] == 9.0 and len(got) == 4 + 3 + 2
+    assert got["s", "x", None] == 1.0 and got["s,m", "y", None] == 9.0 and len(got) == 5 + 4 + 3
+    assert got["s", "z", None] == got["s,m", "z", "m9"] == 1.0 + 2.0**-50
