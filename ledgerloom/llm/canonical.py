@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 #: Entries a list may have; more of them raise, since the list is shipped to every worker.
@@ -290,21 +290,22 @@ class Matcher:
 
 
 def spark_matcher(entries: Sequence[tuple[int, str, Sequence[str], str | None]], states: Sequence[tuple[int, str, Sequence[str], str | None]], spark):
-    """A pandas UDF (city, state) -> struct of both entries. The row's state, once mapped, decides between cities of one name."""
+    """An Arrow UDF (city, state) -> struct of both entries. The row's state, once mapped, decides between cities of one name."""
     lists, key = spark.sparkContext.broadcast((list(entries), list(states))), uuid.uuid4().hex
 
-    @F.pandas_udf("city_id bigint, city_how string, city_score double, state_id bigint, state_how string, state_score double")
-    def mapped(city: pd.Series, state: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<city_id:bigint,city_how:string,city_score:double,state_id:bigint,state_how:string,state_score:double>")
+    def mapped(city: pa.Array, state: pa.Array) -> pa.Array:
         cities_of, states_of, names = _matchers(key, lists)
         # A batch holds few different pairs of values; each is resolved once.
-        c, different = pd.factorize(city, use_na_sentinel=False)
-        s, stated = pd.factorize(state, use_na_sentinel=False)
-        at, pairs = pd.factorize(c.astype(np.int64) * max(1, len(stated)) + s)
-        value = lambda v: v if isinstance(v, str) else None
-        found = [states_of.match(value(v)) for v in stated]
-        out = [(*cities_of.match(value(different[p // len(stated)]), names.get(found[p % len(stated)][0])), *found[p % len(stated)]) for p in pairs]
-        columns = ["city_id", "city_how", "city_score", "state_id", "state_how", "state_score"]
-        return pd.DataFrame(out, columns=columns).take(at).reset_index(drop=True) if out else pd.DataFrame(columns=columns)
+        c, s = city.dictionary_encode(), state.dictionary_encode()
+        different, stated = [*c.dictionary.to_pylist(), None], [*s.dictionary.to_pylist(), None]
+        codes = [x.indices.fill_null(len(x.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64) for x in (c, s)]
+        pairs, at = np.unique(codes[0] * len(stated) + codes[1], return_inverse=True)
+        found = [states_of.match(v) for v in stated]
+        out = [(*cities_of.match(different[p // len(stated)], names.get(found[p % len(stated)][0])), *found[p % len(stated)]) for p in pairs]
+        kinds = {"city_id": pa.int64(), "city_how": pa.string(), "city_score": pa.float64(), "state_id": pa.int64(), "state_how": pa.string(), "state_score": pa.float64()}
+        columns = [pa.array([r[k] for r in out], t).take(pa.array(at)) for k, t in enumerate(kinds.values())]
+        return pa.StructArray.from_arrays(columns, names=list(kinds))
 
     return mapped
 
