@@ -2,15 +2,19 @@
 
 Each language has a codeword of bits at large Hamming distances. One binary classifier per bit weighs the character n-grams and words of a sentence
 (log-odds of the languages with bit 1 against those with bit 0). Decoding is loss-weighted: each bit's loss counts for a language by how reliably the
-bit is predicted for it; the nearest codeword wins, its softmax share is the confidence, and a near second flags ambiguity.
+bit is predicted for it; the nearest codeword wins, its softmax share is the confidence, and a near second flags ambiguity. A sentence too far from
+every codeword is in none of the languages (`und`).
 
 The model is fitted on a bounded sample of labelled rows (`SAMPLE` documents a label, `SENTENCES` sentences each, `SENTENCE_CHARS` characters a
-sentence); since labels can be wrong, sentences that the first fit gives another language are left out of the second. Whole texts are then
-classified sentence by sentence in Arrow batches, without a shuffle.
+sentence); since labels can be wrong, sentences that the first fit gives another language are left out of the second. What turns losses into
+confidences, and the farthest loss of a known language, are fitted on held-out documents, on their sentences and on pieces of a few words, wrongly decoded
+ones included. A model can be written and read back, so that fitting and scoring may be apart. Whole texts are classified sentence by sentence in Arrow
+batches, without a shuffle.
 """
 
 from __future__ import annotations
 
+import io
 import math
 import unicodedata
 import uuid
@@ -43,10 +47,16 @@ CODES = tuple(LANGUAGES)
 #: Bounds of the labelled sample the model is fitted on.
 SAMPLE, SENTENCES, SENTENCE_CHARS = 500, 12, 400
 BITS, HASH_BITS, ALPHA, CLIP = 31, 16, 0.05, 6.0
-#: Below this confidence a sentence goes with its document's other sentences; near the second language it is flagged.
+#: A sentence of less confidence, or of a lesser lead over the second language, is flagged ambiguous; its language stays the decoder's.
 LEAST_CONFIDENCE, NEAR = 0.80, 0.20
-#: An unfinished piece (a cut text) of fewer words than this takes the language of the sentence before it.
+#: An unfinished last piece (a cut text) of fewer words than this is no whole sentence.
 LEAST_WORDS = 4
+#: Code of text in none of the languages.
+NONE = "und"
+#: One document in so many is held out for calibration; one whose sentences agree less with its label is taken as wrongly labelled or mixed.
+HELD_OUT, AGREEING = 4, 0.8
+#: Words of the pieces cut out of held-out sentences, besides these themselves.
+PIECES = (1, 2, 4)
 
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 SENTENCE = regex.compile(r"(?:[.!?।…]+[\"'»”’)\]]*(?=\s|$)|\s+[—–|/•]\s+|[\r\n]+)")
@@ -123,7 +133,8 @@ class Coder:
         self.bits[counts.sum(0) == 0] = 0
         self.known = counts.sum(1) > 0
         self.trust = np.ones_like(self.code) / self.code.shape[1]
-        self.sharpness = 8.0
+        self.sharpness, self.growth = 8.0, 0.0
+        self.farthest = math.inf
         self.forget()
 
     def forget(self) -> None:
@@ -177,36 +188,81 @@ class Coder:
         out[:, ~self.known] = 1e3
         return out
 
+    def shares(self, loss: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Softmax share of each language; sharper for sentences of more words."""
+        k = self.sharpness * np.power(np.maximum(sizes, 1), self.growth)[:, None]
+        p = np.exp(-k * (loss - loss.min(1, keepdims=True)))
+        return p / p.sum(1, keepdims=True)
+
     def decode(self, texts: Sequence[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language index, confidence, lead over the second) of each sentence."""
+        """(language index, or that after the last for none of them, confidence, lead over the second) of each sentence."""
         if not texts:
             return np.zeros(0, int), np.zeros(0), np.zeros(0)
         loss = self.losses(self.scores(texts)).astype(np.float64)
-        p = np.exp(-self.sharpness * (loss - loss.min(1, keepdims=True)))
-        p /= p.sum(1, keepdims=True)
+        p = self.shares(loss, np.array([len(ws) for ws in texts]))
         top = np.sort(p, axis=1)
-        return loss.argmin(1), top[:, -1], top[:, -1] - top[:, -2]
+        found, sure = loss.argmin(1), top[:, -1]
+        none = loss.min(1) > self.farthest
+        return np.where(none, len(CODES), found), np.where(none, 1 - sure, sure), top[:, -1] - top[:, -2]
 
-    def calibrate(self, texts: Sequence[list[str]], labels: np.ndarray) -> None:
+    def trusted(self, texts: Sequence[list[str]], labels: np.ndarray) -> None:
+        """How reliably each bit is predicted for each language."""
         scores = self.scores(texts)
         for c in range(len(self.code)):
             own = scores[labels == c]
             right = ((own * self.code[c]) > 0).mean(0) if len(own) else np.ones(self.code.shape[1])
             w = np.maximum(2 * right - 1, 0.05)
             self.trust[c] = w / w.sum()
-        loss = self.losses(scores).astype(np.float64)
-        best = (math.inf, 8.0)
-        for k in (4, 8, 12, 16, 24, 32, 48):
-            z = -k * (loss - loss.min(1, keepdims=True))
-            nll = float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), labels]).mean()) if len(z) else 0.0
-            best = min(best, (nll, float(k)))
-        self.sharpness = best[1]
-
-
-def train(rows: Sequence[tuple[str, str]]) -> Coder:
-    """rows: (sentence, language code), some of them labelled wrongly."""
-    parsed = [(words(t), CODES.index(c)) for t, c in rows]
-    parsed = [(w, c) for w, c in parsed if w]
+
+    def calibrate(self, texts: Sequence[list[str]], labels: np.ndarray) -> None:
+        """Sharpness from held-out sentences and pieces of them by likelihood; the farthest loss from whole sentences decoded rightly."""
+        if not texts:
+            return
+        rng = np.random.default_rng(3)
+        cut = [(ws[a : a + n], c) for ws, c in zip(texts, labels) for n in PIECES if len(ws) > n for a in [int(rng.integers(0, len(ws) - n))]]
+        every, truth = [*texts, *(ws for ws, _ in cut)], np.concatenate([labels, np.array([c for _, c in cut], int)])
+        loss = self.losses(self.scores(every)).astype(np.float64)
+        sizes = np.array([len(ws) for ws in every])
+        best = (math.inf, self.sharpness, 0.0)
+        for k in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48):
+            for growth in (0.0, 0.25, 0.5, 0.75):
+                self.sharpness, self.growth = float(k), growth
+                nll = float(-np.log(np.maximum(self.shares(loss, sizes)[np.arange(len(loss)), truth], 1e-12)).mean())
+                best = min(best, (nll, float(k), growth))
+        self.sharpness, self.growth = best[1:]
+        whole = loss[: len(texts)]
+        right = whole.min(1)[whole.argmin(1) == labels]
+        if len(right):
+            # Halfway between the farthest sentence and a loss that no bit's prediction lowers.
+            self.farthest = max(float(right.max()), (float(right.max()) + math.log(2)) / 2)
+
+    def to_bytes(self) -> bytes:
+        """The model in numpy's own format, without code in it."""
+        out = io.BytesIO()
+        np.savez_compressed(out, code=self.code, bits=self.bits, known=self.known, trust=self.trust, scale=np.array([self.sharpness, self.growth, self.farthest]))
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Coder:
+        self = cls.__new__(cls)
+        with np.load(io.BytesIO(data), allow_pickle=False) as held:
+            self.code, self.bits, self.known, self.trust = held["code"], held["bits"], held["known"], held["trust"]
+            self.sharpness, self.growth, self.farthest = map(float, held["scale"])
+        self.forget()
+        return self
+
+
+def train(rows: Sequence[tuple[str, str]], documents: Sequence[object] | None = None) -> Coder:
+    """rows: (sentence, language code), some of them labelled wrongly; documents: what tells the rows of a document apart, each row by default. One document
+    in HELD_OUT is left out of the fit and calibrates it, unless most of its sentences contradict its label."""
+    documents = range(len(rows)) if documents is None else documents
+    every = [(words(t), CODES.index(c), d) for (t, c), d in zip(rows, documents)]
+    every = [r for r in every if r[0]]
+    kept_out = {d for d in {d for *_, d in every} if zlib.crc32(str(d).encode()) % HELD_OUT == 0}
+    parsed = [(w, c) for w, c, d in every if d not in kept_out]
+    if {c for _, c in parsed} != {c for _, c, _ in every}:
+        # Too few documents to hold any out.
+        parsed, kept_out = [(w, c) for w, c, _ in every], {d for *_, d in every}
     cache: dict[str, np.ndarray] = {}
     coder = None
     for _ in range(3):
@@ -226,7 +282,15 @@ def train(rows: Sequence[tuple[str, str]]) -> Coder:
             labels = np.array([c for _, c in kept])
             found, _, _ = coder.decode([w for w, _ in kept])
             same = found == labels
-            coder.calibrate([w for (w, _), s in zip(kept, same) if s], labels[same])
+            coder.trusted([w for (w, _), s in zip(kept, same) if s], labels[same])
+    held = [r for r in every if r[2] in kept_out]
+    if held:
+        found, _, _ = coder.decode([w for w, *_ in held])
+        agree: dict[object, list[bool]] = {}
+        for f, (_, c, d) in zip(found, held):
+            agree.setdefault(d, []).append(bool(f == c))
+        sound = [(w, c) for w, c, d in held if sum(agree[d]) >= AGREEING * len(agree[d])]
+        coder.calibrate([w for w, _ in sound], np.array([c for _, c in sound], int))
     coder.forget()
     return coder
 
@@ -234,8 +298,10 @@ def train(rows: Sequence[tuple[str, str]]) -> Coder:
 def fit(df: DataFrame, text: str, label: str, sample: int = SAMPLE) -> Coder:
     """A model from about `sample` labelled documents a language, taken by hash of the text. Languages without a labelled row are never predicted;
     without any labelled row no text gets a language."""
-    rows = df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("c")).where(F.col("c").isNotNull() & F.col("t").isNotNull())
+    rows = df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("c")).where(F.col("c").isNotNull())
+    # The labels alone are read to count them.
     sizes = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.where(F.col("t").isNotNull())
     if not sizes:
         return train([])
     share = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, sample / n))])
@@ -243,12 +309,27 @@ def fit(df: DataFrame, text: str, label: str, sample: int = SAMPLE) -> Coder:
     taken = rows.where(place < share[F.col("c")]).limit(2 * sample * len(CODES))
     split = F.slice(F.split("t", r"(?<=[.!?।])\s+|\s+[—–|/•]\s+|[\r\n]+", SENTENCES + 1), 1, SENTENCES)
     taken = taken.select("c", F.transform(split, lambda s: F.substring(s, 1, SENTENCE_CHARS)).alias("s"))
-    return train([(s, r["c"]) for r in taken.collect() for s in r["s"]])
+    pairs = [((s, r["c"]), i) for i, r in enumerate(sorted(taken.collect(), key=lambda r: (r["c"], r["s"]))) for s in r["s"]]
+    return train([p for p, _ in pairs], [i for _, i in pairs])
+
+
+def save(coder: Coder, path: str) -> None:
+    with open(path, "wb") as f:
+        f.write(coder.to_bytes())
+
+
+def load(path: str) -> Coder:
+    with open(path, "rb") as f:
+        return Coder.from_bytes(f.read())
 
 
 def analyse(coder: Coder, texts: Sequence[str | None]) -> list[list[dict]]:
-    """Stretches of one language of each whole text: lang, confidence, start, length, ambiguous. Null, empty and wordless texts have none. Confidence is
-    the mean over a stretch's sentences by words; a stretch is ambiguous if all its sentences are near a second language."""
+    """Stretches of one language of each whole text: lang, confidence, start, length, ambiguous, whole. Null, empty and wordless texts have none.
+
+    The language of every sentence is the decoder's, `und` for none. Confidence is the mean over a stretch's sentences by words, each that of the language
+    reported. A stretch is ambiguous if all its sentences have a low confidence or a near second language, and whole unless it is an unfinished
+    last piece of a few words.
+    """
     if not coder.known.any():
         return [[] for _ in texts]
     spans, owner, parsed = [], [], []
@@ -260,40 +341,37 @@ def analyse(coder: Coder, texts: Sequence[str | None]) -> list[list[dict]]:
                 owner.append(k)
                 parsed.append(ws)
     found, sure, lead = coder.decode(parsed)
+    names = (*CODES, NONE)
     out: list[list[dict]] = [[] for _ in texts]
-    i = 0
-    while i < len(spans):
-        j = i
-        while j < len(spans) and owner[j] == owner[i]:
-            j += 1
-        text = texts[owner[i]]
-        weight = np.zeros(len(CODES))
-        for k in range(i, j):
-            weight[found[k]] += sure[k] * len(parsed[k])
-        main = int(weight.argmax())
-        stretches = out[owner[i]]
-        for k in range(i, j):
-            c = int(found[k])
-            a, b = spans[k]
-            cut = k == j - 1 and j - i > 1 and text[:b].rstrip()[-1:] not in ".!?।…\"'»”’)" and len(parsed[k]) < LEAST_WORDS
-            if c != main and (sure[k] < LEAST_CONFIDENCE or cut):
-                c = CODES.index(stretches[-1]["lang"]) if cut and stretches else main
-            unsure = bool(lead[k] < NEAR)
-            if stretches and stretches[-1]["lang"] == CODES[c]:
-                s = stretches[-1]
-                n = s["_n"] + len(parsed[k])
-                s["confidence"] = (s["confidence"] * s["_n"] + float(sure[k]) * len(parsed[k])) / n
-                s["_n"], s["length"], s["ambiguous"] = n, b - s["start"], s["ambiguous"] and unsure
-            else:
-                stretches.append({"lang": CODES[c], "confidence": float(sure[k]), "start": a, "length": b - a, "ambiguous": unsure, "_n": len(parsed[k])})
-        i = j
+    for k, ((a, b), o, ws) in enumerate(zip(spans, owner, parsed)):
+        last = k + 1 == len(spans) or owner[k + 1] != o
+        whole = not (last and out[o] and len(ws) < LEAST_WORDS and texts[o][:b].rstrip()[-1:] not in ".!?।…\"'»”’)")
+        unsure = bool(lead[k] < NEAR or sure[k] < LEAST_CONFIDENCE)
+        lang, weight = names[int(found[k])], len(ws)
+        if out[o] and out[o][-1]["lang"] == lang:
+            s = out[o][-1]
+            n = s["_n"] + weight
+            s["confidence"] = (s["confidence"] * s["_n"] + float(sure[k]) * weight) / n
+            s["_n"], s["length"], s["ambiguous"], s["whole"] = n, b - s["start"], s["ambiguous"] and unsure, s["whole"] or whole
+        else:
+            out[o].append({"lang": lang, "confidence": float(sure[k]), "start": a, "length": b - a, "ambiguous": unsure, "whole": whole, "_n": weight})
     for stretches in out:
         for s in stretches:
             del s["_n"]
     return out
 
 
-STRETCH = "array<struct<lang:string,confidence:double,start:int,length:int,ambiguous:boolean>>"
+def document_languages(stretches: Column) -> Column:
+    """array<string>: the languages of a document's whole, unambiguous sentences in order of appearance; where there are none, that of its longest stretch
+    in a known language, if any."""
+    clear = F.filter(stretches, lambda s: s["whole"] & ~s["ambiguous"] & (s["lang"] != NONE))
+    known = F.filter(stretches, lambda s: s["lang"] != NONE)
+    longest = F.slice(F.sort_array(F.transform(known, lambda s: F.struct(s["length"].alias("length"), s["lang"].alias("lang"))), False), 1, 1)
+    lang = lambda a: F.array_distinct(F.transform(a, lambda s: s["lang"]))
+    return F.when(F.size(clear) > 0, lang(clear)).otherwise(lang(longest))
+
+
+STRETCH = "array<struct<lang:string,confidence:double,start:int,length:int,ambiguous:boolean,whole:boolean>>"
 _held: dict = {}
 
 

@@ -195,7 +195,7 @@ def _stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = _stretches(spark, d).select("doc_id", "label", F.array_distinct(F.transform("stretches", lambda s: s["lang"])).alias("langs"))
+    docs = _stretches(spark, d).select("doc_id", "label", language.document_languages(F.col("stretches")).alias("langs"))
     wrong = F.col("label").isNull() | (F.size("langs") > 1) | (F.col("label") != F.col("langs")[0])
     return docs.where((F.size("langs") > 0) & wrong).select("doc_id", F.explode("langs").alias("lang"))
 
@@ -203,7 +203,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     """Each stretch of one language with its place in the text and confidence."""
     rows = _stretches(spark, d).select("doc_id", F.posexplode("stretches").alias("segment", "_s"))
-    return rows.select("doc_id", "segment", "_s.lang", F.round("_s.confidence", 4).alias("confidence"), "_s.start", "_s.length", "_s.ambiguous")
+    return rows.select("doc_id", "segment", "_s.lang", F.round("_s.confidence", 4).alias("confidence"), "_s.start", "_s.length", "_s.ambiguous", "_s.whole")
 
 
 def _text(c: str) -> str:
