@@ -3,7 +3,7 @@
 Documents are counted by exact length per source. The total is the largest for which no source needs more than `max_repeats` uses of a record; a
 source's budget is its share of it. Whole passes over a source come first; for the rest of its budget each length gives its even part, and the
 remaining few tokens are fitted exactly by a bounded-knapsack program over the lengths not yet used. Which documents of a length are taken is drawn by
-seeded rank, distributed; only counts by length reach the driver.
+seeded rank. Each mix is fitted in a task of its own from counts by length; nothing but the list of targets reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,17 +11,17 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows
+from ..session import cut
 from .ranks import seeded_ranks
 
-#: Rows (source, length) that may reach the driver: lengths are bounded by the longest text, sources by the mixes' list.
-MAX_LENGTHS = 2_000_000
 #: Size of the budget that the exact program fits, at least; at most this plus three times the longest length in use.
 FIT = 8192
+#: Steps of the exact program between two states that are kept; those in between are made again when they are needed.
+KEPT = 64
 
 
 def knapsack(counts: dict[int, int], budget: int, seed: int = 0) -> dict[int, int]:
@@ -37,20 +37,26 @@ def knapsack(counts: dict[int, int], budget: int, seed: int = 0) -> dict[int, in
             k *= 2
     random.Random(seed).shuffle(parts)
     mask = (1 << (budget + 1)) - 1
-    reach = [1]
-    for length, take in parts:
-        now = (reach[-1] | reach[-1] << (length * take)) & mask
-        reach.append(now)
+    step = lambda reach, part: (reach | reach << (part[0] * part[1])) & mask
+    # Bit s of a state tells that the parts so far can make up s.
+    kept, now, done = [1], 1, 0
+    for part in parts:
+        now, done = step(now, part), done + 1
         if now >> budget & 1:
             break
-    at = reach[-1].bit_length() - 1
+        if done % KEPT == 0:
+            kept.append(now)
+    at = now.bit_length() - 1
     chosen: dict[int, int] = {}
-    for i in range(len(reach) - 1, 0, -1):
-        if reach[i - 1] >> at & 1:
-            continue
-        length, take = parts[i - 1]
-        chosen[length] = chosen.get(length, 0) + take
-        at -= length * take
+    for k in range(len(kept) - 1, -1, -1):
+        block = parts[k * KEPT : min(done, (k + 1) * KEPT)]
+        states = [kept[k]]
+        for part in block:
+            states.append(step(states[-1], part))
+        for before, (length, take) in zip(reversed(states[:-1]), reversed(block)):
+            if not before >> at & 1:
+                chosen[length] = chosen.get(length, 0) + take
+                at -= length * take
     return chosen
 
 
@@ -130,31 +136,38 @@ def mix(documents: DataFrame, key: str, source: str, size: str, targets: DataFra
     """(records, plan). records: (mix_name, source, key, size, uses) for each record used; plan: (mix_name, source, target_share, max_repeats, budget).
 
     targets: mix_name, source, target_share, max_repeats. Records without a source or of another source, and records of null or zero size, are in no
-    mix; targets without a mix or source are left out, a null share is 0 and null max_repeats 1. Ties of equal length are drawn by seeded hash of the key.
+    mix; targets without a mix or source are left out, a null share is 0 and null max_repeats 1, repeated targets count once. Ties of equal length are drawn by seeded hash of the key.
     """
-    spark = documents.sparkSession
     wanted = targets.where(F.col("mix_name").isNotNull() & F.col("source").isNotNull())
-    goals = bounded_rows(wanted.select("mix_name", "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")), 100_000)
-    names = sorted({g["source"] for g in goals})
-    used = documents.where(F.col(source).isin(names) & (F.col(size) > 0)).select(F.col(key), F.col(source).alias("source"), F.col(size).cast("bigint").alias("n_tokens"))
-    counts: dict[str, dict[int, int]] = {}
-    for r in bounded_rows(used.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")), MAX_LENGTHS):
-        counts.setdefault(r["source"], {})[r["n_tokens"]] = r["n"]
-    picks, plan = [], []
-    for name in sorted({g["mix_name"] for g in goals}):
-        own = [(g["source"], g["target_share"], g["max_repeats"]) for g in goals if g["mix_name"] == name]
-        _, fitted = plan_mix(own, counts, total, seed)
+    goals = wanted.select("mix_name", "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).cast("bigint").alias("max_repeats"))
+    listed = goals.select("source").distinct()
+    used = documents.where(F.col(size) > 0).select(F.col(key), F.col(source).alias("source"), F.col(size).cast("bigint").alias("n_tokens")).join(listed, "source", "left_semi")
+    counts = used.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        """Budgets (n_tokens null) and what to take of each length, of one mix."""
+        own = [tuple(r) for r in rows[["source", "target_share", "max_repeats"]].drop_duplicates().sort_values("source").itertuples(index=False)]
+        sizes: dict[str, dict[int, int]] = {}
+        for s, length, n in rows.loc[rows["n"].notna(), ["source", "n_tokens", "n"]].sort_values(["source", "n_tokens"]).itertuples(index=False):
+            sizes.setdefault(s, {})[int(length)] = int(n)
+        _, found = plan_mix([(s, float(share), int(most)) for s, share, most in own], sizes, total, seed)
+        name, out = rows["mix_name"].iloc[0], []
         for s, share, most in own:
-            budget, passes, extra = fitted.get(s, (0, 0, {}))
-            plan.append((name, s, share, most, budget))
-            picks += [(name, s, length, passes, extra.get(length, 0)) for length in counts.get(s, {}) if passes or extra.get(length)]
-    chosen = _local(spark, picks, {"mix_name": pa.string(), "source": pa.string(), "n_tokens": pa.int64(), "passes": pa.int64(), "extra": pa.int64()})
+            budget, passes, extra = found.get(s, (0, 0, {}))
+            out.append((name, s, share, most, budget, None, None, None))
+            out += [(name, s, share, most, budget, length, passes, extra.get(length, 0)) for length in sizes.get(s, {}) if passes or extra.get(length)]
+        frame = pd.DataFrame(out, columns=["mix_name", "source", "target_share", "max_repeats", "budget", "n_tokens", "passes", "extra"])
+        return frame.astype({c: "Int64" for c in ("max_repeats", "budget", "n_tokens", "passes", "extra")})
+
+    # A mix's task sees one row per source and length.
+    schema = "mix_name string, source string, target_share double, max_repeats bigint, budget bigint, n_tokens bigint, passes bigint, extra bigint"
+    plans = cut(goals.join(counts, "source", "left").groupBy("mix_name").applyInPandas(fitted, schema))
+    chosen = plans.where(F.col("n_tokens").isNotNull()).select("mix_name", "source", "n_tokens", "passes", "extra")
     ranked = seeded_ranks(used, ["source", "n_tokens"], [key], seed=seed)
-    # One row per mix, source and length, its size known to Catalyst: broadcast under the session's threshold, else joined by (source, length).
+    # One row per mix, source and length: broadcast where AQE measures it to be small, else joined by (source, length).
     records = ranked.join(chosen, ["source", "n_tokens"]).withColumn("uses", F.col("passes") + (F.col("rank") < F.col("extra")).cast("bigint"))
     records = records.where(F.col("uses") > 0).select("mix_name", "source", key, "n_tokens", "uses")
-    goals_df = _local(spark, plan, {"mix_name": pa.string(), "source": pa.string(), "target_share": pa.float64(), "max_repeats": pa.int64(), "budget": pa.int64()})
-    return records, goals_df
+    return records, plans.where(F.col("n_tokens").isNull()).select("mix_name", "source", "target_share", "max_repeats", "budget")
 
 
 def shares(records: DataFrame, plan: DataFrame) -> DataFrame:
@@ -164,8 +177,3 @@ def shares(records: DataFrame, plan: DataFrame) -> DataFrame:
     out = plan.join(reached, ["mix_name", "source"], "left").join(total, "mix_name", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     return out.select("mix_name", "source", "target_share", "max_repeats", "budget", zero("records"), zero("tokens"), zero("most_uses"), (F.coalesce("tokens", F.lit(0)) / F.col("mix_tokens")).alias("share"))
-
-
-def _local(spark, rows: list[tuple], schema: dict[str, pa.DataType]) -> DataFrame:
-    columns = list(zip(*rows)) or [()] * len(schema)
-    return spark.createDataFrame(pa.table({name: pa.array(list(c), kind) for (name, kind), c in zip(schema.items(), columns)}))

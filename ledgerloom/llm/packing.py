@@ -5,26 +5,26 @@ many documents there are. A round sweeps both sorted runs: each item goes to its
 containers meet, those of higher rank (longer, then earlier) win and the rest moves on to the next larger gap; items without a gap open new containers.
 Then gaps are updated and the next round begins. Items of half a capacity and more are placed first, then those of a quarter and more, and so on.
 
-The sweeps run over the runs alone. The documents take part twice, distributed: they are counted by length, and each gets its container from its
-rank among the documents of its length (`ranks.seeded_ranks`), looked up in the placed runs by binary search. No document reaches the driver.
+The sweeps run over the runs alone, one task a kind of container, which sees one row per length up to the capacity. The documents take part twice: they
+are counted by length, and each gets its container from its rank among the documents of its length (`ranks.seeded_ranks`), found among the placed runs
+of its length and block of ranks by one ordered pass. Nothing reaches the driver and nothing is broadcast.
 """
 
 from __future__ import annotations
 
 import bisect
-import uuid
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows, cut
+from ..session import cut
 from .ranks import seeded_ranks
 
-#: Sum of the capacities of one call; it bounds the runs of lengths that reach the driver.
-MAX_CAPACITY = 4_000_000
+#: Ranks of one length that are looked up together: a task of the last step sees at most that many items and as many runs.
+BLOCK = 4096
+RUN = "pack_name string, length bigint, first bigint, upto bigint, container bigint, slot bigint"
 
 
 def place_runs(counts: dict[int, int], capacity: int) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
@@ -110,40 +110,49 @@ def pack(df: DataFrame, key: str, size: str, capacities: Sequence[tuple[str, int
     Containers are numbered from 0 within a kind; slot orders a container's pieces. Pieces of length 0 need no space and have a null container. Ties
     of equal lengths are ordered by hash of the key; repeated keys are items of their own. An empty table packs to an empty table.
     """
-    spark = df.sparkSession
-    if sum(c for _, c in capacities) > MAX_CAPACITY:
-        raise ValueError(f"the capacities sum to more than {MAX_CAPACITY}")
     items = cut(pieces(df.select(key, size), size, capacities).select(key, "pack_name", "capacity", "piece", "start", "length"))
-    # At most one row per kind and length up to its capacity.
-    sizes = bounded_rows(items.where(F.col("length") > 0).groupBy("pack_name", "length").agg(F.count(F.lit(1)).alias("n")), MAX_CAPACITY)
-    runs = {}
-    for name, capacity in capacities:
-        placed, _ = place_runs({r["length"]: r["n"] for r in sizes if r["pack_name"] == name}, capacity)
-        for length, found in placed.items():
-            runs[name, length] = tuple(np.array(c, np.int64) for c in zip(*found))
-    shipped, token = spark.sparkContext.broadcast(runs), uuid.uuid4().hex
-
-    @F.pandas_udf("container_id bigint, slot bigint")
-    def located(name: pd.Series, length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        held = _runs(token, shipped)
-        container = np.full(len(rank), -1, np.int64)
-        slot = np.zeros(len(rank), np.int64)
-        ranks = rank.to_numpy(np.int64)
-        for (kind, size), at in pd.DataFrame({"k": name, "s": length}).groupby(["k", "s"], sort=False).indices.items():
-            first, start, turn = held[kind, size]
-            i = np.searchsorted(first, ranks[at], side="right") - 1
-            container[at] = start[i] + ranks[at] - first[i]
-            slot[at] = turn[i]
-        return pd.DataFrame({"container_id": container, "slot": slot})
-
-    ranked = seeded_ranks(items.where(F.col("length") > 0), ["pack_name", "length"], [key, "piece"])
-    columns = ["pack_name", "capacity", "container_id", "slot", key, "piece", "start", "length"]
-    full = ranked.withColumn("_at", located("pack_name", "length", "rank")).select("*", "_at.*").select(*columns)
+    some = items.where(F.col("length") > 0)
+    runs = some.groupBy("pack_name", "capacity", "length").agg(F.count(F.lit(1)).alias("n")).groupBy("pack_name", "capacity").applyInPandas(_placed, RUN)
+    # A run goes to every block of ranks it reaches into, an item to its own; in each block the last run that begins up to an item's rank is the item's.
+    block = lambda c: F.floor(c / BLOCK)
+    starts = runs.withColumn("_block", F.explode(F.sequence(block(F.col("first")), block(F.col("upto") - 1))))
+    start = F.greatest(F.col("first"), F.col("_block") * BLOCK)
+    columns = ["capacity", key, "piece", "start"]
+    starts = starts.select("pack_name", "length", "_block", start.alias("rank"), F.struct("first", "container", "slot").alias("_run"), *[F.lit(None).cast(items.schema[c].dataType).alias(c) for c in columns])
+    ranked = seeded_ranks(some, ["pack_name", "length"], [key, "piece"])
+    ranked = ranked.select("pack_name", "length", block(F.col("rank")).alias("_block"), "rank", F.lit(None).cast(starts.schema["_run"].dataType).alias("_run"), *columns)
+    order = Window.partitionBy("pack_name", "length", "_block").orderBy("rank", F.col("_run").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = starts.withColumn("_item", F.lit(False)).unionByName(ranked.withColumn("_item", F.lit(True))).withColumn("_at", F.last("_run", ignorenulls=True).over(order)).where("_item")
+    container = F.col("_at.container") + F.col("rank") - F.col("_at.first")
+    full = met.select("pack_name", "capacity", container.alias("container_id"), F.col("_at.slot").alias("slot"), key, "piece", "start", "length")
     nothing = F.lit(None).cast("bigint")
     empty = items.where(F.col("length") == 0).select("pack_name", "capacity", nothing.alias("container_id"), nothing.alias("slot"), key, "piece", "start", "length")
     return full.unionByName(empty)
 
 
+def _placed(counts: pd.DataFrame) -> pd.DataFrame:
+    """Placed runs of one kind of container from its items by length."""
+    name, capacity = counts["pack_name"].iloc[0], int(counts["capacity"].iloc[0])
+    sizes = {int(s): int(n) for s, n in zip(counts["length"], counts["n"])}
+    out = []
+    for length, runs in place_runs(sizes, capacity)[0].items():
+        ends = [first for first, _, _ in runs[1:]] + [sizes[length]]
+        out += [(name, length, first, upto, container, slot) for (first, container, slot), upto in zip(runs, ends)]
+    return pd.DataFrame(out, columns=["pack_name", "length", "first", "upto", "container", "slot"])
+
+
+def checked(packed: DataFrame, key: str) -> DataFrame:
+    """(pack_name, capacity, items, overfull, broken, split_needlessly): items placed, containers above their capacity, items whose pieces are not the whole
+    item each part once, and items split though a container would hold them. The last three are 0 by definition."""
+    over = packed.where(F.col("container_id").isNotNull()).groupBy("pack_name", "capacity", "container_id").agg(F.sum("length").alias("_t")).groupBy("pack_name", "capacity").agg(F.count_if(F.col("_t") > F.col("capacity")).alias("overfull"))
+    each = packed.groupBy("pack_name", "capacity", key).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("piece").alias("_last"), F.sum("length").alias("_size"), F.max(F.col("start") + F.col("length")).alias("_end"), F.count_if(F.col("start") != F.col("piece") * F.col("capacity")).alias("_off")
+    )
+    broken = (F.col("_n") != F.col("_last") + 1) | (F.col("_size") != F.col("_end")) | (F.col("_off") > 0)
+    items = each.groupBy("pack_name", "capacity").agg(F.count(F.lit(1)).alias("items"), F.count_if(broken).alias("broken"), F.count_if((F.col("_n") > 1) & (F.col("_size") <= F.col("capacity"))).alias("split_needlessly"))
+    return items.join(over, ["pack_name", "capacity"], "left").select("pack_name", "capacity", "items", F.coalesce("overfull", F.lit(0)).alias("overfull"), "broken", "split_needlessly")
+
+
 def fill(packed: DataFrame) -> DataFrame:
     """(pack_name, capacity, containers, least_containers, tokens, unused_share) of packed pieces; least: the tokens divided by the capacity, rounded up."""
     each = packed.where(F.col("container_id").isNotNull()).groupBy("pack_name", "capacity").agg(
@@ -151,13 +160,3 @@ def fill(packed: DataFrame) -> DataFrame:
     )
     room = F.col("containers") * F.col("capacity")
     return each.select("pack_name", "capacity", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"), "tokens", (1 - F.col("tokens") / room).alias("unused_share"))
-
-
-_held: dict = {}
-
-
-def _runs(token: str, shipped) -> dict:
-    if token not in _held:
-        _held.clear()
-        _held[token] = shipped.value
-    return _held[token]

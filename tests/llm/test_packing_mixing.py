@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -93,8 +94,41 @@ def test_pack(spark):
     fill = {r["pack_name"]: r for r in packing.fill(packing.pack(df, "doc_id", "n", [("small", 100)])).collect()}
     assert fill["small"]["tokens"] == sum(s for s in sizes if s) and 0 <= fill["small"]["unused_share"] < 0.3
     assert packing.pack(df.limit(0), "doc_id", "n", [("small", 100)]).count() == 0
-    with pytest.raises(ValueError, match="capacities"):
-        packing.pack(df, "doc_id", "n", [("x", packing.MAX_CAPACITY + 1)])
+    # A capacity of any size: only lengths that occur make runs.
+    assert packing.pack(df, "doc_id", "n", [("x", 10**12)]).agg(F.max("container_id")).first()[0] == 0
+
+
+def test_blocks_of_ranks(spark, monkeypatch):
+    """Items of one length over several blocks, in runs that begin and end anywhere in them."""
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    rows = [(i, 7 if i % 3 else 1 + i % 9) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, n bigint")
+    packed = packing.pack(df, "doc_id", "n", [("a", 20), ("b", 33)])
+    assert [tuple(r)[2:] for r in packing.checked(packed, "doc_id").collect()] == [(1000, 0, 0, 0)] * 2
+    counts = {}
+    for _, n in rows:
+        counts[n] = counts.get(n, 0) + 1
+    for r in packing.fill(packed).collect():
+        assert r["containers"] == packing.place_runs(counts, r["capacity"])[1]
+
+
+def test_checked_finds_faults(spark):
+    rows = [("a", 10, 0, 1, 0, 0, 6), ("a", 10, 0, 2, 0, 0, 5), ("a", 10, 1, 3, 0, 0, 2), ("a", 10, 2, 3, 1, 10, 2), ("a", 10, 3, 4, 1, 10, 4)]
+    df = spark.createDataFrame(rows, "pack_name string, capacity bigint, container_id bigint, doc_id bigint, piece int, start bigint, length bigint")
+    assert tuple(packing.checked(df, "doc_id").first()) == ("a", 10, 4, 1, 2, 1)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), min_size=20, max_size=40), st.integers(50, 3000))
+def test_knapsack_over_many_kept_states(counts, budget):
+    chosen = mixing.knapsack(counts, budget)
+    assert all(0 < n <= counts[length] for length, n in chosen.items())
+    reach = 1
+    for length, n in counts.items():
+        for _ in range(n):
+            reach |= reach << length
+    want = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    assert sum(length * n for length, n in chosen.items()) == want
 
 
 def test_ranks(spark):
