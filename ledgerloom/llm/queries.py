@@ -200,9 +200,14 @@ def p9_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_checked(spark: SparkSession, d: str) -> DataFrame:
-    """Targets with whether the share reached is within a hundredth of it and no record is used more often than allowed."""
-    s = p9_shares(spark, d)
-    return s.select("mix_name", "source", "target_share", "max_repeats", (F.abs(F.col("share") - F.col("target_share")) <= 0.01).alias("is_reached"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"))
+    """Targets with whether the budget is reached as nearly as whole records allow, with less than its source's longest record missing and nothing too much,
+    and no record is used more often than allowed."""
+    sized = _sized(spark, d)
+    s = mixing.shares(*mixing.mix(sized, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets")))
+    longest = sized.groupBy(F.col("source").alias("_source")).agg(F.max("n_tokens").alias("_longest"))
+    s = s.join(longest, F.col("source") == F.col("_source"), "left")
+    missing = F.col("budget") - F.col("tokens")
+    return s.select("mix_name", "source", "target_share", "max_repeats", ((missing >= 0) & (missing < F.coalesce("_longest", F.lit(1)))).alias("is_reached"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"))
 
 
 def _stretches(spark: SparkSession, d: str) -> DataFrame:

@@ -13,11 +13,13 @@ def test_runs(spark, data, name):
     assert entry.queries()[name](spark, data).count() > 0
 
 
-def test_percentiles_equal_sql(spark, data):
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_equals_sql(spark, data, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW task_2_2 AS SELECT * FROM read_parquet('{data}/task_2_2.parquet')")
-    mine = Q.p2_percentiles(spark, data).toPandas()
-    want = con.sql(Q.SQL["p2_percentiles"]).df()[list(mine.columns)]
+    for t in ("task_2_2", "amazon_sales", "documents", "pack_sizes", "mix_targets"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
+    mine = Q.QUERIES[name](spark, data).toPandas()
+    want = con.sql(Q.SQL[name]).df()[list(mine.columns)]
     key = lambda d: sorted((tuple(None if v != v else v for v in r) for r in d.astype(object).itertuples(index=False)), key=repr)
     assert key(mine) == key(want)
 
